@@ -77,6 +77,11 @@ ACCENTED = sorted((set(TONED) | set("ăâêôơưđ")))
 ACCENTED_UPPER = [c.upper() for c in ACCENTED]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def compose_accents(text: Column) -> Column:
     """Letter + combining tone mark becomes the single precomposed letter."""
     out = text
@@ -191,17 +196,34 @@ def vowel_units(text: Column, keep_diacritics: bool = True) -> Column:
     sep = re.escape(UNIT_SEPARATORS).replace("\\ ", " ")
     tokens = F.regexp_extract_all(place_tones(text), F.lit(f"[{sep}]|[^{sep}~]+"), F.lit(0))
 
+    letters = f"[{single}]"
+    # a run of vowel letters is looked for first, it rules out most tokens cheaply
+    levels = [
+        (f"{letters}{{3}}", _unit_regex(TRIPLE_UNITS)),
+        (f"{letters}{{2}}", _unit_regex(PAIR_UNITS)),
+        (letters, letters),
+    ]
+
+    def around(rest: Column, unit: Column) -> Column:
+        at = F.instr(rest, unit)
+        return F.array(
+            F.substr(rest, F.lit(1), at - 1), unit, F.substr(rest, at + F.length(unit))
+        )
+
+    def cut_at(rest: Column) -> Column:
+        unit = F.lit("")
+        for run, pattern in reversed(levels):
+            found = F.when(rest.rlike(run), F.regexp_extract(rest, pattern, 0)).otherwise(F.lit(""))
+            unit = F.coalesce(F.nullif(found, F.lit("")), unit)
+        return let(unit, lambda u: F.when(u == "", F.array(rest)).otherwise(around(rest, u)))
+
     def cut(token: Column) -> Column:
         onset = F.regexp_extract(token, rf"\A((?:[qQ][uU])|(?:[gG][iI](?=[{vowels}dđ]))|[dđ])", 1)
-        rest = F.substr(token, F.length(onset) + 1)
-        pieces = F.array(rest)
-        for pattern in (f"[{single}]", _unit_regex(PAIR_UNITS), _unit_regex(TRIPLE_UNITS)):
-            shape = rf"(?s)\A(.*?)({pattern})(.*)\z"
-            pieces = F.when(
-                rest.rlike(shape),
-                F.array(*[F.regexp_extract(rest, shape, i) for i in (1, 2, 3)]),
-            ).otherwise(pieces)
-        return F.filter(F.concat(F.array(onset), pieces), lambda p: p != "")
+        pieces = let(
+            onset,
+            lambda o: F.concat(F.array(o), let(F.substr(token, F.length(o) + 1), cut_at)),
+        )
+        return F.filter(pieces, lambda p: p != "")
 
     units = F.flatten(F.transform(tokens, cut))
     return units if keep_diacritics else F.transform(units, lambda u: strip_diacritics(u, lower=False))
@@ -228,28 +250,27 @@ def apply_mappings(source: Column, predicted: Column, mappings: list[tuple[str,
     """Where ``source`` holds a phrase, its aligned span of ``predicted`` becomes the mapped phrase."""
     out = predicted
     for phrase, value in mappings:
-        gaps = F.split(source, re.escape(phrase))
-        start = F.struct(F.lit(1).alias("at"), F.lit("").alias("text"))
-
-        step = _overlay_step(out, value, len(phrase))
-        out = F.when(
-            source.contains(phrase), F.aggregate(gaps, start, step, lambda a: a["text"])
-        ).otherwise(out)
+        out = F.when(source.contains(phrase), let(out, _overlay(source, phrase, value))).otherwise(out)
     return out
 
 
-def _overlay_step(target: Column, value: str, width: int):
-    """Copy the next unmapped stretch of ``target`` behind the mapped phrase."""
+def _overlay(source: Column, phrase: str, value: str):
+    """Copy ``target`` stretch by stretch between the places where ``source`` has the phrase."""
 
-    def step(acc, gap):
-        piece = F.substr(target, acc["at"], F.length(gap))
-        glue = F.when(acc["at"] > 1, F.lit(value)).otherwise(F.lit(""))
-        return F.struct(
-            (acc["at"] + F.length(gap) + F.lit(width)).alias("at"),
-            F.concat(acc["text"], glue, piece).alias("text"),
-        )
+    def apply(target: Column) -> Column:
+        gaps = F.transform(F.split(source, re.escape(phrase)), lambda g: F.length(g))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+        def step(acc, gap):
+            piece = F.substr(target, acc["at"], gap)
+            return F.struct(
+                (acc["at"] + gap + F.lit(len(phrase))).alias("at"),
+                F.array_append(acc["parts"], piece).alias("parts"),
+            )
+
+        return F.aggregate(gaps, start, step, lambda a: F.array_join(a["parts"], value))
 
-    return step
+    return apply
 
 
 def wrap_text(text: Column, width: int = 80) -> Column:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +18,7 @@ def local_session(cores: int | None = None, app: str = "papyra", **conf: str) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("PAPYRA_DRIVER_MEMORY", "12g"))
@@ -55,3 +58,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable on the workers, once per context."""
+    context = spark.sparkContext
+    if getattr(context, "_papyra_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    archive = shutil.make_archive(f"{folder}/papyra", "zip", root.parent, root.name)
+    context.addPyFile(archive)
+    context._papyra_shipped = True
