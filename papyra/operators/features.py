@@ -137,15 +137,26 @@ def _useful_shape(token: Column) -> Column:
     return F.when(~shape.isin("", "lower"), shape)
 
 
-def tag_context(words: Column, tags: Column, order: int = 2) -> Column:
-    """Array (per token) of tagging features joined by blanks; ``order`` is 1 or 2."""
-    shapes = F.transform(words, lambda w: _useful_shape(w))
-    return tx.let(shapes, lambda bound: _tag_features(words, tags, bound, order))
+def useful_shapes(words: Column) -> Column:
+    """Shape per token, null where it tells nothing."""
+    return F.transform(words, lambda w: _useful_shape(w))
 
 
-def _tag_features(words: Column, tags: Column, shapes: Column, order: int) -> Column:
+def tag_context(words: Column, tags: Column | None, order: int = 2, shapes: Column | None = None) -> Column:
+    """Array (per token) of tagging features joined by blanks.
+
+    ``order`` previous tags (1 or 2) take part; 0 leaves them out, as needed before decoding.
+    ``shapes`` may be a column that already holds ``useful_shapes``; as the argument of a
+    Python function only that form works, Spark takes no nested lambdas there.
+    """
+    if shapes is not None:
+        return _tag_features(words, tags, shapes, order)
+    return tx.let(useful_shapes(words), lambda bound: _tag_features(words, tags, bound, order))
+
+
+def _tag_features(words: Column, tags: Column | None, shapes: Column, order: int) -> Column:
     def features(word: Column, i: Column) -> Column:
-        pt, at = _at(tags, i - 1, BOS, EOS), _at(tags, i - 2, BOS, EOS)
+        pt, at = (_at(tags, i - 1, BOS, EOS), _at(tags, i - 2, BOS, EOS)) if order else (None, None)
         parts = [
             _feature("pw", _at(words, i - 1, BOS, EOS)),
             _feature("cw", word),
@@ -154,8 +165,8 @@ def _tag_features(words: Column, tags: Column, shapes: Column, order: int) -> Co
             _feature("ns", F.get(shapes, i + 1)),
             _feature("p2w", _at(words, i - 2, BOS, EOS)),
             _feature("n2w", _at(words, i + 2, BOS, EOS)),
-            _feature("pt", pt),
         ]
+        parts += [_feature("pt", pt)] if order else []
         if order == 2:
             parts += [_feature("at", at), _feature("bt", F.concat(at, F.lit(";"), pt))]
         return F.concat_ws(" ", *parts)
@@ -258,11 +269,11 @@ def _vowel_features(units: Column, labels: Column, words: Column, index: Column,
             _feature("w(+1)", _at(words, w + 1, BOS, EOS)),
         ]
         parts += [
-            _feature(f"c({a:+d})+c({b:+d})", F.concat(c[a], F.lit("+"), c[b]))
-            for a, b in ((-2, -1), (-1, 0), (0, 1), (1, 2))
+            _feature(f"{a}{b}", F.concat(c[a - 2], F.lit("+"), c[b - 2]))
+            for a, b in ((0, 1), (1, 2), (2, 3), (3, 4), (1, 3))
         ]
-        parts += [_feature("t(-1)", t1)]
-        parts += [_feature("t(-2)", t2), _feature("t(-2)+t(-1)", F.concat(t2, F.lit("+"), t1))] if order == 2 else []
+        parts += [_feature("t(-1)", t1)] if order >= 1 else []
+        parts += [_feature("t(-2)", t2), _feature("t(-2)t(-1)", F.concat(t2, t1))] if order == 2 else []
         return F.struct(i.alias("pos"), F.concat_ws(" ", *parts).alias("features"), label.alias("label"))
 
     return F.filter(F.transform(labels, features), lambda f: f["label"].isin(triggers))

@@ -34,21 +34,23 @@ def _bounds(df: DataFrame, column: str, ranges: int) -> Column:
     return df.agg(F.percentile_approx(column, shares, 4 * ranges)).scalar()
 
 
-def order_bucket(df: DataFrame, order: list[str]) -> Column:
-    """Range number that grows with the order columns (one, or two with a tie-break).
+def with_order_bucket(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
+    """Add a range number that grows with the order columns (one, or two with a tie-break).
 
     Rows equal to a bound share one first value, so such a range, which may hold a very
     frequent value, is cut further by the second column.
     """
     ranges = _ranges(df)
-    bounds = _bounds(df, order[0], ranges)
-    value = F.col(order[0])
-    at = _position(bounds, value, ranges).cast("long")
-    if len(order) == 1:
-        return at
-    on_bound = F.coalesce(F.get(bounds, at.cast("int")) == value, F.lit(False))
-    second = _position(_bounds(df, order[1], ranges), F.col(order[1]), ranges)
-    return at * (ranges + 1) + F.when(on_bound, second + 1).otherwise(0)
+    out = df.withColumn("_bounds", _bounds(df, order[0], ranges))
+    bounds, value = F.col("_bounds"), F.col(order[0])
+    out = out.withColumn(name, _position(bounds, value, ranges).cast("long"))
+    if len(order) > 1:
+        on_bound = F.coalesce(F.get(bounds, F.col(name).cast("int")) == value, F.lit(False))
+        second = _position(F.col("_second"), F.col(order[1]), ranges)
+        out = out.withColumn("_second", _bounds(df, order[1], ranges)).withColumn(
+            name, F.col(name) * (ranges + 1) + F.when(on_bound, second + 1).otherwise(0)
+        ).drop("_second")
+    return out.drop("_bounds")
 
 
 def _before(keys: list[str], order: str):
@@ -58,7 +60,7 @@ def _before(keys: list[str], order: str):
 
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "_rn") -> DataFrame:
     """Exact 0-based row number within ``keys`` by ``order``."""
-    cut = df.withColumn("_range", order_bucket(df, order))
+    cut = with_order_bucket(df, order)
     sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
         *keys, "_range", F.coalesce(F.sum("_n").over(_before(keys, "_range")), F.lit(0)).alias("_offset")
@@ -73,7 +75,7 @@ def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "_rn
 
 def running_total(df: DataFrame, order: list[str], amount: str, name: str = "_before") -> DataFrame:
     """Sum of ``amount`` over all earlier rows of the whole table."""
-    cut = df.withColumn("_range", order_bucket(df, order))
+    cut = with_order_bucket(df, order)
     sizes = cut.groupBy("_range").agg(F.sum(amount).alias("_n"))
     offsets = sizes.select(
         "_range", F.coalesce(F.sum("_n").over(_before([], "_range")), F.lit(0)).alias("_offset")
@@ -125,7 +127,7 @@ def at_home(df: DataFrame) -> DataFrame:
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Fill nulls with the latest earlier value of the same key."""
-    cut = df.withColumn("_range", order_bucket(df, order))
+    cut = with_order_bucket(df, order)
     at = F.struct(*order)
     lasts = cut.groupBy(*keys, "_range").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in columns]

@@ -6,7 +6,7 @@ import importlib
 
 from papyra.plans.registry import REGISTRY, Query
 
-FAMILIES = ["curation", "textual"]
+FAMILIES = ["curation", "files", "textual", "modeling"]
 
 
 def load_all() -> dict[str, Query]:
