@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest
 
 # ---- fixed values -----------------------------------------------------------
 PAGE_MARKUP = ["<div", "<table", "</p>"]
@@ -67,9 +68,7 @@ def dedup_paragraphs(df: DataFrame, key: str, text: str, keep_blank: bool = Fals
     moved once, for the join on the document key.
     """
     docs = df.select(key, F.array_distinct(paragraphs(F.col(text), keep_blank)).alias("_parts"))
-    lines = docs.select(
-        key, F.posexplode(F.transform("_parts", digest)).alias("_line", "_digest")
-    )
+    lines = unnest(docs, [key], "_parts", "_part", "_line").select(key, "_line", digest(F.col("_part")).alias("_digest"))
     if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType)):
         # one fixed-width number keeps the aggregation on the hash path
         width = F.lit(1 << 31).cast("decimal(38,0)")
@@ -152,9 +151,7 @@ def filter_urls(
 
 def extract_links(pages: DataFrame, html: str, site: str, pattern: str, prefix: str | None = None) -> DataFrame:
     """Distinct ``(site, link)``; relative links get the site in front."""
-    found = pages.select(
-        site, F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)))).alias("path")
-    )
+    found = unnest(pages, [site], F.array_distinct(F.regexp_extract_all(html, F.lit(pattern), F.lit(1))), "path")
     base = F.lit(prefix) if prefix is not None else F.col(site)
     return found.select(site, F.concat(base, F.col("path")).alias("link")).distinct()
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest
 from papyra.operators import ordered
 
 FRAME = (
@@ -68,7 +69,7 @@ def dialog_states(dialogs: DataFrame) -> DataFrame:
 
 def slot_types(df: DataFrame, slots: str) -> DataFrame:
     """Distinct slot names of ``k: v`` arrays."""
-    return df.select(F.explode(F.map_keys(tx.group_slots(F.col(slots)))).alias("slot")).distinct()
+    return unnest(df, [], F.map_keys(tx.group_slots(F.col(slots))), "slot").distinct()
 
 
 def span_table(df: DataFrame, dialog: str, turn: str, spans: str) -> DataFrame:

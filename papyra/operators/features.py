@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest, unnest_structs
 from papyra.functions.shapes import full_match, word_shape
 from papyra.functions.shapes import NUMBER, PERCENTAGE, PUNCTUATION
 from papyra.operators import ordered
@@ -28,7 +29,7 @@ BOS, EOS = "$BOS", "$EOS"
 def tokens_to_rows(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """Non-blank tokens with a position from 1, inner blanks as underscores."""
     clean = F.filter(F.transform(tokens, lambda t: tx.trim_blank(t)), lambda t: t != "")
-    rows = df.select(key, F.posexplode(clean).alias("_i", "token"))
+    rows = unnest(df, [key], clean, "token", "_i")
     return rows.select(
         key, (F.col("_i") + 1).alias("pos"), F.regexp_replace("token", r"\s+", "_").alias("token")
     )
@@ -71,7 +72,7 @@ def vocabulary(
 
 def term_counts(df: DataFrame, key: str, tokens: str, binary: bool = False) -> DataFrame:
     """``(key, term, n)``."""
-    out = df.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(
+    out = unnest(df, [key], tokens, "term").groupBy(key, "term").agg(
         F.count(F.lit(1)).alias("n")
     )
     return out.withColumn("n", F.lit(1).cast("long")) if binary else out
@@ -85,7 +86,7 @@ def count_vectorize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, bina
 def hash_tf(df: DataFrame, key: str, tokens: str, buckets: int = 1 << 15, binary: bool = False) -> DataFrame:
     """Sparse hashed counts ``(key, bucket, n)``."""
     bucket = F.pmod(F.hash(F.col("term")), F.lit(buckets)).alias("bucket")
-    out = df.select(key, F.explode(tokens).alias("term")).groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
+    out = unnest(df, [key], tokens, "term").groupBy(key, bucket).agg(F.count(F.lit(1)).alias("n"))
     return out.withColumn("n", F.lit(1).cast("long")) if binary else out
 
 
@@ -103,7 +104,7 @@ def expand_concepts(df: DataFrame, keys: list[str], tokens: str, dictionary: Dat
 
     ``dictionary(word, concept)`` stays a table; Spark broadcasts it when its size allows.
     """
-    rows = df.select(*keys, F.posexplode(tokens).alias("_pos", "word"))
+    rows = unnest(df, keys, tokens, "word", "_pos")
     found = rows.join(dictionary, "word").filter(~F.col("concept").contains(F.col("word")))
     listed = F.array_sort(F.collect_list(F.struct("_pos", "concept")))
     return found.groupBy(*keys).agg(F.transform(listed, lambda c: c["concept"]).alias("concepts"))
@@ -291,7 +292,7 @@ def to_index_sequence(
     """
     n = F.size(tokens)
     start = F.greatest(n - length, F.lit(0)) + 1 if keep == "tail" else F.lit(1)
-    rows = df.select(key, F.posexplode(F.slice(tokens, start, F.lit(length))).alias("_pos", "term"))
+    rows = unnest(df, [key], F.slice(tokens, start, F.lit(length)), "term", "_pos")
     ids = rows.join(vocab.select("term", "term_id"), "term", "left").select(
         key, "_pos", F.coalesce(F.col("term_id") + base, F.lit(unknown)).alias("_id")
     )
@@ -333,7 +334,7 @@ def char_multihot(df: DataFrame, key: str, tokens: str, letters: DataFrame, leng
     The three planes of a dense encoding are kept as rows: first letter, the set of
     middle letters, last letter.
     """
-    rows = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "t")).filter(F.length("t") > 0)
+    rows = unnest(df, [key], F.slice(tokens, 1, length), "t", "pos").filter(F.length("t") > 0)
     n = F.length("t")
     middle = F.when(n > 2, F.array_distinct(F.split(F.substr(F.col("t"), F.lit(2), n - 2), ""))).otherwise(
         F.array().cast("array<string>")
@@ -344,14 +345,14 @@ def char_multihot(df: DataFrame, key: str, tokens: str, letters: DataFrame, leng
         F.transform(middle, lambda c: F.struct(F.lit("middle").alias("plane"), c.alias("term"))),
         F.transform(last, lambda c: F.struct(F.lit("last").alias("plane"), c.alias("term"))),
     )
-    return rows.select(key, "pos", F.inline(cells)).join(letters.select("term", "term_id"), "term").select(
+    return unnest_structs(rows, [key, "pos"], cells).join(letters.select("term", "term_id"), "term").select(
         key, "pos", "plane", F.col("term_id").alias("letter_id")
     )
 
 
 def onehot_sequence(df: DataFrame, key: str, tokens: str, vocab: DataFrame, length: int) -> DataFrame:
     """The non-zero cells ``(key, pos, term_id)`` of a length x vocabulary matrix."""
-    rows = df.select(key, F.posexplode(F.slice(tokens, 1, length)).alias("pos", "term"))
+    rows = unnest(df, [key], F.slice(tokens, 1, length), "term", "pos")
     return rows.join(vocab.select("term", "term_id"), "term").select(key, "pos", "term_id")
 
 
@@ -406,7 +407,7 @@ def flag_csv(indices: Column, n: int) -> Column:
 def mentions(df: DataFrame, words: str, labels: str, outside: str = "O") -> DataFrame:
     """Words with an entity label, most frequent first."""
     pair = F.filter(F.arrays_zip(F.col(words).alias("w"), F.col(labels).alias("l")), lambda p: F.lower(p["l"]) != outside.lower())
-    rows = df.select(F.explode(pair).alias("p")).select(F.col("p.w").alias("word"))
+    rows = unnest_structs(df, [], pair).select(F.col("w").alias("word"))
     return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word")
 
 
@@ -437,7 +438,7 @@ def lm_windows(df: DataFrame, key: str, ids: str, steps: int) -> DataFrame:
     """
     sized = df.select(key, ids, F.size(ids).alias("_n"))
     placed = ordered.running_total(sized, [key], "_n", "_start")
-    rows = placed.select("_start", F.posexplode(ids).alias("_i", "id")).select(
+    rows = unnest(placed, ["_start"], ids, "id", "_i").select(
         (F.col("_start") + F.col("_i")).alias("at"), "id"
     )
     window = F.floor(F.col("at") / steps)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from papyra.functions.rows import unnest, unnest_structs
 from papyra.functions.text import let
 from papyra.operators import ordered
 
@@ -25,7 +26,7 @@ def masked_pairs(df: DataFrame, gold: str, predicted: str, pad: float = -1.0) ->
     at = F.array_position(gold, F.lit(pad))
     n = F.when(at > 0, at - 1).otherwise(F.size(gold)).cast("int")
     pairs = F.arrays_zip(F.slice(gold, F.lit(1), n).alias("label"), F.slice(predicted, F.lit(1), n).alias("prediction"))
-    return df.select(F.inline(pairs)).toDF("label", "prediction")
+    return unnest_structs(df, [], pairs)
 
 
 def confusion(df: DataFrame, y: str, z: str) -> DataFrame:
@@ -79,9 +80,7 @@ def multilabel_scores(df: DataFrame, ys: str, zs: str) -> DataFrame:
 
 
 def multilabel_label_scores(df: DataFrame, ys: str, zs: str) -> DataFrame:
-    cells = df.select(
-        F.explode(F.array_union(ys, zs)).alias("label"), ys, zs
-    ).select(
+    cells = unnest(df, [ys, zs], F.array_union(ys, zs), "label").select(
         "label", F.array_contains(ys, F.col("label")).cast("int").alias("g"), F.array_contains(zs, F.col("label")).cast("int").alias("p")
     )
     sums = cells.groupBy("label").agg(
@@ -148,7 +147,7 @@ def entity_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
         F.transform("p", lambda s: F.struct(s["type"].alias("type"), F.lit("guess").alias("side"))),
         F.transform(F.array_intersect("g", "p"), lambda s: F.struct(s["type"].alias("type"), F.lit("hit").alias("side"))),
     )
-    sides = rows.select(F.inline(events))
+    sides = unnest_structs(rows, [], events)
 
     def count(side: str) -> Column:
         return F.sum((F.col("side") == side).cast("int")).alias(side)
@@ -165,7 +164,7 @@ def entity_scores(df: DataFrame, gold: str, predicted: str) -> DataFrame:
 
 def token_recall(df: DataFrame, gold: str, predicted: str) -> DataFrame:
     """Share of the tokens of each gold label that were given it."""
-    pairs = df.select(F.inline(F.arrays_zip(F.col(gold).alias("g"), F.col(predicted).alias("p")))).toDF("label", "p")
+    pairs = unnest_structs(df, [], F.arrays_zip(F.col(gold).alias("label"), F.col(predicted).alias("p")))
     return pairs.groupBy("label").agg(
         F.count(F.lit(1)).alias("tokens"), F.avg((F.col("label") == F.col("p")).cast("int")).alias("recall")
     )
@@ -262,7 +261,7 @@ def corpus_profile(df: DataFrame, tokens: str, short: int = 80, tiny: int = 2) -
         F.count(F.lit(1)).alias("rows"), F.avg(n).alias("mean_length"), F.max(n).alias("longest"),
         F.avg((n <= short).cast("int")).alias("share_short"), F.sum((n <= tiny).cast("int")).alias("tiny"),
     )
-    distinct = df.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    distinct = unnest(df, [], tokens, "t").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
     return base.withColumn("vocabulary", distinct.agg(F.count(F.lit(1))).scalar())
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from papyra.functions import text as tx
 from papyra.functions import transitions
+from papyra.functions.rows import unnest_structs
 from papyra.functions.shapes import PARSER_SHAPES, placeholder, word_shape
 from papyra.operators import features as fx
 
@@ -415,8 +416,7 @@ def transition_samples(graphs: DataFrame, key: str = "sent_id") -> DataFrame:
     def sample(sentences: pd.Series) -> pd.Series:
         return sentences.map(lambda s: transitions.oracle(list(s)))
 
-    rows = graphs.select(key, sample(_with_shapes(F.col("tokens"))).alias("s"))
-    return rows.select(key, F.inline("s"))
+    return unnest_structs(graphs, [key], sample(_with_shapes(F.col("tokens"))))
 
 
 def parse_batch(graphs: DataFrame, tagger: LinearTagger, key: str = "sent_id") -> DataFrame:
@@ -434,7 +434,7 @@ def parse_batch(graphs: DataFrame, tagger: LinearTagger, key: str = "sent_id") -
                 result.append([(tokens[i]["id"], tokens[h]["id"], l) for i, (h, l) in enumerate(arcs, 1)])
             yield pd.Series(result, dtype=object)
 
-    return graphs.select(key, F.inline(parse(_with_shapes(F.col("tokens")))))
+    return unnest_structs(graphs, [key], parse(_with_shapes(F.col("tokens"))))
 
 
 # --- accents -------------------------------------------------------------------------
@@ -443,7 +443,8 @@ def restoration_samples(df: DataFrame, key: str, text: str, order: int = 1) -> D
     units = df.select(key, tx.vowel_units(F.col(text)).alias("y")).withColumn(
         "x", F.transform("y", lambda u: tx.strip_diacritics(u, lower=False))
     )
-    return units.select(key, F.inline(fx.vowel_context(F.col("x"), F.col("y"), order))).select(key, "features", "label")
+    made = fx.vowel_context(F.col("x"), F.col("y"), order)
+    return unnest_structs(units, [key], made).select(key, "features", "label")
 
 
 def restore_diacritics(df: DataFrame, key: str, text: str, tagger: LinearTagger, k: int = 1) -> DataFrame:
@@ -469,7 +470,7 @@ def restore_diacritics(df: DataFrame, key: str, text: str, tagger: LinearTagger,
             yield pd.Series([_restore(model, place, o, f, k) for o, f in zip(options, feats)], dtype=object)
 
     lines = F.transform("x", lambda u, i: F.coalesce(F.try_element_at("f", i), F.lit("")))
-    found = rows.select(key, F.inline(restore(candidates, lines)))
+    found = unnest_structs(rows, [key], restore(candidates, lines))
     return found.select(key, "restored", F.round("score", 6).alias("score"))
 
 

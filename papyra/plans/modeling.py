@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest, unnest_structs
 from papyra.operators import curate, features, metrics, models, rules, segment
 from papyra.plans.curation import SENTENCES_SQL
 from papyra.plans.files import ENTITY_SQL, TAG_SQL, entity_of, tag_of
@@ -41,6 +42,12 @@ def _turns(spark, sf_dir):
     return rows.filter("size(w) > 0")
 
 
+def _turn_sentences(spark, sf_dir):
+    turns = spread(table(spark, sf_dir, "conversations"))
+    rows = unnest(turns, ["conv_id", "turn"], tx.split_sentences(F.col("text")), "text", "s")
+    return rows.select(F.concat_ws("-", "conv_id", "turn", "s").alias("id"), "text")
+
+
 TURNS_SQL = f"""turns as (select conv_id || '-' || turn as id, {WORD_ARRAY} as w from conversations),
     toks as (select id, unnest(w) as w, generate_subscripts(w, 1) as i from turns)"""
 
@@ -87,7 +94,7 @@ def stop_words(spark, sf_dir):
 )
 def ngrams(spark, sf_dir):
     words = _docs(spark, sf_dir).select(tx.words(F.lower("text")).alias("w"))
-    grams = words.select(F.explode(features.ngrams(F.col("w"), 2)).alias("gram"))
+    grams = unnest(words, [], features.ngrams(F.col("w"), 2), "gram")
     return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -178,7 +185,7 @@ def assemble_scale(spark, sf_dir):
 )
 def tagging_context(spark, sf_dir):
     rows = _tagged_turns(spark, sf_dir)
-    out = rows.select("id", F.posexplode(features.tag_context(F.col("w"), F.col("tags"), 2)).alias("i", "features"))
+    out = unnest(rows, ["id"], features.tag_context(F.col("w"), F.col("tags"), 2), "features", "i")
     return out.select("id", (F.col("i") + 1).alias("pos"), "features")
 
 
@@ -201,7 +208,7 @@ def entity_context(spark, sf_dir):
     made = features.entity_context(
         F.col("w"), F.col("tags"), F.col("chunk"), F.col("ne"), sets=("pos", "chunk", "shape", "joint")
     )
-    out = rows.select("id", F.posexplode(made).alias("i", "features"))
+    out = unnest(rows, ["id"], made, "features", "i")
     return out.select("id", (F.col("i") + 1).alias("pos"), "features")
 
 
@@ -213,15 +220,12 @@ def entity_rule_context(spark, sf_dir):
     rows = rows.withColumn("r", rules.match_rules(F.col("w"), F.col("k"), PATTERN_RULES))
     rows = rows.withColumn("ne", F.transform("w", lambda w: entity_of(w)))
     made = features.entity_context(F.col("w"), F.col("tags"), F.col("tags"), F.col("ne"), F.col("r"))
-    return rows.select("id", F.posexplode(made).alias("pos", "features"))
+    return unnest(rows, ["id"], made, "features", "pos")
 
 
 @query("e11_vowel_context")
 def vowel_context(spark, sf_dir):
-    rows = spread(table(spark, sf_dir, "conversations")).select(
-        F.concat_ws("-", "conv_id", "turn").alias("id"), F.posexplode(tx.split_sentences(F.col("text"))).alias("s", "text")
-    )
-    return models.restoration_samples(rows.select(F.concat_ws("-", "id", "s").alias("id"), "text"), "id", "text")
+    return models.restoration_samples(_turn_sentences(spark, sf_dir), "id", "text")
 
 
 SEQUENCE_SQL = f"""with {VOCAB_SQL}, w as (select doc_id, {WORD_ARRAY} as w from documents),
@@ -429,7 +433,7 @@ def relative_head(spark, sf_dir):
     f"(select unnest({WORD_ARRAY}) as t from documents)) where tag in ('N', 'V')",
 )
 def word_sets_by_tag(spark, sf_dir):
-    tokens = _doc_words(spark, sf_dir).select(F.explode("w").alias("t")).withColumn("tag", tag_of(F.col("t")))
+    tokens = unnest(_doc_words(spark, sf_dir), [], "w", "t").withColumn("tag", tag_of(F.col("t")))
     return features.words_by_tag(tokens, "t", "tag", ["N", "V"])
 
 
@@ -529,9 +533,8 @@ def _tag_rows(spark, sf_dir, reverse=False):
     if reverse:
         rows = rows.select("id", F.reverse("w").alias("w"), F.reverse("tags").alias("tags"))
     made = features.tag_context(F.col("w"), F.col("tags"), 2)
-    return rows.select("id", F.posexplode(F.arrays_zip(made.alias("features"), F.col("tags").alias("label")))).select(
-        "id", "pos", "col.features", "col.label"
-    )
+    pairs = F.arrays_zip(made.alias("features"), F.col("tags").alias("label"))
+    return unnest(rows, ["id"], pairs, "t", "pos").select("id", "pos", "t.features", "t.label")
 
 
 def _fit_tags(spark, sf_dir, reverse=False):
@@ -556,7 +559,7 @@ def greedy_tag_decoding(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("shapes", features.useful_shapes(F.col("w")))
     static = features.tag_context(F.col("w"), None, 0, shapes=F.col("shapes"))
     out = models.greedy_tag(rows, "w", static, tagger)
-    return out.select("id", F.posexplode("tags").alias("pos", "tag"))
+    return unnest(out, ["id"], "tags", "tag", "pos")
 
 
 PATH_SQL = """s as (select vec_id, (i - 1) // 4 as pos, (i - 1) % 4 as label, cast(e as double) as score from (
@@ -584,7 +587,7 @@ def lattice_decoding(spark, sf_dir):
 @query("f9b_beam_decoding")
 def beam_decoding(spark, sf_dir):
     scores = tx.chunk_array(F.slice(F.col("embedding").cast("array<double>"), 1, 32), 4)
-    paths = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(models.beam(scores, 3)).alias("rank", "p"))
+    paths = unnest(table(spark, sf_dir, "embeddings"), ["vec_id"], models.beam(scores, 3), "p", "rank")
     return paths.select("vec_id", "rank", F.round("p.score", 6).alias("score"), F.array_join("p.path", " ").alias("path"))
 
 
@@ -622,7 +625,7 @@ RUNS_SQL = f"""{TURNS_SQL}, t as (select id, i, w, case when regexp_matches(w, '
 def entity_extraction(spark, sf_dir):
     tags = F.transform("w", lambda w: F.when(w.rlike("^[A-M]"), "B-ORG").when(F.length(w) > 8, "I-ORG").otherwise("O"))
     rows = _turns(spark, sf_dir).withColumn("tags", tags)
-    out = rows.select("id", F.inline(models.extract_entities(F.col("w"), F.col("tags"))))
+    out = unnest_structs(rows, ["id"], models.extract_entities(F.col("w"), F.col("tags")))
     return out.select("id", "start", "entity", "type")
 
 
@@ -640,10 +643,7 @@ def _graphs(spark, sf_dir):
         F.lit("0").alias("id"), *[F.lit("ROOT").alias(c) for c in ("word", "lemma", "upos", "pos", "feats")],
         F.lit("-1").alias("head"), F.lit("ROOT").alias("label"), F.lit("ROOT").alias("supertag"),
     )
-    turns = spread(table(spark, sf_dir, "conversations"))
-    sentences = turns.select(
-        "conv_id", "turn", F.posexplode(tx.split_sentences(F.col("text"))).alias("s", "text")
-    ).select(F.concat_ws("-", "conv_id", "turn", "s").alias("sent_id"), tx.words(F.col("text")).alias("w"))
+    sentences = _turn_sentences(spark, sf_dir).select(F.col("id").alias("sent_id"), tx.words(F.col("text")).alias("w"))
     return sentences.select("sent_id", F.concat(F.array(root), F.transform("w", token)).alias("tokens"))
 
 
@@ -663,7 +663,7 @@ def transition_samples(spark, sf_dir):
 def attachment_rules(spark, sf_dir):
     wanted = [("E", "the la le der", "V", "det"), ("E", "of de von", "N", "case")]
     arcs = models.attach_rules(F.col("w"), F.col("tags"), wanted)
-    return _tagged_turns(spark, sf_dir).select("id", F.inline(arcs))
+    return unnest_structs(_tagged_turns(spark, sf_dir), ["id"], arcs)
 
 
 @query("f14_batch_parse")
@@ -684,7 +684,7 @@ def batch_parse(spark, sf_dir):
 def diacritic_restoration(spark, sf_dir):
     """Two best accented readings of each sentence of the Romance documents."""
     docs = spread(table(spark, sf_dir, "documents").filter("lang in ('fr', 'es')"))
-    sentences = docs.select("doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("s", "text")).select(
+    sentences = unnest(docs, ["doc_id"], tx.split_sentences(F.col("text")), "text", "s").select(
         F.concat_ws("-", "doc_id", "s").alias("id"), F.lower("text").alias("text")
     )
     samples = materialize(models.restoration_samples(sentences, "id", "text"), "samples")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import shapes as sh
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest, unnest_structs
 from papyra.operators import features, rules, segment
 from papyra.plans.curation import SENTENCES_SQL
 from papyra.plans.registry import query, spread, table
@@ -33,7 +34,7 @@ def _doc_words(spark, sf_dir):
 
 
 def _tokens(spark, sf_dir):
-    return _doc_words(spark, sf_dir).select("doc_id", F.explode("w").alias("t"))
+    return unnest(_doc_words(spark, sf_dir), ["doc_id"], "w", "t")
 
 
 TOKENS_SQL = f"t as (select doc_id, unnest({WORDS.format('text')}) as t from documents)"
@@ -69,16 +70,13 @@ def tone_placement(spark, sf_dir):
     select doc_id, generate_subscripts(s, 1) as pos, unnest(s) as sentence from s""",
 )
 def sentence_split(spark, sf_dir):
-    parts = _docs(spark, sf_dir).select(
-        "doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("i", "sentence")
-    )
+    parts = unnest(_docs(spark, sf_dir), ["doc_id"], tx.split_sentences(F.col("text")), "sentence", "i")
     return parts.select("doc_id", (F.col("i") + 1).alias("pos"), "sentence")
 
 
 def _sentences(spark, sf_dir):
-    rows = spread(_docs(spark, sf_dir)).select(
-        "doc_id", F.posexplode(tx.split_sentences(F.col("text"))).alias("sent", "text")
-    )
+    docs = spread(_docs(spark, sf_dir))
+    rows = unnest(docs, ["doc_id"], tx.split_sentences(F.col("text")), "sentence", "sent").withColumnRenamed("sentence", "text")
     return rows.select(F.concat_ws("-", "doc_id", "sent").alias("sent_id"), "text")
 
 
@@ -88,29 +86,25 @@ def _lexicon(spark, sf_dir):
 
 @query("d4_token_bricks")
 def token_bricks(spark, sf_dir):
-    rows = _sentences(spark, sf_dir).select("sent_id", F.inline(segment.token_bricks("text")))
-    return rows
+    return unnest_structs(_sentences(spark, sf_dir), ["sent_id"], segment.token_bricks("text"))
 
 
 @query("d5_longest_match")
 def longest_match(spark, sf_dir):
     sentences = _sentences(spark, sf_dir)
-    return segment.segment(sentences, "sent_id", "text", _lexicon(spark, sf_dir)).select(
-        "sent_id", F.inline("tokens")
-    )
+    return unnest_structs(segment.segment(sentences, "sent_id", "text", _lexicon(spark, sf_dir)), ["sent_id"], "tokens")
 
 
 @query("d6_name_repair")
 def name_repair(spark, sf_dir):
     """Tokens that took in a neighbour: capital runs joined through the lexicon."""
-    pairs = _docs(spark, sf_dir).select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+ \p{Ll}+)"), F.lit(1))).alias("term")
-    )
+    found = F.regexp_extract_all("text", F.lit(r"(\p{Lu}\p{Ll}+ \p{Ll}+)"), F.lit(1))
+    pairs = unnest(_docs(spark, sf_dir), [], found, "term")
     lexicon = (
         pairs.groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("term")
     )
     out = segment.segment(_sentences(spark, sf_dir), "sent_id", "text", lexicon)
-    return out.select("sent_id", F.inline("tokens")).filter("shape = 'capital' and token like '%\\_%'")
+    return unnest_structs(out, ["sent_id"], "tokens").filter("shape = 'capital' and token like '%\\_%'")
 
 
 @query(
@@ -261,7 +255,7 @@ def vowel_sequence(spark, sf_dir):
 
 @query("d17_vowel_candidates")
 def vowel_candidates(spark, sf_dir):
-    units = spread(_docs(spark, sf_dir)).select("doc_id", F.posexplode(tx.vowel_units(F.col("text"), False)).alias("pos", "unit"))
+    units = unnest(spread(_docs(spark, sf_dir)), ["doc_id"], tx.vowel_units(F.col("text"), False), "unit", "pos")
     out = units.withColumn("candidates", tx.vowel_candidates(F.lower("unit"))).filter("candidates is not null")
     return out.select("doc_id", "pos", "unit", F.array_join("candidates", " ").alias("candidates"))
 
@@ -296,8 +290,8 @@ def phrase_mapping(spark, sf_dir):
     select doc_id, generate_subscripts(a, 1) as line, trim(unnest(a)) as text from l""",
 )
 def slice_lines(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", F.posexplode(tx.wrap_text(F.col("text"), 80)).alias("i", "text"))
-    return rows.select("doc_id", (F.col("i") + 1).alias("line"), "text")
+    rows = unnest(_docs(spark, sf_dir), ["doc_id"], tx.wrap_text(F.col("text"), 80), "piece", "i")
+    return rows.select("doc_id", (F.col("i") + 1).alias("line"), F.col("piece").alias("text"))
 
 
 @query(
@@ -307,7 +301,7 @@ def slice_lines(spark, sf_dir):
     select doc_id, s // 16 as chunk, array_to_string(w[s + 1 : s + 16], ' ') as words from c""",
 )
 def split_array(spark, sf_dir):
-    rows = _doc_words(spark, sf_dir).select("doc_id", F.posexplode(tx.chunk_array(F.col("w"), 16)).alias("chunk", "c"))
+    rows = unnest(_doc_words(spark, sf_dir), ["doc_id"], tx.chunk_array(F.col("w"), 16), "c", "chunk")
     return rows.select("doc_id", "chunk", F.array_join("c", " ").alias("words"))
 
 
@@ -445,7 +439,6 @@ PATTERN_RULES = {
 def token_regex(spark, sf_dir):
     sentences = _sentences(spark, sf_dir).select("sent_id", tx.words(F.col("text")).alias("w"))
     classes = F.transform("w", lambda t: rules.token_classes(t, PATTERN_WORDS, {}, PATTERN_SHAPES))
-    out = sentences.withColumn("k", classes).select(
-        "sent_id", F.posexplode(F.arrays_zip("w", rules.match_rules(F.col("w"), F.col("k"), PATTERN_RULES).alias("r")))
-    )
-    return out.select("sent_id", "pos", F.col("col.w").alias("token"), F.col("col.r").alias("rule")).filter("rule is not null")
+    labels = rules.match_rules(F.col("w"), F.col("k"), PATTERN_RULES)
+    out = unnest(sentences.withColumn("k", classes), ["sent_id"], F.arrays_zip("w", labels.alias("r")), "t", "pos")
+    return out.select("sent_id", "pos", F.col("t.w").alias("token"), F.col("t.r").alias("rule")).filter("rule is not null")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from papyra.functions import text as tx
+from papyra.functions.rows import unnest
 
 
 # --- plain files -----------------------------------------------------------------
@@ -132,9 +133,7 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "\n\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r", "").alias("value")
     )
-    parts = records.select(
-        "file", F.explode(F.split("value", r"(?:\A|\n)\s*(?:\n|\z)")).alias("block")
-    )
+    parts = unnest(records, ["file"], F.split("value", r"(?:\A|\n)\s*(?:\n|\z)"), "block")
     lines = F.filter(F.split("block", "\n"), lambda s: F.trim(s) != "")
     return (
         parts.select("file", F.monotonically_increasing_id().alias("block_id"), lines.alias("lines"))
@@ -291,7 +290,7 @@ def markup_to_bio(
     """
     piece = F.regexp_extract_all(F.col(text), F.lit(r"<\w+>[^<]*</\w+>|[^<]+"), F.lit(0))
     names = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    rows = df.select(key, F.posexplode(piece).alias("_i", "_p")).select(
+    rows = unnest(df, [key], piece, "_p", "_i").select(
         key, "_i",
         F.when(
             F.col("_p").startswith("<"),
