@@ -47,15 +47,13 @@ def dedup_impute(df: DataFrame, key: str, ts: str, value: str, tie: str, seconds
     step = F.timestamp_seconds(F.floor(F.unix_timestamp(ts) / seconds) * seconds)
     single = df.groupBy(key, step.alias("step")).agg(F.min_by(value, tie).alias(value))
     limits = single.groupBy(key).agg(F.min("step").alias("lo"), F.max("step").alias("hi"))
-    days = limits.select(
-        key, "lo", "hi",
-        F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).cast("timestamp").alias("day"),
-    )
-    from_s = F.greatest(F.unix_timestamp("day"), F.unix_timestamp("lo"))
+    days = limits.select(key, "lo", "hi", F.explode(F.sequence(F.to_date("lo"), F.to_date("hi"))).alias("day"))
+    midnight = F.unix_timestamp(F.col("day").cast("timestamp"))
+    from_s = F.greatest(midnight, F.unix_timestamp("lo"))
     first = F.ceil(from_s / seconds) * seconds
-    last = F.least(F.unix_timestamp("day") + 86399, F.unix_timestamp("hi"))
+    last = F.least(midnight + 86399, F.unix_timestamp("hi"))
     steps = F.when(first <= last, F.sequence(first, last, F.lit(seconds).cast("long")))
-    calendar = days.select(key, F.timestamp_seconds(F.explode(steps)).alias("step"))
+    calendar = days.select(key, F.explode(steps).alias("_s")).select(key, F.timestamp_seconds("_s").alias("step"))
     full = calendar.join(single, [key, "step"], "left")
     return ordered.carry_forward(full, [key], ["step"], [value])
 

@@ -6,7 +6,7 @@ import importlib
 
 from papyra.plans.registry import REGISTRY, Query
 
-FAMILIES = ["curation", "files", "textual", "modeling"]
+FAMILIES = ["curation", "files", "textual", "modeling", "retrieval", "scoring", "dialogs", "timeseries", "streamjobs"]
 
 
 def load_all() -> dict[str, Query]:
