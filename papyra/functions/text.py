@@ -189,43 +189,41 @@ def _unit_regex(units: dict[str, list[str]]) -> str:
     return "|".join(sorted(forms))
 
 
-def vowel_units(text: Column, keep_diacritics: bool = True) -> Column:
-    """Cut text into onset, vowel group and rest; separators are units of their own."""
-    single = "".join(sorted({f for fs in SINGLE_UNITS.values() for f in fs}))
-    vowels = "".join(c for c in single if c not in "dđ")
-    sep = re.escape(UNIT_SEPARATORS).replace("\\ ", " ")
-    tokens = F.regexp_extract_all(place_tones(text), F.lit(f"[{sep}]|[^{sep}~]+"), F.lit(0))
-
-    letters = f"[{single}]"
-    # a run of vowel letters is looked for first, it rules out most tokens cheaply
-    levels = [
-        (f"{letters}{{3}}", _unit_regex(TRIPLE_UNITS)),
-        (f"{letters}{{2}}", _unit_regex(PAIR_UNITS)),
-        (letters, letters),
-    ]
-
-    def around(rest: Column, unit: Column) -> Column:
-        at = F.instr(rest, unit)
-        return F.array(
-            F.substr(rest, F.lit(1), at - 1), unit, F.substr(rest, at + F.length(unit))
-        )
+def _grouped_regex(forms: set[str]) -> str:
+    """Regex for strings of one length, letters with the same continuations in one class."""
+    tails: dict[str, set[str]] = {}
+    for form in forms:
+        tails.setdefault(form[0], set()).add(form[1:])
+    groups: dict[frozenset, str] = {}
+    for letter in sorted(tails):
+        key = frozenset(tails[letter])
+        groups[key] = groups.get(key, "") + letter
+    branches = []
+    for rest, letters in groups.items():
+        follow = "" if rest == frozenset([""]) else _grouped_regex(set(rest))
+        branches.append(f"[{letters}]{follow}")
+    return branches[0] if len(branches) == 1 else f"(?:{'|'.join(branches)})"
 
-    def cut_at(rest: Column) -> Column:
-        unit = F.lit("")
-        for run, pattern in reversed(levels):
-            found = F.when(rest.rlike(run), F.regexp_extract(rest, pattern, 0)).otherwise(F.lit(""))
-            unit = F.coalesce(F.nullif(found, F.lit("")), unit)
-        return let(unit, lambda u: F.when(u == "", F.array(rest)).otherwise(around(rest, u)))
-
-    def cut(token: Column) -> Column:
-        onset = F.regexp_extract(token, rf"\A((?:[qQ][uU])|(?:[gG][iI](?=[{vowels}dđ]))|[dđ])", 1)
-        pieces = let(
-            onset,
-            lambda o: F.concat(F.array(o), let(F.substr(token, F.length(o) + 1), cut_at)),
-        )
-        return F.filter(pieces, lambda p: p != "")
 
-    units = F.flatten(F.transform(tokens, cut))
+def vowel_units(text: Column, keep_diacritics: bool = True) -> Column:
+    """Cut text into onset, vowel group and rest; separators are units of their own.
+
+    Each pass marks cuts over the whole text: onsets first, then in every syllable its
+    first triple, in those still uncut the first pair, then the first single vowel.
+    """
+    singles = {f for fs in SINGLE_UNITS.values() for f in fs}
+    sep = re.escape(UNIT_SEPARATORS).replace("\\ ", " ") + "~"
+    open_, done = "\x01", "\x02"
+    onset = rf"(?<![^{sep}])([qQ][uU]|[gG][iI](?=[{''.join(sorted(singles))}])|[dđ])"
+    out = F.regexp_replace(place_tones(text), onset, f"$1{open_}")
+    for units in (TRIPLE_UNITS, PAIR_UNITS, SINGLE_UNITS):
+        group = _grouped_regex({f for fs in units.values() for f in fs} | set(units))
+        inner = f"[^{sep}{open_}{done}]"
+        uncut = rf"(?<![^{sep}{open_}])({inner}*?)({group})({inner}*+)(?![^{sep}])"
+        out = F.regexp_replace(out, uncut, f"$1{done}$2{done}$3")
+    out = F.regexp_replace(out, f"[{sep}]", f"{done}$0{done}")
+    parts = F.split(F.translate(out, f"{open_}~", done * 2), f"{done}+")
+    units = F.filter(parts, lambda u: u != "")
     return units if keep_diacritics else F.transform(units, lambda u: strip_diacritics(u, lower=False))
 
 
@@ -336,21 +334,25 @@ def clean_category(name: Column, lower: bool = True) -> Column:
 
 
 def parse_log(line: Column) -> Column:
-    """Struct of the nine log fields; null where the line has another form."""
-    group = [F.regexp_extract(line, rf"\A{LOG_PATTERN}\z", i) for i in range(1, 10)]
-    request = F.split(group[4], " ")
-    three = F.size(request) == 3
+    """Struct of the nine log fields; null where the line has another form.
+
+    One replacement lays the groups out between separators, so the pattern runs once.
+    """
+    mark = "\x01"
+    laid_out = F.regexp_replace(line, rf"\A{LOG_PATTERN}\z", mark.join(f"${i}" for i in range(1, 10)))
+    return let(F.split(laid_out, mark), _log_fields)
+
 
+def _log_fields(group: Column) -> Column:
     def part(i: int) -> Column:
-        return F.when(three, F.try_element_at(request, F.lit(i + 1))).otherwise(F.lit("[error]"))
+        request = F.split(group[4], " ")
+        return F.when(F.size(request) == 3, F.get(request, F.lit(i))).otherwise(F.lit("[error]"))
 
     fields = F.struct(
         group[0].alias("ip"),
         group[1].alias("client"),
         group[2].alias("user"),
-        F.try_to_timestamp(
-            F.regexp_extract(group[3], r"\[(\S+)", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")
-        ).alias("ts"),
+        F.try_to_timestamp(F.regexp_extract(group[3], r"\[(\S+)", 1), F.lit("dd/MMM/yyyy:HH:mm:ss")).alias("ts"),
         part(0).alias("method"),
         part(1).alias("url"),
         part(2).alias("protocol"),
@@ -359,7 +361,7 @@ def parse_log(line: Column) -> Column:
         group[7].alias("referer"),
         group[8].alias("agent"),
     )
-    return F.when(line.rlike(rf"\A{LOG_PATTERN}\z"), fields)
+    return F.when(F.size(group) == 9, fields)
 
 
 def group_slots(slots: Column) -> Column:

@@ -28,7 +28,7 @@ WORD_ARRAY = WORDS.format("text")
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _doc_words(spark, sf_dir):
@@ -37,7 +37,7 @@ def _doc_words(spark, sf_dir):
 
 def _turns(spark, sf_dir):
     """Turns as sentences: id and word array."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     rows = turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), tx.words(F.col("text")).alias("w"))
     return rows.filter("size(w) > 0")
 

@@ -40,4 +40,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy row functions enough tasks when a table has only a few files."""
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df

@@ -9,7 +9,7 @@ from papyra.operators import metrics, search
 from papyra.plans.files import ENTITY_SQL, TAG_SQL, entity_of, tag_of
 from papyra.plans.modeling import TURNS_SQL, _tagged_turns, _turns
 from papyra.plans.registry import query, table
-from papyra.plans.retrieval import BENCH_QUERIES_SQL, SEARCH_SQL, bench_queries, document_index
+from papyra.plans.retrieval import BENCH_QUERIES_SQL, SEARCH_SQL, bench_queries, stored_index
 from papyra.plans.textual import WORDS
 
 WORD_ARRAY = WORDS.format("text")
@@ -236,19 +236,20 @@ def char_token_accuracy(spark, sf_dir):
 )
 def reciprocal_rank(spark, sf_dir):
     """Relevant documents are those that hold a benchmark passage word for word."""
-    ranked = search.and_search(document_index(spark, sf_dir), bench_queries(spark, sf_dir), 10)
-    gold = contained_passages(spark, sf_dir)
+    index = stored_index(spark, sf_dir)
+    ranked = search.and_search(index, bench_queries(spark, sf_dir), 10)
+    gold = contained_passages(spark, sf_dir, index)
     return metrics.mrr(ranked, gold, 5).withColumn("mrr", F.round("mrr", 6))
 
 
-def contained_passages(spark, sf_dir):
+def contained_passages(spark, sf_dir, index):
     """``(qid, doc_id)`` of documents containing a passage as a substring.
 
     A passage can only lie in a document that has all of its words, so the all-terms
     search without a cut-off gives the pairs to check.
     """
     items = bench_queries(spark, sf_dir)
-    pairs = search.and_search(document_index(spark, sf_dir), items, 1 << 30).select("qid", "doc_id")
+    pairs = search.and_search(index, items, 1 << 30).select("qid", "doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     held = pairs.join(passages, "qid").join(docs, "doc_id").filter(F.contains("text", "passage"))

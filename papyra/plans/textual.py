@@ -26,11 +26,11 @@ def shape_sql(token: str, shapes=sh.TEXT_SHAPES) -> str:
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _doc_words(spark, sf_dir):
-    return spread(_docs(spark, sf_dir)).select("doc_id", tx.words(F.col("text")).alias("w"))
+    return _docs(spark, sf_dir).select("doc_id", tx.words(F.col("text")).alias("w"))
 
 
 def _tokens(spark, sf_dir):
@@ -75,7 +75,7 @@ def sentence_split(spark, sf_dir):
 
 
 def _sentences(spark, sf_dir):
-    docs = spread(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
     rows = unnest(docs, ["doc_id"], tx.split_sentences(F.col("text")), "sentence", "sent").withColumnRenamed("sentence", "text")
     return rows.select(F.concat_ws("-", "doc_id", "sent").alias("sent_id"), "text")
 
@@ -249,13 +249,13 @@ def _cut_sql(rest: str) -> str:
     select doc_id, string_agg(u, '|' order by i) as units from t join u using (t) group by doc_id""",
 )
 def vowel_sequence(spark, sf_dir):
-    docs = spread(_docs(spark, sf_dir))
+    docs = _docs(spark, sf_dir)
     return docs.select("doc_id", F.array_join(tx.vowel_units(F.col("text")), "|").alias("units"))
 
 
 @query("d17_vowel_candidates")
 def vowel_candidates(spark, sf_dir):
-    units = unnest(spread(_docs(spark, sf_dir)), ["doc_id"], tx.vowel_units(F.col("text"), False), "unit", "pos")
+    units = unnest(_docs(spark, sf_dir), ["doc_id"], tx.vowel_units(F.col("text"), False), "unit", "pos")
     out = units.withColumn("candidates", tx.vowel_candidates(F.lower("unit"))).filter("candidates is not null")
     return out.select("doc_id", "pos", "unit", F.array_join("candidates", " ").alias("candidates"))
 
