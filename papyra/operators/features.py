@@ -434,17 +434,23 @@ def lm_windows(df: DataFrame, key: str, ids: str, steps: int) -> DataFrame:
     """The whole corpus as one id stream (by key), cut into windows of ``steps + 1`` ids.
 
     Windows start every ``steps`` ids, so neighbours share one id. Stream positions come
-    from a running total over row lengths; windows are then built independently.
+    from a running total over row lengths; each row then gives its slice of every window
+    it touches, and only slices, not single ids, are shuffled.
     """
-    sized = df.select(key, ids, F.size(ids).alias("_n"))
+    sized = df.select(key, F.col(ids).alias("_ids"), F.size(ids).cast("long").alias("_n"))
     placed = ordered.running_total(sized, [key], "_n", "_start")
-    rows = unnest(placed, ["_start"], ids, "id", "_i").select(
-        (F.col("_start") + F.col("_i")).alias("at"), "id"
-    )
-    window = F.floor(F.col("at") / steps)
-    shared = F.when((F.col("at") % steps == 0) & (F.col("at") > 0), window - 1)
-    cells = rows.select("at", "id", F.explode(F.array_compact(F.array(window, shared))).alias("window"))
-    grouped = cells.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("_c"))
-    return grouped.filter(F.size("_c") == steps + 1).select(
-        "window", F.transform("_c", lambda c: c["id"]).alias("ids")
-    )
+    start, last = F.col("_start"), F.col("_start") + F.col("_n") - 1
+    lowest = F.greatest(F.ceil(start / steps) - 1, F.lit(0))
+    windows = F.when(F.col("_n") > 0, F.sequence(lowest, F.floor(last / steps)))
+
+    def piece(w: Column) -> Column:
+        """The part of window ``w`` that lies in this row."""
+        begin = F.greatest(w * steps, start)
+        size = F.least(w * steps + steps, last) - begin + 1
+        ids_in = F.slice("_ids", (begin - start + 1).cast("int"), size.cast("int"))
+        return F.struct(w.alias("window"), begin.alias("begin"), ids_in.alias("ids"))
+
+    pieces = unnest(placed, [], F.transform(windows, piece), "p").select("p.*")
+    grouped = pieces.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("begin", "ids"))).alias("_p"))
+    whole = F.flatten(F.transform("_p", lambda p: p["ids"]))
+    return grouped.select("window", whole.alias("ids")).filter(F.size("ids") == steps + 1)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as mlc
@@ -19,6 +20,7 @@ from pyspark.sql import types as T
 
 from papyra.functions import text as tx
 from papyra.functions import transitions
+from papyra.functions.arrow import struct_lists
 from papyra.functions.rows import unnest_structs
 from papyra.functions.shapes import PARSER_SHAPES, placeholder, word_shape
 from papyra.operators import features as fx
@@ -412,9 +414,10 @@ def _with_shapes(tokens: Column) -> Column:
 def transition_samples(graphs: DataFrame, key: str = "sent_id") -> DataFrame:
     """Treebank rows (``tokens`` with the root first) to ``(key, features, transition)``."""
 
-    @F.pandas_udf(_SAMPLES)
-    def sample(sentences: pd.Series) -> pd.Series:
-        return sentences.map(lambda s: transitions.oracle(list(s)))
+    @F.arrow_udf(_SAMPLES)
+    def sample(sentences: pa.Array) -> pa.Array:
+        fields = [("features", pa.string()), ("transition", pa.string())]
+        return struct_lists((transitions.oracle(s) for s in sentences.to_pylist()), fields)
 
     return unnest_structs(graphs, [key], sample(_with_shapes(F.col("tokens"))))
 
@@ -423,16 +426,16 @@ def parse_batch(graphs: DataFrame, tagger: LinearTagger, key: str = "sent_id") -
     """Predicted ``(key, id, head, label)`` rows of sentences, one Arrow batch at a time."""
     shared = graphs.sparkSession.sparkContext.broadcast(tagger)
 
-    @F.pandas_udf(_HEADS)
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
+    @F.arrow_udf(_HEADS)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, fields = shared.value, [(n, pa.string()) for n in ("id", "head", "label")]
+
+        def heads(tokens: list[dict]) -> list[tuple[str, str, str]]:
+            arcs = transitions.parse(tokens, model.ranked)
+            return [(tokens[i]["id"], tokens[h]["id"], label) for i, (h, label) in enumerate(arcs, 1)]
+
         for sentences in batches:
-            result = []
-            for s in sentences:
-                tokens = list(s)
-                arcs = transitions.parse(tokens, model.ranked)
-                result.append([(tokens[i]["id"], tokens[h]["id"], l) for i, (h, l) in enumerate(arcs, 1)])
-            yield pd.Series(result, dtype=object)
+            yield struct_lists((heads(s) for s in sentences.to_pylist()), fields)
 
     return unnest_structs(graphs, [key], parse(_with_shapes(F.col("tokens"))))
 

@@ -58,18 +58,23 @@ def _before(keys: list[str], order: str):
     return window.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
 
 
+def _keyed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the key as one struct, which joins and groups null keys like any other."""
+    return df.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+
+
 def row_index(df: DataFrame, keys: list[str], order: list[str], name: str = "_rn") -> DataFrame:
     """Exact 0-based row number within ``keys`` by ``order``."""
-    cut = with_order_bucket(df, order)
-    sizes = cut.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    cut = _keyed(with_order_bucket(df, order), keys)
+    sizes = cut.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.select(
-        *keys, "_range", F.coalesce(F.sum("_n").over(_before(keys, "_range")), F.lit(0)).alias("_offset")
+        "_key", "_range", F.coalesce(F.sum("_n").over(_before(["_key"], "_range")), F.lit(0)).alias("_offset")
     )
-    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(*order))
+    inside = F.row_number().over(W.partitionBy("_key", "_range").orderBy(*order))
     return (
-        cut.join(offsets, [*keys, "_range"])
+        cut.join(offsets, ["_key", "_range"])
         .withColumn(name, F.col("_offset") + inside - 1)
-        .drop("_range", "_offset")
+        .drop("_key", "_range", "_offset")
     )
 
 
@@ -91,8 +96,8 @@ def running_total(df: DataFrame, order: list[str], amount: str, name: str = "_be
 
 
 def value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """``(value, ties, below)``: rows with the value and rows with a smaller one."""
-    counted = df.groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
+    """``(value, ties, below)``: rows with the value and rows with a smaller one, nulls apart."""
+    counted = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("ties"))
     return running_total(counted, [value], "ties", "below")
 
 
@@ -127,21 +132,21 @@ def at_home(df: DataFrame) -> DataFrame:
 
 def carry_forward(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Fill nulls with the latest earlier value of the same key."""
-    cut = with_order_bucket(df, order)
-    at = F.struct(*order)
-    lasts = cut.groupBy(*keys, "_range").agg(
+    cut = _keyed(with_order_bucket(df, order), keys)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    lasts = cut.groupBy("_key", "_range").agg(
         *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), at)).alias(f"_last_{c}") for c in columns]
     )
     carried = lasts.select(
-        *keys,
+        "_key",
         "_range",
-        *[F.last(f"_last_{c}", True).over(_before(keys, "_range")).alias(f"_carry_{c}") for c in columns],
+        *[F.last(f"_last_{c}", True).over(_before(["_key"], "_range")).alias(f"_carry_{c}") for c in columns],
     )
-    inside = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = cut.join(carried, [*keys, "_range"])
+    inside = W.partitionBy("_key", "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = cut.join(carried, ["_key", "_range"])
     for c in columns:
         out = out.withColumn(f"_fill_{c}", F.coalesce(F.last(c, True).over(inside), F.col(f"_carry_{c}")))
-    drops = ["_range", *columns, *[f"_carry_{c}" for c in columns]]
+    drops = ["_key", "_range", *columns, *[f"_carry_{c}" for c in columns]]
     out = out.drop(*drops)
     for c in columns:
         out = out.withColumnRenamed(f"_fill_{c}", c)

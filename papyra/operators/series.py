@@ -91,7 +91,8 @@ def time_split(df: DataFrame, ts: str, ratios: dict[str, float]) -> DataFrame:
     for name in names[:-1]:
         upper += ratios[name]
         label = label.when(share < upper, F.lit(name))
-    return numbered.join(ranks, "_t").withColumn("split", label.otherwise(F.lit(names[-1]))).drop("_t", "ties", "below")
+    label = F.when(share.isNotNull(), label.otherwise(F.lit(names[-1])) if len(names) > 1 else F.lit(names[0]))
+    return numbered.join(ranks, "_t", "left").withColumn("split", label).drop("_t", "ties", "below")
 
 
 def extreme_flag(df: DataFrame, value: str, q: float = 0.9) -> DataFrame:
@@ -99,7 +100,7 @@ def extreme_flag(df: DataFrame, value: str, q: float = 0.9) -> DataFrame:
     ranks = ordered.value_ranks(df, value)
     total = df.agg(F.count(value)).scalar()
     rank = (F.col("below") + (F.col("ties") + 1) / 2) / total
-    return df.join(ranks, value).withColumn("rank", rank).withColumn("extreme", (rank >= q).cast("int")).drop("ties", "below")
+    return df.join(ranks, value, "left").withColumn("rank", rank).withColumn("extreme", (rank >= q).cast("int")).drop("ties", "below")
 
 
 def join_series(frames: list[DataFrame], on: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
 from papyra.operators import curate
-from papyra.plans.registry import query, table
+from papyra.plans.registry import query, spread, table
 
 TRIM = r"regexp_replace({0}, '^[ \t\n\v\f\r]+|[ \t\n\v\f\r]+$', '', 'g')"
 BAD = (
@@ -37,7 +37,7 @@ def filter_bad_rows(spark, sf_dir):
 
 @query("c2_min_tokens", f"select doc_id, n_chars from documents where {COUNT80}")
 def min_tokens(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return curate.filter_min_tokens(docs, "text", 80).select("doc_id", "n_chars")
 
 
@@ -55,7 +55,7 @@ def exact_doc_dedup(spark, sf_dir):
 
 @query("c6_paragraph_dedup", f"with {_paragraph_dedup_sql('documents')} select doc_id, text from d")
 def paragraph_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return curate.dedup_paragraphs(docs, "doc_id", "text")
 
 
@@ -65,7 +65,7 @@ def paragraph_dedup(spark, sf_dir):
     select doc_id, {LINE_FILTER} as text from g""",
 )
 def curate_doc_level(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return curate.curate_docs(docs, "doc_id", "text")
 
 
@@ -75,7 +75,7 @@ def curate_doc_level(spark, sf_dir):
     {_paragraph_dedup_sql('u')} select doc_id, text from d where {BAD}""",
 )
 def curate_crawl(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return curate.curate_crawl(docs, "doc_id", "text")
 
 
@@ -91,7 +91,7 @@ def _stats_sql(source: str, stage: str) -> str:
     f"union all {_stats_sql('d', 'output')}",
 )
 def corpus_stats(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "text")
     return curate.dedup_report(docs, curate.dedup_paragraphs(docs, "doc_id", "text"), "text")
 
 
@@ -193,7 +193,7 @@ def category_merge(spark, sf_dir):
     from (select doc_id, {SENTENCES_SQL.format('text')} as s from documents) where len(s) >= 5""",
 )
 def min_sentences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", tx.split_sentences(F.col("text")).alias("sentences")
     )
     kept = curate.filter_sentences(docs, "sentences")
@@ -230,7 +230,7 @@ def body_slice(spark, sf_dir):
     from (select doc_id, {SENTENCES_SQL.format('text')} as s from documents)""",
 )
 def sentence_selection(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", tx.split_sentences(F.col("text")).alias("sentences")
     )
     kept = curate.select_sentences(docs, "sentences")
