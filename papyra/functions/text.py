@@ -21,12 +21,12 @@ MASKED_PUNCTUATION = [
 ]
 QUERY_PUNCTUATION = "[.,?!;:\"…/”“″=^▪•<>&«\\])(\\[\u200b\ufeff+-]+"
 QUESTION_WORDS = "(hay|không|là|gì|nào|và|hoặc)+"
-ADDRESS_RULES: list[tuple[str, str]] = [
-    (r"P\.", "Phường "),
+ADDRESS_RULES: list[tuple[str, str]] = [  # applied in this order, so "TP." comes before "P."
     (r"Q\.", "Quận "),
     (r"Q\.(?!\d)", "Quận "),
     (r"tp\.", "Thành phố"),
     (r"T[Pp]\.", "Thành phố "),
+    (r"P\.", "Phường "),
     (r"T\.[Tt]rệt", "Tầng Trệt"),
     (r"H\.", "Huyện "),
     (r"TT", "Thị trấn"),
