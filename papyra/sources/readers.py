@@ -374,7 +374,7 @@ def read_dialog_acts(spark: SparkSession, path: str, whole_file: bool = False) -
     Each line is one JSON object holding any number of dialogs; ``whole_file`` reads an
     object that spans lines.
     """
-    records = spark.read.option("wholetext", str(whole_file).lower()).text(path)
+    records = spark.read.text(path, wholetext=whole_file)
     dialogs = records.select(F.explode(F.from_json("value", DIALOG_ACTS)).alias("dialog_id", "turns"))
     turns = dialogs.select("dialog_id", F.explode("turns").alias("turn_id", "t"))
     spans = F.transform(
