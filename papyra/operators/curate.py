@@ -44,12 +44,7 @@ def dedup_docs(df: DataFrame, key: str, text: str) -> DataFrame:
     a text that makes up a third of the corpus costs one row per map task. The
     surviving keys then select their rows by a semi join on the unique key.
     """
-    keep = (
-        df.filter(F.col(text).isNotNull())
-        .groupBy(digest(F.col(text)).alias("_digest"))
-        .agg(F.min(key).alias(key))
-        .select(key)
-    )
+    keep = df.groupBy(digest(F.col(text)).alias("_digest")).agg(F.min(key).alias(key)).select(key)
     return df.join(keep, key, "left_semi")
 
 
@@ -74,9 +69,9 @@ def dedup_paragraphs(df: DataFrame, key: str, text: str, keep_blank: bool = Fals
         width = F.lit(1 << 31).cast("decimal(38,0)")
         packed = F.col(key).cast("decimal(20,0)") * width + F.col("_line")
         first = lines.groupBy("_digest").agg(F.min(packed.cast("decimal(38,0)")).alias("_first"))
-        owner = F.floor(F.col("_first") / width).cast("long")
-        line = (F.col("_first") - owner.cast("decimal(20,0)") * width).cast("int")
-        owned = first.select(owner.cast(df.schema[key].dataType).alias(key), line.alias("_line"))
+        placed = first.withColumn("_line", F.pmod("_first", width))
+        owner = F.expr(f"(_first - _line) div {1 << 31}")
+        owned = placed.select(owner.cast(df.schema[key].dataType).alias(key), F.col("_line").cast("int").alias("_line"))
     else:
         first = lines.groupBy("_digest").agg(F.min(F.struct(key, "_line")).alias("_first"))
         owned = first.select(F.col(f"_first.{key}").alias(key), F.col("_first._line").alias("_line"))

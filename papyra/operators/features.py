@@ -422,6 +422,19 @@ def majority(df: DataFrame, keys: list[str], values: str) -> DataFrame:
     return df.select(*keys, F.coalesce(best, F.lit("NA")).alias("majority"))
 
 
+def comment_samples(
+    df: DataFrame, keys: list[str], post: str, comments: str, sentiments: str, dropped: tuple[str, ...] = ("NA", "unrelated")
+) -> DataFrame:
+    """``(keys, text, sentiment)``: each comment behind its post, with the majority sentiment.
+
+    ``comments`` is an array of texts, ``sentiments`` an array of sentiment arrays beside it.
+    """
+    pairs = F.arrays_zip(F.col(comments).alias("comment"), F.col(sentiments).alias("votes"))
+    rows = unnest_structs(df, [*keys, post], pairs)
+    voted = majority(rows.withColumn("text", F.concat_ws(" ", post, "comment")), [*keys, "text"], "votes")
+    return voted.withColumnRenamed("majority", "sentiment").filter(~F.col("sentiment").isin(list(dropped)))
+
+
 def head_offsets(ids: Column, heads: Column, labels: Column | None = None) -> Column:
     """Head minus id per token (0 at the root), with ``:label`` when labels are given."""
     offset = F.zip_with(ids, heads, lambda i, h: F.when(h == 0, F.lit(0)).otherwise(h - i))

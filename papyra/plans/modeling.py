@@ -307,7 +307,16 @@ def char_planes(spark, sf_dir):
     return cells.groupBy("id", "pos", "plane").agg(F.count(F.lit(1)).alias("cells"))
 
 
-@query("e16b_subtoken_ids")
+@query(
+    "e16b_subtoken_ids",
+    f"""with {TURNS_SQL}, u as (select id, flatten(list_transform(w, lambda x: [substr(x, 1, 1),
+    case when length(x) > 2 then substr(x, 2, length(x) - 2) else '$NA' end, case when length(x) > 1 then right(x, 1) else '$NA' end])) as u from turns),
+    v as (select term, row_number() over (order by count(*) desc, term) - 1 as term_id from (select unnest(u) as term from u) group by 1
+    qualify term_id < 5000),
+    h as (select id, unnest(u[1:48]) as term, generate_subscripts(u[1:48], 1) as i from u)
+    select id, string_agg(cast(coalesce(term_id, 0) as varchar), ' ' order by i) || repeat(' 0', cast(48 - count(*) as int)) as ids
+    from h left join v using (term) group by id""",
+)
 def subtoken_ids(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("u", tx.subtokens(F.col("w")))
     vocab = features.vocabulary(rows, "id", "u", size=5000)
@@ -414,6 +423,23 @@ def majority_sentiment(spark, sf_dir):
     return features.majority(rows, ["doc_id"], "tags")
 
 
+@query(
+    "e23b_comment_samples",
+    f"""with {TURNS_SQL}, v as (select id, w[1:3] as votes, array_to_string(w[1:2], ' ') as post, array_to_string(w[4:6], ' ') as comment
+    from turns), t as (select id, post, comment, unnest(votes) as x from v),
+    c as (select id, post, comment, {TAG_SQL.format('x')} as tag, count(*) as n from t group by all)
+    select id, concat_ws(' ', post, comment) as text, arg_max(tag, (n, case tag when 'E' then 3 when 'N' then 2 else 1 end)) as sentiment
+    from c group by id, post, comment having sentiment <> 'E'""",
+)
+def comment_samples(spark, sf_dir):
+    rows = _turns(spark, sf_dir).select(
+        "id", F.array_join(F.slice("w", 1, 2), " ").alias("post"),
+        F.array(F.array_join(F.slice("w", 4, 3), " ")).alias("comments"),
+        F.array(F.transform(F.slice("w", 1, 3), lambda w: tag_of(w))).alias("votes"),
+    )
+    return features.comment_samples(rows, ["id"], "post", "comments", "votes", dropped=("NA", "E"))
+
+
 @query(
     "e24_relative_head",
     f"""with {TURNS_SQL} select id, string_agg(case when i = 1 then '0:root' else '-1:' || {TAG_SQL.format('w')} end, ' ' order by i) as offsets
@@ -489,9 +515,12 @@ def predict_with_probability(spark, sf_dir):
 
 @query("f3_sentiment")
 def sentiment(spark, sf_dir):
-    rows = _labelled(spark, sf_dir, "toxic")
-    scored = models.score_column(rows, models.fit_sentiment(rows, features=1024, iterations=10))
-    return metrics.auc(scored, "label", "score")
+    """Area under the curve of both sentiment models on the toxic label."""
+    rows, out = _labelled(spark, sf_dir, "toxic"), []
+    for kind in ("tfidf-logistic", "tfidf-perceptron"):
+        scored = models.score_column(rows, models.fit_sentiment(rows, kind, features=1024, iterations=10))
+        out.append(metrics.auc(scored, "label", "score").withColumn("kind", F.lit(kind)))
+    return curate.union_all(out)
 
 
 @query("f4_tabular_classifiers")
@@ -584,7 +613,22 @@ def lattice_decoding(spark, sf_dir):
     )
 
 
-@query("f9b_beam_decoding")
+def _beam_sql(positions: int, k: int) -> str:
+    """One step per position: lengthen the kept paths by every label, keep the best ``k``."""
+    steps = ["b0 as (select distinct vec_id, 0.0 as total, '' as path, 1 as place0 from s)"]
+    for j in range(positions):
+        order = "b.total + s.score desc, path || ' ' || label"
+        steps.append(
+            f"b{j + 1} as (select vec_id, b.total + s.score as total, trim(path || ' ' || label) as path, "
+            f"row_number() over (partition by vec_id order by {order}) as place{j + 1} "
+            f"from b{j} b join s using (vec_id) where s.pos = {j} qualify place{j + 1} <= {k})"
+        )
+    return ", ".join(steps) + (
+        f" select vec_id, place{positions} - 1 as rank, round(total, 6) as score, path from b{positions}"
+    )
+
+
+@query("f9b_beam_decoding", f"with {PATH_SQL}, {_beam_sql(8, 3)}")
 def beam_decoding(spark, sf_dir):
     scores = tx.chunk_array(F.slice(F.col("embedding").cast("array<double>"), 1, 32), 4)
     paths = unnest(table(spark, sf_dir, "embeddings"), ["vec_id"], models.beam(scores, 3), "p", "rank")

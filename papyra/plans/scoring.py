@@ -246,10 +246,10 @@ def contained_passages(spark, sf_dir, index):
     """``(qid, doc_id)`` of documents containing a passage as a substring.
 
     A passage can only lie in a document that has all of its words, so the all-terms
-    search without a cut-off gives the pairs to check.
+    matches are the pairs to check.
     """
     items = bench_queries(spark, sf_dir)
-    pairs = search.and_search(index, items, 1 << 30).select("qid", "doc_id")
+    pairs = search.and_matches(index, items).select("qid", "doc_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
     held = pairs.join(passages, "qid").join(docs, "doc_id").filter(F.contains("text", "passage"))

@@ -237,27 +237,40 @@ def _cut_sql(rest: str) -> str:
     return f"case {' '.join(cases)} else [{rest}] end"
 
 
-@query(
-    "d16_vowel_sequence",
-    f"""with t as (select doc_id, unnest(a) as t, generate_subscripts(a, 1) as i from (select doc_id,
+UNITS_SQL = f"""t as (select doc_id, unnest(a) as t, generate_subscripts(a, 1) as i from (select doc_id,
     regexp_extract_all({_tones_sql('text')}, '[{_SEP}]|[^{_SEP}~]+') as a from documents)),
     v as (select distinct t from t),
     o as (select t, case when regexp_matches(t, '^[qQ][uU]') or regexp_matches(t, '^[gG][iI][{_SINGLE}]')
     then substr(t, 1, 2) when regexp_matches(t, '^[dđ]') then substr(t, 1, 1) else '' end as o from v),
     u as (select t, array_to_string(list_filter(list_concat([o], {_cut_sql('substr(t, length(o) + 1)')}),
-    lambda p: p <> ''), '|') as u from o)
-    select doc_id, string_agg(u, '|' order by i) as units from t join u using (t) group by doc_id""",
+    lambda p: p <> ''), '|') as u from o)"""
+
+
+@query(
+    "d16_vowel_sequence",
+    f"with {UNITS_SQL} select doc_id, string_agg(u, '|' order by i) as units from t join u using (t) group by doc_id",
 )
 def vowel_sequence(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return docs.select("doc_id", F.array_join(tx.vowel_units(F.col("text")), "|").alias("units"))
 
 
-@query("d17_vowel_candidates")
+CANDIDATES = {**tx.SINGLE_UNITS, **tx.PAIR_UNITS, **tx.TRIPLE_UNITS}
+CANDIDATE_VALUES = ", ".join(f"('{k}', '{' '.join(v)}')" for k, v in CANDIDATES.items())
+
+
+@query(
+    "d17_vowel_candidates",
+    f"""with {UNITS_SQL}, c(k, candidates) as (values {CANDIDATE_VALUES}),
+    n as (select t, translate(unnest(string_split(u, '|')), '{BOTH_FROM}', '{BOTH_TO}') as unit from u),
+    k as (select t, unit, candidates from n join c on lower(unit) = c.k)
+    select doc_id, unit, candidates, count(*) as n from t join k using (t) group by all""",
+)
 def vowel_candidates(spark, sf_dir):
-    units = unnest(_docs(spark, sf_dir), ["doc_id"], tx.vowel_units(F.col("text"), False), "unit", "pos")
-    out = units.withColumn("candidates", tx.vowel_candidates(F.lower("unit"))).filter("candidates is not null")
-    return out.select("doc_id", "pos", "unit", F.array_join("candidates", " ").alias("candidates"))
+    units = unnest(_docs(spark, sf_dir), ["doc_id"], tx.vowel_units(F.col("text"), False), "unit")
+    counted = units.groupBy("doc_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.withColumn("candidates", tx.vowel_candidates(F.lower("unit"))).filter("candidates is not null")
+    return found.withColumn("candidates", F.array_join("candidates", " "))
 
 
 ABBREVIATIONS = [(r"\bth\.", "the "), (r"\b[Oo]n,", "on ;"), (r"\(.+\)", "")]
