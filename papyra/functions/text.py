@@ -131,8 +131,13 @@ def words(text: Column, pattern: str = r"\s+") -> Column:
 
 
 def jvm_token_count(text: Column) -> Column:
-    """Pieces after lower-casing and splitting at each blank, trailing empty pieces not counted."""
-    return F.size(F.split(F.regexp_replace(F.lower(text), r"\s+\z", ""), r"\s"))
+    """Pieces between single blanks, trailing empty pieces not counted: the inner blanks plus one."""
+    kept = F.rtrim(text, F.lit(" \t\n\x0b\f\r"))
+    solid = kept
+    for blank in " \t\n\x0b\f\r":
+        solid = F.replace(solid, F.lit(blank), F.lit(""))
+    count = F.length(kept) - F.length(solid) + 1
+    return F.when((kept == "") & (text != ""), F.lit(0)).otherwise(count)
 
 
 def mask_punctuation(token: Column) -> Column:

@@ -52,11 +52,12 @@ def flatten_turns(spark, sf_dir):
 
 
 def _act_table(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations")
-    return turns.filter("turn % 4 <> 3").select(
+    """Acts of the turns that have at least two."""
+    turns = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").cast("string").alias("turn_id"),
         _acts(F.col("text")).alias("acts"),
     )
+    return turns.filter(F.size("acts") >= 2)
 
 
 def _turn_table(spark, sf_dir):
@@ -69,7 +70,7 @@ def _turn_table(spark, sf_dir):
 @query(
     "h2_join_acts",
     f"""with {ACTS_SQL} select cast(c.conv_id as varchar) as dialogue_id, cast(c.turn as varchar) as turn_id, text as utterance,
-    array_to_string(a, ' ') as acts from conversations c join acts using (conv_id, turn) where turn % 4 <> 3""",
+    array_to_string(a, ' ') as acts from conversations c join acts using (conv_id, turn) where len(a) >= 2""",
 )
 def join_acts(spark, sf_dir):
     joined = dialog.join_acts(_turn_table(spark, sf_dir), _act_table(spark, sf_dir))
@@ -78,7 +79,7 @@ def join_acts(spark, sf_dir):
 
 @query(
     "h3_act_history",
-    f"""with {ACTS_SQL}, t as (select conv_id, turn, array_to_string(a, ' ') as a from acts where turn % 4 <> 3)
+    f"""with {ACTS_SQL}, t as (select conv_id, turn, array_to_string(a, ' ') as a from acts where len(a) >= 2)
     select cast(conv_id as varchar) as dialogue_id, cast(turn as varchar) as turn_id, a as acts,
     concat_ws(' ', lag(a, 3) over w, lag(a, 2) over w, lag(a, 1) over w) as prev_acts from t
     window w as (partition by conv_id order by turn)""",

@@ -386,29 +386,27 @@ def embedding_merge(spark, sf_dir):
 
 @query(
     "e21_select_labels",
-    """with e as (select vec_id, list_transform(embedding[1:8], lambda x: cast(x as double)) as s from embeddings),
-    t as (select vec_id, s, list_filter(range(0, 8), lambda i: s[i + 1] >= 0.2) as hit from e)
+    """with e as (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as s from embeddings),
+    t as (select vec_id, s, list_filter(range(0, 64), lambda i: s[i + 1] >= 0.2) as hit from e)
     select vec_id, array_to_string(case when len(hit) > 0 then hit else [list_position(s, list_max(s)) - 1] end, ' ') as chosen,
-    array_to_string(list_transform(range(0, 8), lambda i: cast(list_contains(case when len(hit) > 0 then hit
+    array_to_string(list_transform(range(0, 64), lambda i: cast(list_contains(case when len(hit) > 0 then hit
     else [cast(list_position(s, list_max(s)) - 1 as bigint)] end, i) as int)), ',') as flags from t""",
 )
 def select_labels(spark, sf_dir):
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    chosen = features.select_labels(scores, 0.2)
+    chosen = features.select_labels(F.col("embedding").cast("array<double>"), 0.2)
     rows = table(spark, sf_dir, "embeddings").select("vec_id", chosen.alias("c"))
-    return rows.select("vec_id", F.array_join("c", " ").alias("chosen"), features.flag_csv(F.col("c"), 8).alias("flags"))
+    return rows.select("vec_id", F.array_join("c", " ").alias("chosen"), features.flag_csv(F.col("c"), 64).alias("flags"))
 
 
 @query(
     "e21b_top_k_labels",
-    """with e as (select vec_id, unnest(embedding[1:8]) as s, generate_subscripts(embedding[1:8], 1) - 1 as i from embeddings),
+    """with e as (select vec_id, unnest(embedding) as s, generate_subscripts(embedding, 1) - 1 as i from embeddings),
     r as (select *, row_number() over (partition by vec_id order by cast(s as double) desc, i) as r from e)
     select vec_id, string_agg(cast(i as varchar), ' ' order by r) as chosen from r where r <= 3 and (cast(s as double) >= 0.1 or r = 1)
     group by vec_id""",
 )
 def top_k_labels(spark, sf_dir):
-    scores = F.slice(F.col("embedding").cast("array<double>"), 1, 8)
-    chosen = features.select_labels(scores, 0.1, k=3)
+    chosen = features.select_labels(F.col("embedding").cast("array<double>"), 0.1, k=3)
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(chosen, " ").alias("chosen"))
 
 
@@ -425,17 +423,14 @@ def majority_sentiment(spark, sf_dir):
 
 @query(
     "e23b_comment_samples",
-    f"""with {TURNS_SQL}, v as (select id, w[1:3] as votes, array_to_string(w[1:2], ' ') as post, array_to_string(w[4:6], ' ') as comment
-    from turns), t as (select id, post, comment, unnest(votes) as x from v),
-    c as (select id, post, comment, {TAG_SQL.format('x')} as tag, count(*) as n from t group by all)
-    select id, concat_ws(' ', post, comment) as text, arg_max(tag, (n, case tag when 'E' then 3 when 'N' then 2 else 1 end)) as sentiment
-    from c group by id, post, comment having sentiment <> 'E'""",
+    f"""with {TURNS_SQL}, c as (select id, {TAG_SQL.format('w')} as tag, count(*) as n from toks group by all),
+    b as (select id, arg_max(tag, (n, case tag when 'E' then 3 when 'N' then 2 else 1 end)) as sentiment from c group by id)
+    select id, concat_ws(' ', id, array_to_string(w, ' ')) as text, sentiment from turns join b using (id) where sentiment <> 'E'""",
 )
 def comment_samples(spark, sf_dir):
     rows = _turns(spark, sf_dir).select(
-        "id", F.array_join(F.slice("w", 1, 2), " ").alias("post"),
-        F.array(F.array_join(F.slice("w", 4, 3), " ")).alias("comments"),
-        F.array(F.transform(F.slice("w", 1, 3), lambda w: tag_of(w))).alias("votes"),
+        "id", F.col("id").alias("post"), F.array(F.array_join("w", " ")).alias("comments"),
+        F.array(F.transform("w", lambda w: tag_of(w))).alias("votes"),
     )
     return features.comment_samples(rows, ["id"], "post", "comments", "votes", dropped=("NA", "E"))
 
@@ -592,12 +587,12 @@ def greedy_tag_decoding(spark, sf_dir):
 
 
 PATH_SQL = """s as (select vec_id, (i - 1) // 4 as pos, (i - 1) % 4 as label, cast(e as double) as score from (
-    select vec_id, unnest(embedding[1:32]) as e, generate_subscripts(embedding[1:32], 1) as i from embeddings))"""
+    select vec_id, unnest(embedding) as e, generate_subscripts(embedding, 1) as i from embeddings))"""
 
 
 def _score_rows(spark, sf_dir):
     cells = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 32)).alias("i", "score")
+        "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "score")
     )
     return cells.select("vec_id", F.floor(F.col("i") / 4).alias("pos"), (F.col("i") % 4).alias("label"), "score")
 
@@ -628,9 +623,9 @@ def _beam_sql(positions: int, k: int) -> str:
     )
 
 
-@query("f9b_beam_decoding", f"with {PATH_SQL}, {_beam_sql(8, 3)}")
+@query("f9b_beam_decoding", f"with {PATH_SQL}, {_beam_sql(16, 3)}")
 def beam_decoding(spark, sf_dir):
-    scores = tx.chunk_array(F.slice(F.col("embedding").cast("array<double>"), 1, 32), 4)
+    scores = tx.chunk_array(F.col("embedding").cast("array<double>"), 4)
     paths = unnest(table(spark, sf_dir, "embeddings"), ["vec_id"], models.beam(scores, 3), "p", "rank")
     return paths.select("vec_id", "rank", F.round("p.score", 6).alias("score"), F.array_join("p.path", " ").alias("path"))
 
@@ -726,8 +721,8 @@ def batch_parse(spark, sf_dir):
 
 @query("f15_diacritic_restoration")
 def diacritic_restoration(spark, sf_dir):
-    """Two best accented readings of each sentence of the Romance documents."""
-    docs = spread(table(spark, sf_dir, "documents").filter("lang in ('fr', 'es')"))
+    """Two best accented readings of each sentence."""
+    docs = _docs(spark, sf_dir)
     sentences = unnest(docs, ["doc_id"], tx.split_sentences(F.col("text")), "text", "s").select(
         F.concat_ws("-", "doc_id", "s").alias("id"), F.lower("text").alias("text")
     )

@@ -60,29 +60,29 @@ def confusion(spark, sf_dir):
 
 @query(
     "g1d_masked_accuracy",
-    f"""with {TURNS_SQL}, t as (select id, length(w) % 4 as y, length(w) * 3 % 4 as z from toks where i <= 20)
+    f"""with {TURNS_SQL}, t as (select id, length(w) % 4 as y, length(w) * 3 % 4 as z from toks)
     select y as label, z as prediction, count(*) as n from t group by 1, 2""",
 )
 def masked_accuracy(spark, sf_dir):
-    """Token labels padded with -1 to a fixed length; the padding does not count."""
-    first = F.slice("w", 1, 20)
-    pad = F.array_repeat(F.lit(-1.0), F.lit(21) - F.size(first))
+    """Token labels padded with -1; the padding does not count."""
+    pad = F.array_repeat(F.lit(-1.0), 8)
     rows = _turns(spark, sf_dir).select(
-        F.concat(F.transform(first, lambda w: (F.length(w) % 4).cast("double")), pad).alias("gold"),
-        F.concat(F.transform(first, lambda w: (F.length(w) * 3 % 4).cast("double")), pad).alias("guess"),
+        F.concat(F.transform("w", lambda w: (F.length(w) % 4).cast("double")), pad).alias("gold"),
+        F.concat(F.transform("w", lambda w: (F.length(w) * 3 % 4).cast("double")), pad).alias("guess"),
     )
     return metrics.confusion(metrics.masked_pairs(rows, "gold", "guess"), "label", "prediction")
 
 
 SETS_SQL = f"""w as (select doc_id, {WORD_ARRAY} as w from documents), s as (select doc_id,
-    list_distinct(list_transform(w[1:6], lambda x: length(x) % 5)) as ys,
-    list_distinct(list_transform(w[3:8], lambda x: length(x) % 5)) as zs from w)"""
+    list_distinct(list_transform(w, lambda x: {TAG_SQL.format('x')})) as ys,
+    list_distinct(list_transform(w, lambda x: case when length(x) > 9 then 'V' when contains(x, '.') then 'N' else 'E' end)) as zs from w)"""
 
 
 def _label_sets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    size = lambda a: F.array_distinct(F.transform(a, lambda x: F.length(x) % 5))
-    return docs.select("doc_id", size(F.slice("w", 1, 6)).alias("ys"), size(F.slice("w", 3, 6)).alias("zs"))
+    guess = F.transform("w", lambda x: F.when(F.length(x) > 9, "V").when(x.contains("."), "N").otherwise("E"))
+    gold = F.transform("w", lambda x: tag_of(x))
+    return docs.select("doc_id", F.array_distinct(gold).alias("ys"), F.array_distinct(guess).alias("zs"))
 
 
 @query(

@@ -273,18 +273,17 @@ def vowel_candidates(spark, sf_dir):
     return found.withColumn("candidates", F.array_join("candidates", " "))
 
 
-ABBREVIATIONS = [(r"\bth\.", "the "), (r"\b[Oo]n,", "on ;"), (r"\(.+\)", "")]
+ABBREVIATIONS = [(r"th\.", "the "), (r"[Oo]n,", "on ;"), (r"\(.+\)", "")]
 
 
 @query(
     "d18_abbreviation_expand",
     r"""select doc_id, replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-    '\bth\.', 'the ', 'g'), '\b[Oo]n,', 'on ;', 'g'), '\(.+\)', '', 'g'), '\s+', ' ', 'g'), ' ,', ',') as text
-    from documents where lang = 'en'""",
+    'th\.', 'the ', 'g'), '[Oo]n,', 'on ;', 'g'), '\(.+\)', '', 'g'), '\s+', ' ', 'g'), ' ,', ',') as text
+    from documents""",
 )
 def abbreviation_expand(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", tx.expand_abbreviations(F.col("text"), ABBREVIATIONS).alias("text"))
+    return _docs(spark, sf_dir).select("doc_id", tx.expand_abbreviations(F.col("text"), ABBREVIATIONS).alias("text"))
 
 
 @query(

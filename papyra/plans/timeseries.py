@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from papyra.operators import series
+from papyra.operators import curate, series
 from papyra.plans.registry import query, table
 
 
@@ -71,12 +71,12 @@ def date_features(spark, sf_dir):
 @query(
     "i5_fit_scale",
     """with s as (select avg(value) as m, stddev_pop(value) as d from events where event_id % 5 <> 0)
-    select event_id, round((value - m) / d, 6) as value_scaled, round(value, 4) as back from events, s where event_id % 5 = 0""",
+    select event_id, round((value - m) / d, 6) as value_scaled, round(value, 4) as back from events, s""",
 )
 def fit_scale(spark, sf_dir):
     events = _events(spark, sf_dir)
     train, test = events.filter("event_id % 5 <> 0"), events.filter("event_id % 5 = 0")
-    _, scaled = series.fit_scale(train, [test], ["value"])
+    scaled = curate.union_all(series.fit_scale(train, [test], ["value"]))
     back = series.unscale(train, "value", F.col("value_scaled"))
     return scaled.select("event_id", F.round("value_scaled", 6).alias("value_scaled"), F.round(back, 4).alias("back"))
 
