@@ -168,7 +168,7 @@ def diacritic_diff(token: Column) -> Column:
     """From the first to the last letter that stripping would change; ``S`` if none."""
     letters = "".join(ACCENTED + ACCENTED_UPPER)
     found = F.regexp_extract(token, f"(?s)[{letters}](?:.*[{letters}])?", 0)
-    return F.when(found == "", F.lit("S")).otherwise(found)
+    return F.when(~token.rlike(r"[^\x00-\x7f]") | (found == ""), F.lit("S")).otherwise(found)
 
 
 def _expand_units(templates: str) -> dict[str, list[str]]:
@@ -378,12 +378,16 @@ def group_slots(slots: Column) -> Column:
             F.trim(F.split_part(s, F.lit(":"), F.lit(2))).alias("v"),
         ),
     )
-    keys = F.array_distinct(F.transform(pair, lambda p: p["k"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(
-            keys, lambda k: F.transform(F.filter(pair, lambda p: p["k"] == k), lambda p: p["v"])
-        ),
+    return let(pair, _grouped_pairs)
+
+
+def _grouped_pairs(pair: Column) -> Column:
+    def values(key: Column) -> Column:
+        return F.transform(F.filter(pair, lambda p: p["k"] == key), lambda p: p["v"])
+
+    return let(
+        F.array_distinct(F.transform(pair, lambda p: p["k"])),
+        lambda keys: F.map_from_arrays(keys, F.transform(keys, values)),
     )
 
 

@@ -278,6 +278,11 @@ class LinearTagger:
         found = [i for i in (self.ids.get(n.lower()) for n in names) if i is not None]
         return self.weights[found].sum(axis=0) + self.bias
 
+    def row(self, name: str) -> np.ndarray | float:
+        """Weights of one feature, zero for an unknown one."""
+        i = self.ids.get(name.lower())
+        return 0.0 if i is None else self.weights[i]
+
     def best(self, names: list[str]) -> str:
         return self.labels[int(self.scores(names).argmax())]
 
@@ -457,41 +462,55 @@ def restore_diacritics(df: DataFrame, key: str, text: str, tagger: LinearTagger,
     ``k`` best partial readings through a sentence, each adding its own last unit.
     """
     units = df.select(key, tx.vowel_units(F.col(text), False).alias("x"))
-    static = fx.vowel_context(F.col("x"), F.col("x"), 0)
-    rows = units.select(
-        key, "x", F.map_from_entries(F.transform(static, lambda s: F.struct(s["pos"], s["features"]))).alias("f")
-    )
-    candidates = F.transform("x", lambda u: F.coalesce(tx.vowel_candidates(u), F.array(u)))
+    rows = units.select(key, "x", fx.vowel_context(F.col("x"), F.col("x"), 0).alias("places"))
+    # a second use of "places" keeps it a column of its own, computed once per row
+    candidates = F.transform("places", lambda p: tx.vowel_candidates(p["label"]))
     shared = df.sparkSession.sparkContext.broadcast(tagger)
     schema = T.ArrayType(T.StructType([T.StructField("restored", T.StringType()), T.StructField("score", T.DoubleType())]))
 
-    @F.pandas_udf(schema)
-    def restore(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = shared.value
-        place = {label: i for i, label in enumerate(model.labels)}
-        for options, feats in batches:
-            yield pd.Series([_restore(model, place, o, f, k) for o, f in zip(options, feats)], dtype=object)
+    @F.arrow_udf(schema)
+    def restore(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        model, fields = shared.value, [("restored", pa.string()), ("score", pa.float64())]
+        known = {label: i for i, label in enumerate(model.labels)}
+        for batch in batches:
+            sentences = zip(*[column.to_pylist() for column in batch])
+            yield struct_lists((_restore(model, known, *sentence, k) for sentence in sentences), fields)
 
-    lines = F.transform("x", lambda u, i: F.coalesce(F.try_element_at("f", i), F.lit("")))
-    found = unnest_structs(rows, [key], restore(candidates, lines))
+    found = unnest_structs(rows, [key], restore(F.col("x"), F.col("places"), candidates))
     return found.select(key, "restored", F.round("score", 6).alias("score"))
 
 
-def _restore(model: LinearTagger, place: dict[str, int], options, lines, k: int) -> list[tuple[str, float]]:
-    beams: list[tuple[float, list[str]]] = [(0.0, [])]
-    for choices, line in zip(options, lines):
-        known = [c for c in choices if c in place]
-        if not line or not known:
-            beams = [(s, done + [choices[0]]) for s, done in beams]
+def _restore(model: LinearTagger, known: dict[str, int], units, places, candidates, k: int) -> list[tuple[str, float]]:
+    """Follow the ``k`` best readings; between two places units are taken over as they are."""
+    # a reading is a chain of (text, rest of the chain), so longer readings share their start
+    beams: list[tuple[float, tuple | None]] = [(0.0, None)]
+    at = 0
+    for place, choices in zip(places, candidates):
+        options = [(c, known[c]) for c in choices or () if c in known]
+        if not options:
             continue
-        names, grown = line.split(" "), []
+        gap = units[at : place["pos"]]
+        at = place["pos"] + 1
+        if gap:
+            beams = [(score, (gap[-1], ("".join(gap[:-1]), done))) for score, done in beams]
+        base, grown = model.scores(place["features"].split(" ")), []
         for score, done in beams:
-            scores = model.scores(names + [f"t(-1)={done[-1] if done else fx.BOS}"])
-            shifted = scores - scores.max()
-            logs = shifted - np.log(np.exp(shifted).sum())
-            grown += [(score + float(logs[place[c]]), done + [c]) for c in known]
-        beams = sorted(grown, key=lambda b: -b[0])[:k]
-    return [("".join(done).strip(), score) for score, done in beams]
+            scores = base + model.row(f"t(-1)={done[0] if done else fx.BOS}")
+            top = scores.max()
+            total = top + np.log(np.exp(scores - top).sum())
+            grown += [(score + float(scores[i] - total), c, done) for c, i in options]
+        grown.sort(key=lambda b: -b[0])
+        beams = [(score, (c, done)) for score, c, done in grown[:k]]
+    rest = "".join(units[at:])
+    return [(("".join(_chain(done)) + rest).strip(), score) for score, done in beams]
+
+
+def _chain(done: tuple | None) -> list[str]:
+    units = []
+    while done:
+        units.append(done[0])
+        done = done[1]
+    return units[::-1]
 
 
 # --- pairs and classes -----------------------------------------------------------------

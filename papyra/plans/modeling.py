@@ -721,11 +721,8 @@ def batch_parse(spark, sf_dir):
 
 @query("f15_diacritic_restoration")
 def diacritic_restoration(spark, sf_dir):
-    """Two best accented readings of each sentence."""
-    docs = _docs(spark, sf_dir)
-    sentences = unnest(docs, ["doc_id"], tx.split_sentences(F.col("text")), "text", "s").select(
-        F.concat_ws("-", "doc_id", "s").alias("id"), F.lower("text").alias("text")
-    )
+    """Two best accented readings of each sentence of the conversations."""
+    sentences = _turn_sentences(spark, sf_dir).select("id", F.lower("text").alias("text"))
     samples = materialize(models.restoration_samples(sentences, "id", "text"), "samples")
     model = models.fit_tagger(samples, size=4096, min_df=2, iterations=8)
     return models.restore_diacritics(sentences, "id", "text", models.LinearTagger.of(model), k=2)

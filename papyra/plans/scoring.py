@@ -8,7 +8,7 @@ from papyra.functions import text as tx
 from papyra.operators import metrics, search
 from papyra.plans.files import ENTITY_SQL, TAG_SQL, entity_of, tag_of
 from papyra.plans.modeling import TURNS_SQL, _tagged_turns, _turns
-from papyra.plans.registry import query, table
+from papyra.plans.registry import query, spread, table
 from papyra.plans.retrieval import BENCH_QUERIES_SQL, SEARCH_SQL, bench_queries, stored_index
 from papyra.plans.textual import WORDS
 
@@ -217,7 +217,7 @@ FROM, TO = "".join(tx.ACCENTED), "".join(map(tx._bare_letter, tx.ACCENTED))
 )
 def char_token_accuracy(spark, sf_dir):
     """Accuracy of text whose lower-case accents are gone."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("text")).select(
         F.col("text").alias("g"), F.translate("text", FROM, TO).alias("p")
     )
     chars = metrics.char_accuracy(docs, "g", "p").select(F.round("char_accuracy", 6).alias("char_accuracy"))
