@@ -186,10 +186,15 @@ def test_parser_learns(spark):
     assert row.uas > 0.7 and row.las > 0.7
 
 
-def test_restoration_beats_bare_text(spark):
-    out = load_all()["f15_diacritic_restoration"].run(spark, SMALL)
-    assert out.groupBy("id").count().agg(F.max("count")).first()[0] <= 2
-    assert out.filter(F.col("restored").rlike("[éèê]")).count() > 0
+def test_restoration(spark):
+    out = load_all()["f15_diacritic_restoration"].run(spark, SMALL).cache()
+    assert out.groupBy("id").count().agg(F.max("count")).first()[0] == 2
+    best = out.groupBy("id").agg(F.max_by("restored", "score").alias("best"))
+    text = modeling._turn_sentences(spark, SMALL).select("id", F.lower("text").alias("text"))
+    pairs = text.join(best, "id").select(F.trim("text").alias("text"), F.trim("best").alias("best"))
+    # letters outside the accent tables (such as n with tilde) are kept, so lengths agree
+    assert pairs.filter(F.length("text") != F.length("best")).count() == 0
+    assert metrics.char_accuracy(pairs, "text", "best").first()[0] > 0.97
 
 
 def test_classifiers_learn(spark):
