@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _ranges(df: DataFrame) -> int:
@@ -29,9 +30,20 @@ def _position(bounds: Column, value: Column, ranges: int) -> Column:
     )
 
 
-def _bounds(df: DataFrame, column: str, ranges: int) -> Column:
+def _sortable(df: DataFrame, column: str) -> tuple[Column, bool]:
+    """A number or time that sorts like the column, and whether it tells all values apart.
+
+    Text is represented by its first seven bytes, which sort like the text itself.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return F.col(column), True
+    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
+    return F.conv(head, 16, 10).cast("long"), False
+
+
+def _bounds(df: DataFrame, value: Column, ranges: int) -> Column:
     shares = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.percentile_approx(column, shares, 4 * ranges)).scalar()
+    return df.agg(F.percentile_approx(value, shares, 4 * ranges)).scalar()
 
 
 def with_order_bucket(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
@@ -41,13 +53,14 @@ def with_order_bucket(df: DataFrame, order: list[str], name: str = "_range") ->
     frequent value, is cut further by the second column.
     """
     ranges = _ranges(df)
-    out = df.withColumn("_bounds", _bounds(df, order[0], ranges))
-    bounds, value = F.col("_bounds"), F.col(order[0])
-    out = out.withColumn(name, _position(bounds, value, ranges).cast("long"))
-    if len(order) > 1:
-        on_bound = F.coalesce(F.get(bounds, F.col(name).cast("int")) == value, F.lit(False))
-        second = _position(F.col("_second"), F.col(order[1]), ranges)
-        out = out.withColumn("_second", _bounds(df, order[1], ranges)).withColumn(
+    value, exact = _sortable(df, order[0])
+    out = df.withColumn("_bounds", _bounds(df, value, ranges))
+    out = out.withColumn(name, _position(F.col("_bounds"), value, ranges).cast("long"))
+    if len(order) > 1 and exact:
+        on_bound = F.coalesce(F.get("_bounds", F.col(name).cast("int")) == value, F.lit(False))
+        tie, _ = _sortable(df, order[1])
+        second = _position(F.col("_second"), tie, ranges)
+        out = out.withColumn("_second", _bounds(df, tie, ranges)).withColumn(
             name, F.col(name) * (ranges + 1) + F.when(on_bound, second + 1).otherwise(0)
         ).drop("_second")
     return out.drop("_bounds")

@@ -127,3 +127,16 @@ def test_dedup_impute(spark):
     )
     got = [(r.k, r.step.hour, r.v) for r in series.dedup_impute(rows, "k", "ts", "v", "id", 3600).orderBy("k", "step").collect()]
     assert got == [(1, 22, 4.0), (1, 23, 4.0), (1, 0, 4.0), (1, 1, 7.0), (2, 0, 1.0)]
+
+
+def test_text_order_columns(spark, skewed):
+    rows, _ = skewed
+    named = rows.withColumn("name", F.concat(F.when(F.col("k") == 1, "doc-").otherwise("é-"), F.lpad("id", 5, "0"), F.lit("x")))
+    got = ordered.row_index(named, ["k"], ["name"]).toPandas()
+    assert len(got) == 6000
+    for _, group in got.groupby("k", dropna=False):
+        ordered_names = sorted(group["name"], key=lambda s: s.encode())
+        assert group.sort_values("_rn")["name"].tolist() == ordered_names
+    by_tie = ordered.row_index(named, [], ["t", "name"]).toPandas()
+    wanted = sorted(zip(by_tie["t"], by_tie["name"]), key=lambda x: (x[0], x[1].encode()))
+    assert list(zip(by_tie.sort_values("_rn")["t"], by_tie.sort_values("_rn")["name"])) == wanted

@@ -11,7 +11,7 @@ TEXT = {
     "H-P": "containsHyphen", "12.24.2000": "date", "26/2016/TT-BXD": "docNo", "4158/QĐ-UBND": "docNo",
     "ngày_05_tháng_2_năm_2015": "date", "18:01": "time", "0969 0014 80": "numSeq", "77.88": "number", "-80.25": "number",
     "+1.27": "number", "86%": "percentage", "9A": "code", "Modesto, California": "name", "92.9kg": "weight",
-    "?": "punctuation", "ab@site.com": "email", "a@b.com": "", "http://vlp.org/x": "url", "vlp.group": "url", "日本": "", "": "",
+    "?": "punctuation", "ab@site.com": "email", "a@b.com": "", "http://site.org/x": "url", "site.group": "url", "日本": "", "": "",
 }
 DIALOG = {
     "USA": "allcaps", "HN": "allcaps", "1234": "number", "-17,23%": "percentage", "-13.5%": "percentage",
