@@ -13,11 +13,16 @@ tokens of the parts before it. Readers map the files into memory.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,34 +36,78 @@ CACHED_CHARS = 40
 FLUSH = 1 << 22
 
 
-class WordEncoder:
-    """A tokenizer that drops white space, applied to the stretches between blanks.
+class WordIds(dict):
+    """Ids of stretches without blanks, made by the tokenizer when first asked for.
 
-    Such a tokenizer never joins anything across a blank, so ids of a text are the ids of its
-    stretches one after the other. Short stretches are kept; the store is emptied when full.
+    Stretches of Latin letters and signs are split by the tokenizer's own pattern here, and its
+    model gets the pieces without another pass through normalizer and splitter; everything
+    else goes through the whole tokenizer. Entries live in two generations: when the young one is
+    full it becomes the old one, so frequent stretches stay and memory is bounded.
     """
 
-    def __init__(self, path: str, dtype):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        missing = list({w for row in rows for w in row if w not in known})
-        long: dict[str, bytes] = {}
-        for i in range(0, len(missing), 20_000):
-            part = missing[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (known if len(w) <= CACHED_CHARS else long)[w] = np.array(e.ids, self.dtype).tobytes()
-        if long:
-            out = [b"".join([known[w] if w in known else long[w] for w in row]) for row in rows]
-        else:
-            out = [b"".join([known[w] for w in row]) for row in rows]
-        if len(known) > CACHE:
-            self.known = {"": b""}
-        return out
+    def __init__(self, tokenizer, width: str):
+        super().__init__({"": b""})
+        self.tokenizer, self.tokens, self.code, self.old = tokenizer, tokenizer.model.tokenize, {"u2": "H", "u4": "I"}[width], {}
+        parts = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        self.split = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")).findall
+        printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in printed]
+        # byte-level vocabularies write bytes that cannot be printed as characters from 256 on
+        self.letters = {b: 256 + i for i, b in enumerate(rest)}
+        trial = ["ab", "ça1.", "x,", "ab###", "ñandú.", "a_b"]
+        if any(self.by_parts(w) != self.slow(w) for w in trial) or self.slow("Çb") != self.slow("çb"):
+            raise ValueError("this tokenizer's pieces depend on more than its splitter")
+
+    def slow(self, word: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def by_parts(self, word: str) -> bytes:
+        parts = self.split(word)
+        if len(parts) != 1:
+            return b"".join([self[p] for p in parts])
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tokens(word)]).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isascii() and word.isalpha() and word.islower():
+                ids = array(self.code, [t.id for t in self.tokens(word)]).tobytes()
+            elif SPECIAL(word):
+                ids = self.slow(word)
+            else:
+                ids = self.by_parts(word)
+        if len(word) <= CACHED_CHARS:
+            if len(self) > CACHE:
+                self.old = dict(self)
+                self.clear()
+                self[""] = b""
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text. Nothing is ever joined across a blank, so they are those of its stretches."""
+        if text.isascii() or not FOREIGN(text):
+            text = text.lower()
+            if not SIGNS(text):  # a full stop or comma by itself is a piece of its own
+                text = text.replace(". ", " . ").replace(", ", " , ").replace(".\n", " . ").replace(",\n", " , ")
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+
+# Latin characters alone change case one by one and are composed already
+FOREIGN = re.compile("[^\x00-\u024f]|\u0130").search
+# what the tokenizer's normalizer or contraction rules look at: white space of any kind, capitals, quotes
+SPECIAL = re.compile("[\\s'A-Z\\x1c-\\x1f\\x85\\xa0\u00c0-\u00de\u0130]|[^\x00-\u024f]").search
+SIGNS = re.compile(r"(?:[^\w\s]|_)[.,](?=\s)").search
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str, width: str) -> WordIds:
+    """One store for each worker process, kept from task to task."""
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_file(path), width)
 
 
 def width_of(path: str) -> str:
@@ -69,16 +118,15 @@ def width_of(path: str) -> str:
 
 def writer(folder: str, tokenizer: str, end_id: int, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer, np.dtype(f"<{width}"))
+        encode = word_ids(tokenizer, width).encode
         end = np.array([end_id], f"<{width}").tobytes()
         parts, docs, sizes = [], [], []
         for batch in batches:
             docs.append(batch.column(0).fill_null(NO_ID).to_numpy().astype("<i8"))
-            texts = batch.column(1).fill_null("").to_pylist()
-            for i in range(0, len(texts), 256):
-                for ids in encoder.encode(texts[i : i + 256]):
-                    parts += (ids, end)
-                    sizes.append(len(ids) + len(end))
+            for text in batch.column(1).to_pylist():
+                ids = encode(text)
+                parts += (ids, end)
+                sizes.append(len(ids) + len(end))
             if len(parts) > 1:
                 parts = [b"".join(parts)]
         if not docs:
