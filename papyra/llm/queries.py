@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import decontaminate, minhash, reshard, token_files, topk
+from papyra.llm import decontaminate, minhash, quality, reshard, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,27 @@ END_ID = 1
 def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return token_files.check_token_files(token_files.write_token_files(docs, vocabulary("word_bpe_49k.json"), END_ID))
+
+
+def fold(modulus: int, held: int):
+    """Whether an id lies outside the held-out fold of its checksum."""
+    return lambda key: F.coalesce(F.crc32(key.cast("string")) % modulus != held, F.lit(False))
+
+
+def with_fold(scored: DataFrame, modulus: int, held: int) -> DataFrame:
+    return scored.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == held, F.lit(False)))
+
+
+TOXIC_FOLD = fold(4, 2)
+
+
+@llm_query("op3_toxicity")
+def op3(spark, sf_dir):
+    scored = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), TOXIC_FOLD)
+    return with_fold(scored, 4, 2).select("doc_id", "held_out", "score", "predicted")
+
+
+@llm_query("op9_quality")
+def op9(spark, sf_dir):
+    scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
+    return with_fold(scored, 5, 0).select("doc_id", "held_out", "score", "predicted")
