@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import decontaminate, minhash, quality, reshard, token_files, topk, toxicity
+from papyra.llm import bpe, decontaminate, minhash, quality, reshard, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -108,3 +108,21 @@ def op3(spark, sf_dir):
 def op9(spark, sf_dir):
     scored = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold(5, 0))
     return with_fold(scored, 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
+def splitting_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@llm_query("op4_byte_bpe")
+def op4(spark, sf_dir):
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, ranks, splitting_pattern()).select("doc_id", "ids")
+    both = bpe.decode_ids(coded, ranks)
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
