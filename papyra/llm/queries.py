@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, decontaminate, minhash, quality, reshard, token_files, topk, toxicity
+from papyra.llm import bpe, decontaminate, minhash, quality, reshard, secret_scan, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +126,42 @@ def op4(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def _duck_spans(rule, number: int) -> str:
+    """DuckDB: spans of a rule by the stretches between its matches, which it finds in the same order."""
+    pattern = rule.pattern.replace("'", "''")
+    return f"""
+    SELECT row, {number} AS kind, start AS s, start + len(m) AS e FROM (
+        SELECT row, unnest(ms) AS m, unnest(gs) AS g,
+               unnest(list_transform(ms, lambda x, i: list_sum([len(b) for b in bs[1:i]]) + coalesce(list_sum([len(y) for y in ms[1:i - 1]]), 0))) AS start
+        FROM (SELECT row, regexp_extract_all(text, '{pattern}', 0) AS ms, regexp_extract_all(text, '{pattern}', {rule.group}) AS gs,
+                     string_split_regex(text, '{pattern}') AS bs FROM d WHERE regexp_matches(text, '{pattern}'))
+    ) WHERE len(g) >= {rule.least}"""
+
+
+_NAMES = "[" + ", ".join(f"'{r.kind}'" for r in secret_scan.RULES) + "]"
+SECRET_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+found AS ({" UNION ALL ".join(_duck_spans(r, i) for i, r in enumerate(secret_scan.RULES))}),
+listed AS (
+    SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+           string_agg({_NAMES}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
+           string_agg({_NAMES}[kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind) AS spans
+    FROM found GROUP BY row
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (row)
+"""
+
+
+@llm_query("op6_secrets", SECRET_SQL)
+def op6(spark, sf_dir):
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda n: F.size(F.filter("spans", lambda s: s["kind"] == n)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.rendered(base, secret_scan.RULES), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans"), secret_scan.RULES).alias("spans"),
+    )
