@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, decontaminate, minhash, quality, reshard, secret_scan, token_files, topk, toxicity
+from papyra.llm import bpe, decontaminate, minhash, ngram_lm, quality, reshard, secret_scan, token_files, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -165,3 +165,10 @@ def op6(spark, sf_dir):
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scan.rendered(base, secret_scan.RULES), 256).alias("base_sha256"), secret_scan.rendered(F.col("spans"), secret_scan.RULES).alias("spans"),
     )
+
+
+@llm_query("op5_ngram_lm")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram_lm.score(docs, fold(7, 2)(F.col("doc_id")))
+    return with_fold(scored, 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
