@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     # one row of each class: joining by its id as well spreads the copies of a text
     used = materialize(sizes.join(used, "key", "left_semi").select("key", F.col("class_id").alias("doc_id")), "used")
     same = keyed["doc_id"].eqNullSafe(used["doc_id"]) & (keyed["key"] == used["key"])
-    texts = keyed.join(used, same, "left_semi").select("key", "text")
+    texts = keyed.join(used.hint("merge"), same, "left_semi").select("key", "text")  # alike at every size
     packed = texts.mapInArrow(packer, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
     packed = materialize(packed, "packed")
     both = pairs.join(packed.withColumnsRenamed({"key": "b", "shingles": "right"}), "b")
