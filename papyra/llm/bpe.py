@@ -330,33 +330,30 @@ def decoding(path: str, payload: int):
     return run
 
 
-def _carried(df: DataFrame, *others) -> tuple[DataFrame, str]:
-    """All columns under safe names and then some more; and the safe names as a schema."""
-    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]
-    fields = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema.fields))
-    return df.select(*own, *others), fields
+def _with_column(df: DataFrame, carry: list[str], given, run, more: str) -> DataFrame:
+    """The columns ``carry`` and those that ``run`` makes from them and ``given``, whatever their names."""
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)]
+    fields = [f"c{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(carry)]
+    made = df.select(*own, given).mapInArrow(run, ", ".join([*fields, more]))
+    return made.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *made.columns[len(carry) :])
 
 
-def _restored(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
-    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], *more)
-
-
-def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """All columns and ``ids``, the token ids of the whole text; a column ``ids`` is replaced.
+def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all by default) and ``ids``, the token ids of the whole text.
 
     ``ranks`` is a file of base64 tokens with their ranks, ``pattern`` splits a text into the
-    stretches that are encoded by themselves. Null texts count as empty and have no ids.
+    stretches that are encoded by themselves. Null and empty texts have no ids. A column ``ids``
+    is replaced. Rows are encoded one by one, so repeated rows and empty tables are nothing special.
     """
     ready(docs)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "ids"])
-    rows, fields = _carried(kept, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("encoded_text"))
-    return _restored(rows.mapInArrow(encoding(ranks, pattern, len(kept.columns)), f"{fields}, ids array<int>"), kept.columns, "ids")
+    carry = [c for c in (carry or docs.columns) if c != "ids"]
+    given = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("given")
+    return _with_column(docs, carry, given, encoding(ranks, pattern, len(carry)), "ids array<int>")
 
 
 def decode_ids(docs: DataFrame, ranks: str) -> DataFrame:
-    """All columns and ``decoded``, the bytes of the column ``ids``, checked to be UTF-8; null ids give no bytes."""
+    """All columns, and ``decoded``: the bytes of the column ``ids``, checked to be UTF-8; null ids give no bytes."""
     ready(docs)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "decoded")], "ids")
-    rows, fields = _carried(kept.drop("ids"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
-    n = len(kept.columns) - 1
-    return _restored(rows.mapInArrow(decoding(ranks, n), f"{fields}, ids array<int>, decoded binary"), kept.columns[:-1], "ids", "decoded")
+    carry = [c for c in docs.columns if c not in ("ids", "decoded")]
+    given = F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
+    return _with_column(docs, carry, given, decoding(ranks, len(carry)), "ids array<int>, decoded binary")

@@ -119,8 +119,7 @@ def splitting_pattern() -> str:
 @llm_query("op4_byte_bpe")
 def op4(spark, sf_dir):
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, ranks, splitting_pattern()).select("doc_id", "ids")
+    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, splitting_pattern(), carry=["doc_id"])
     both = bpe.decode_ids(coded, ranks)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
