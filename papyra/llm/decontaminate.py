@@ -87,6 +87,8 @@ def matcher(items: list[tuple[int, str]], share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
+        if not items:
+            return
         owners: dict[str, list[tuple[int, int]]] = {}
         for n, (_, item) in enumerate(items):
             for at, piece in pieces(item, share):

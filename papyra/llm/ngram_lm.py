@@ -127,11 +127,12 @@ def counter(levels, count: int):
                     waiting.append(summed(node, word, np.ones(len(node), np.uint64)))
                 size += len(waiting[-1][0])
                 if size > WAITING:
-                    waiting, size = [added()], 0
+                    waiting = [added()]
+                    size = len(waiting[0][0])
                     if len(waiting[0][0]) > WAITING // 2:  # hardly anything repeats: hand it on
                         yield blocks_of(*waiting[0], place(waiting[0], count))
-                        waiting = []
-        if waiting:
+                        waiting, size = [], 0
+        if size:
             keys = added()
             yield blocks_of(*keys, place(keys, count))
 
@@ -217,6 +218,8 @@ class Levels:
         return ef.cached_load(f"{self.folder}/{order}-{shard:06d}")
 
     def by_shard(self, order: int, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        if not len(where):
+            return
         order_of = np.argsort(where, kind="stable")
         shard, at = np.unique(where[order_of], return_index=True)
         for s, a, b in zip(shard.tolist(), at, np.append(at[1:], len(where)), strict=True):

@@ -74,7 +74,7 @@ class WordIds(dict):
         if ids is None:
             if word.isascii() and word.isalpha() and word.islower():
                 ids = array(self.code, [t.id for t in self.tokens(word)]).tobytes()
-            elif SPECIAL(word):
+            elif SPECIAL(word) or word != word.lower():
                 ids = self.slow(word)
             else:
                 ids = self.by_parts(word)
@@ -97,8 +97,8 @@ class WordIds(dict):
 
 # Latin characters alone change case one by one and are composed already
 FOREIGN = re.compile("[^\x00-\u024f]|\u0130").search
-# what the tokenizer's normalizer or contraction rules look at: white space of any kind, capitals, quotes
-SPECIAL = re.compile("[\\s'A-Z\\x1c-\\x1f\\x85\\xa0\u00c0-\u00de\u0130]|[^\x00-\u024f]").search
+# what the tokenizer's normalizer or contraction rules look at: white space of any kind and quotes
+SPECIAL = re.compile("[\\s'\\x1c-\\x1f\\x85\\xa0]|[^\x00-\u024f]").search
 SIGNS = re.compile(r"(?:[^\w\s]|_)[.,](?=\s)").search
 
 
