@@ -117,12 +117,11 @@ def trim_blank(text: Column) -> Column:
     return F.trim(text, F.lit(" \t\n\x0b\f\r"))
 
 
-def split_sentences(text: Column, limit: int | None = None) -> Column:
+def split_sentences(text: Column) -> Column:
     """Array of sentences; a quote opening the next sentence stays with the previous one."""
     before = r'(?:(?<=[.?!…;:+\-] ["“]?)|(?<=[a-f]\) ["“]?))'
     parts = F.split(collapse_spaces(text), before + f"(?=[{SENTENCE_CAPITALS}])")
-    parts = F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
-    return F.slice(parts, 1, limit) if limit is not None else parts
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def words(text: Column, pattern: str = r"\s+") -> Column:

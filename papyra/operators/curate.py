@@ -188,8 +188,8 @@ def clean_lines(df: DataFrame, text: str) -> DataFrame:
 
 
 def select_sentences(df: DataFrame, sentences: str, min_chars: int = 20, min_tokens: int = 5) -> DataFrame:
-    """Without the first and last sentence of a record; long enough in letters and tokens."""
-    inner = F.slice(sentences, F.lit(2), F.greatest(F.size(sentences) - 2, F.lit(0)))
+    """Without the first and the last two sentences of a record; long enough in letters and tokens."""
+    inner = F.slice(sentences, F.lit(2), F.greatest(F.size(sentences) - 3, F.lit(0)))
     good = F.filter(inner, lambda s: (F.length(s) >= min_chars) & (F.size(tx.words(s)) >= min_tokens))
     return df.withColumn(sentences, good)
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from papyra.functions import text as tx
@@ -11,6 +10,7 @@ from papyra.functions.rows import unnest, unnest_structs
 from papyra.functions.shapes import full_match, word_shape
 from papyra.functions.shapes import NUMBER, PERCENTAGE, PUNCTUATION
 from papyra.operators import ordered
+from papyra.session import materialize
 
 # ---- fixed values -----------------------------------------------------------
 STOP_WORDS = (
@@ -55,19 +55,23 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 
 def vocabulary(
-    df: DataFrame, key: str, tokens: str, min_df: int = 1, size: int = 1 << 18
+    df: DataFrame, key: str, tokens: str, min_df: int = 1, size: int | None = None
 ) -> DataFrame:
-    """``(term, tf, df, term_id)``: the ``size`` most frequent terms in at least ``min_df`` rows.
+    """``(term, tf, df, term_id)``: terms in at least ``min_df`` rows, numbered by falling frequency.
+
+    All of them, unless the caller asks for the ``size`` most frequent ones.
 
     Counting is a two-step hash aggregate: per row first (terms of one row never leave
     their task), then over the corpus.
     """
     per_row = term_counts(df, key, tokens)
     totals = per_row.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = totals.filter(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(size)
-    # at most ``size`` rows are left to number
-    rank = F.row_number().over(W.orderBy(F.desc("tf"), "term")) - 1
-    return top.withColumn("term_id", rank)
+    top = totals.filter(F.col("df") >= min_df)
+    if size is not None:
+        top = top.orderBy(F.desc("tf"), "term").limit(size)
+    # numbered range by range: the vocabulary does not go through one task
+    order = materialize(top.withColumn("_rare", -F.col("tf")), "terms")
+    return ordered.row_index(order, [], ["_rare", "term"], "term_id").withColumn("term_id", F.col("term_id").cast("int")).drop("_rare")
 
 
 def term_counts(df: DataFrame, key: str, tokens: str, binary: bool = False) -> DataFrame:

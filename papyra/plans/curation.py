@@ -225,7 +225,7 @@ def body_slice(spark, sf_dir):
 
 @query(
     "c20_sentence_selection",
-    f"""select doc_id, array_to_string(list_filter(s[2:len(s)-1], lambda x: length(x) >= 20 and
+    f"""select doc_id, array_to_string(list_filter(s[2:len(s)-2], lambda x: length(x) >= 20 and
     len(list_filter(string_split_regex(x, '\\s+'), lambda w: w <> '')) >= 5), '|') as kept
     from (select doc_id, {SENTENCES_SQL.format('text')} as s from documents)""",
 )

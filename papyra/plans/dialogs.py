@@ -10,12 +10,12 @@ from papyra.plans.registry import query, table
 from papyra.plans.textual import WORDS
 
 WORD_ARRAY = WORDS.format("text")
-ACTS_SQL = f"""acts as (select conv_id, turn, list_sort(list_distinct(list_transform({WORD_ARRAY}[1:3], lambda w: lower(substr(w, 1, 1))))) as a from conversations)"""
+ACTS_SQL = f"""acts as (select conv_id, turn, list_sort(list_distinct(list_transform({WORD_ARRAY}, lambda w: lower(substr(w, 1, 1))))) as a from conversations)"""
 
 
 def _acts(text):
-    """Distinct first letters of the first three words stand for dialog acts."""
-    first = F.transform(F.slice(tx.words(text), 1, 3), lambda w: F.lower(F.substr(w, F.lit(1), F.lit(1))))
+    """Distinct first letters of the words stand for dialog acts."""
+    first = F.transform(tx.words(text), lambda w: F.lower(F.substr(w, F.lit(1), F.lit(1))))
     return F.array_sort(F.array_distinct(first))
 
 

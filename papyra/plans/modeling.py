@@ -100,12 +100,11 @@ def ngrams(spark, sf_dir):
 
 VOCAB_SQL = f"""{TOKENS_SQL}, c as (select doc_id, t as term, count(*) as n from t group by 1, 2),
     v as (select term, sum(n) as tf, count(*) as df from c group by 1 having count(*) >= 2),
-    vocab as (select term, tf, df, row_number() over (order by tf desc, term) - 1 as term_id from v
-    qualify term_id < 5000)"""
+    vocab as (select term, tf, df, row_number() over (order by tf desc, term) - 1 as term_id from v)"""
 
 
-def _vocabulary(spark, sf_dir, size=5000):
-    return features.vocabulary(_doc_words(spark, sf_dir), "doc_id", "w", min_df=2, size=size)
+def _vocabulary(spark, sf_dir):
+    return features.vocabulary(_doc_words(spark, sf_dir), "doc_id", "w", min_df=2)
 
 
 @query("e4_vocabulary_counts", f"with {VOCAB_SQL} select doc_id, term_id, n from c join vocab using (term)")
@@ -311,15 +310,14 @@ def char_planes(spark, sf_dir):
     "e16b_subtoken_ids",
     f"""with {TURNS_SQL}, u as (select id, flatten(list_transform(w, lambda x: [substr(x, 1, 1),
     case when length(x) > 2 then substr(x, 2, length(x) - 2) else '$NA' end, case when length(x) > 1 then right(x, 1) else '$NA' end])) as u from turns),
-    v as (select term, row_number() over (order by count(*) desc, term) - 1 as term_id from (select unnest(u) as term from u) group by 1
-    qualify term_id < 5000),
+    v as (select term, row_number() over (order by count(*) desc, term) - 1 as term_id from (select unnest(u) as term from u) group by 1),
     h as (select id, unnest(u[1:48]) as term, generate_subscripts(u[1:48], 1) as i from u)
     select id, string_agg(cast(coalesce(term_id, 0) as varchar), ' ' order by i) || repeat(' 0', cast(48 - count(*) as int)) as ids
     from h left join v using (term) group by id""",
 )
 def subtoken_ids(spark, sf_dir):
     rows = _turns(spark, sf_dir).withColumn("u", tx.subtokens(F.col("w")))
-    vocab = features.vocabulary(rows, "id", "u", size=5000)
+    vocab = features.vocabulary(rows, "id", "u")
     out = features.to_index_sequence(rows, "id", "u", vocab, 48, unknown=0, pad=0)
     return out.select("id", F.array_join("ids", " ").alias("ids"))
 

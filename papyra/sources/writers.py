@@ -7,18 +7,16 @@ from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SMALL_ROWS = 100_000
-
 
 def write_corpus(df: DataFrame, path: str, parts: int) -> None:
     """Gzip JSON lines in ``parts`` files."""
     df.repartition(parts).write.mode("overwrite").option("compression", "gzip").json(path)
 
 
-def write_json(df: DataFrame, path: str, single: bool = False, small_rows: int = SMALL_ROWS) -> None:
-    """JSON lines; one file only when the result is checked to be small."""
-    if single and df.limit(small_rows + 1).count() <= small_rows:
-        df = df.coalesce(1)
+def write_json(df: DataFrame, path: str, single: bool = False) -> None:
+    """JSON lines; ``single`` asks for one file, which one task then writes, whatever its size."""
+    if single:
+        df = df.repartition(1)
     df.write.mode("overwrite").json(path)
 
 

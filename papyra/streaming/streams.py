@@ -6,6 +6,7 @@ data available now and gives back its result table.
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,9 @@ def _latest_result(stream: DataFrame, mode: str, finish) -> DataFrame:
         last.update(path=f"{path}/{batch_id}", schema=result.schema)
 
     run_batches(stream, write, mode)
+    if not last:  # no input: an empty result
+        nothing = spark.createDataFrame([], stream.schema)
+        return finish(nothing) if finish else nothing
     return spark.read.schema(last["schema"]).parquet(last["path"])
 
 
@@ -167,13 +171,18 @@ def running_mean_length(messages: DataFrame, text: str) -> DataFrame:
     return totals.withColumn("mean", F.floor(F.col("letters") / F.col("messages")))
 
 
-def save_batches(stream: DataFrame, path: str, stop_after: int | None = 1000) -> int:
-    """Each non-empty micro-batch to its own folder; stops after a total number of rows."""
-    total = {"rows": 0}
+def save_batches(stream: DataFrame, path: str, stop_after: int | None = None, checkpoint: str | None = None) -> int:
+    """Each non-empty micro-batch to its own folder; the query ends once over ``stop_after`` rows are saved.
+
+    The batch that comes after that is refused before it is committed, so a later run with the
+    same ``checkpoint`` goes on with its rows.
+    """
+    total = {"rows": 0, "ended": False}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if stop_after is not None and total["rows"] > stop_after:
-            return
+            total["ended"] = True
+            raise StopIteration("enough rows are saved")
         batch.persist()
         rows = batch.count()
         if rows:
@@ -181,7 +190,11 @@ def save_batches(stream: DataFrame, path: str, stop_after: int | None = 1000) ->
             total["rows"] += rows
         batch.unpersist()
 
-    run_batches(stream, write)
+    try:
+        run_batches(stream, write, checkpoint=checkpoint)
+    except StreamingQueryException:
+        if not total["ended"]:
+            raise
     return total["rows"]
 
 

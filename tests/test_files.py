@@ -140,7 +140,7 @@ def test_writers(spark, folder):
     assert len(list(Path(f"{folder}/gz").glob("*.json.gz"))) == 3
     writers.write_json(rows.repartition(5), f"{folder}/one", single=True)
     assert len(list(Path(f"{folder}/one").glob("*.json"))) == 1
-    writers.write_json(rows.repartition(5), f"{folder}/many", single=True, small_rows=10)
+    writers.write_json(rows.repartition(5), f"{folder}/many")
     assert len(list(Path(f"{folder}/many").glob("*.json"))) == 5
     eval_rows = spark.createDataFrame([(["B-X", "O"], ["O", "O"])], "g array<string>, p array<string>")
     writers.write_conll_eval(eval_rows, "g", "p", f"{folder}/eval")

@@ -70,9 +70,12 @@ def test_agent_counts_per_batch(spark, folder):
 def test_save_batches_stops(spark, folder):
     _, stream = logs(spark, folder)
     assert streams.save_batches(stream, f"{folder}/all", stop_after=None) == 400
-    saved = streams.save_batches(stream, f"{folder}/some", stop_after=150)
+    saved = streams.save_batches(stream, f"{folder}/some", stop_after=150, checkpoint=f"{folder}/state")
     assert 150 < saved < 400
     assert spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/some").count() == saved
+    # the next run with the same checkpoint saves the rest
+    assert streams.save_batches(stream, f"{folder}/some", checkpoint=f"{folder}/state") == 400 - saved
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/some").count() == 400
 
 
 def test_preview_and_mean(spark, folder):
