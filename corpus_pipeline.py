@@ -40,8 +40,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, their number, and the text decoded from them."""
-    ranks = vocabulary(RANKS)
-    coded = bpe.decode_ids(bpe.encode_texts(docs, ranks, splitting_pattern(), carry=["doc_id", "source", "lang"]), ranks)
+    coded = bpe.round_trip(docs, vocabulary(RANKS), splitting_pattern(), carry=["doc_id", "source", "lang"])
     return coded.select("doc_id", "source", "lang", F.size("ids").alias("n_tokens"), "ids", F.decode("decoded", "UTF-8").alias("text"))
 
 

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from papyra.llm.blocks import array_of, ready
 
-STATES = 150_000
-PIECES = 300_000
+STATES = 50_000
+PIECES = 80_000
 PIECE_CHARS = 40
 FLUSH_IDS = 1 << 20
 
@@ -53,7 +53,6 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         # the two tokens that a token was merged from; single bytes are not merged
         self.halves: dict[int, tuple[int, int]] = {}
-        self.joined: dict[tuple[int, int], int] = {}
         # trie nodes are numbers: children by byte, and the token that ends there
         self.children: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
@@ -62,8 +61,7 @@ class Transducer:
                 parts = self.merged(token)
                 if len(parts) != 2:  # merging never makes it; it only stands for itself
                     continue
-                self.halves[rank] = halves = ranks[parts[0]], ranks[parts[1]]
-                self.joined[halves] = rank
+                self.halves[rank] = ranks[parts[0]], ranks[parts[1]]
             node = 0
             for b in token:
                 node = self.children[node].setdefault(b, len(self.children))
@@ -103,7 +101,7 @@ class Transducer:
         known = self.pairs.get(key)
         if known is not None:
             return known
-        if len(self.pairs) > 4 * STATES:
+        if len(self.pairs) > 2 * STATES:
             self.pairs.clear()
         a, b, until, apart = left, right, 1 << 60, True
         # until: the union must come before it; on a tie of ranks the left place wins
@@ -351,6 +349,18 @@ def encode_texts(docs: DataFrame, ranks: str, pattern: str, text: str = "text",
     return _with_column(docs, carry, given, encoding(ranks, pattern, len(carry)), "ids array<int>")
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``encode_texts`` and ``decode_ids`` in one pass: the columns ``carry``, ``ids`` and ``decoded``.
+
+    Each task has one Python worker for both then, which halves their memory.
+    """
+    ready(docs)
+    carry = [c for c in (carry or docs.columns) if c not in ("ids", "decoded")]
+    given = F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("given")
+    there, back = encoding(ranks, pattern, len(carry)), decoding(ranks, len(carry))
+    return _with_column(docs, carry, given, lambda batches: back(there(batches)), "ids array<int>, decoded binary")
+
+
 def decode_ids(docs: DataFrame, ranks: str) -> DataFrame:
     """All columns, and ``decoded``: the bytes of the column ``ids``, checked to be UTF-8; null ids give no bytes."""
     ready(docs)

@@ -119,8 +119,7 @@ def splitting_pattern() -> str:
 @llm_query("op4_byte_bpe")
 def op4(spark, sf_dir):
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode_texts(table(spark, sf_dir, "documents"), ranks, splitting_pattern(), carry=["doc_id"])
-    both = bpe.decode_ids(coded, ranks)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, splitting_pattern(), carry=["doc_id"])
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
