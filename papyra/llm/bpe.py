@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from papyra.llm.blocks import array_of, ready
 
-STATES = 50_000
-PIECES = 80_000
+STATES = 60_000
+PIECES = 100_000
 PIECE_CHARS = 40
 FLUSH_IDS = 1 << 20
 
