@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from papyra.llm.blocks import array_of, ready
 
-STATES = 60_000
-PIECES = 100_000
+STATES = 100_000
+PIECES = 200_000
 PIECE_CHARS = 40
 FLUSH_IDS = 1 << 20
 
@@ -135,32 +135,34 @@ class Transducer:
     def step(self, number: int, byte: int) -> tuple[int, tuple]:
         """The arc on a byte: the next state, and the tokens that are now certain."""
         subset, last = self.subsets[number]
-        children, ends, follow = self.children, self.ends, self.follow
-        found, root, shared = [], None, ()
-        for one in subset:
-            pending, node = one
+        children, ends, pairs = self.children, self.ends, self.pairs
+        found, root = [], None
+        for pending, node in subset:
             child = children[node].get(byte)
             if child is None:
                 continue
             if children[child]:
                 found.append((pending, child))
-            token = ends[child]
-            if token >= 0 and root is None:
-                before = pending[-1] if pending else last
-                if before < 0 or follow(before, token):
-                    root = (*pending, token)
-        found.append((root, 0))
+            if root is None:
+                token = ends[child]
+                if token >= 0:
+                    before = pending[-1] if pending else last
+                    apart = before < 0 or pairs.get(before << 20 | token)
+                    if apart is None:
+                        apart = self.follow(before, token)
+                    if apart:
+                        root = (*pending, token)
         # what all possibilities begin with is certain
-        shared = found[0][0]
-        for pending, _ in found:
-            while shared != pending[: len(shared)]:
-                shared = shared[:-1]
-            if not shared:
-                break
-        n = len(shared)
-        if n:
-            found = [(pending[n:], node) for pending, node in found]
-            last = shared[-1]
+        shared = found[0][0] if found else root
+        if shared:
+            for pending, _ in (*found, (root, 0)):
+                while shared != pending[: len(shared)]:
+                    shared = shared[:-1]
+            n = len(shared)
+            if n:
+                found = [(pending[n:], node) for pending, node in found]
+                root, last = root[n:], shared[-1]
+        found.append((root, 0))
         arc = self.state(tuple(found), last), shared
         self.arcs[number][byte] = arc
         return arc
