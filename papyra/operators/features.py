@@ -95,9 +95,13 @@ def hash_tf(df: DataFrame, key: str, tokens: str, buckets: int = 1 << 15, binary
 
 
 def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``(key, term, n, weight)`` with weight ``n * ln((rows + 1) / (df + 1))``."""
-    counts = term_counts(df, key, tokens)
-    documents = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+    """``(key, term, n, weight)`` with weight ``n * ln((rows + 1) / (df + 1))``.
+
+    Counts and document frequencies are written once. Both sides of the join are then plain
+    shuffles, so Spark can split the rows of a word that is in every document.
+    """
+    counts = materialize(term_counts(df, key, tokens), "counts")
+    documents = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "frequencies")
     rows = df.agg(F.count(F.lit(1))).scalar()
     weight = F.col("n") * F.log((rows + 1) / (F.col("_df") + 1))
     return counts.join(documents, "term").select(key, "term", "n", weight.alias("weight"))

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Sampled text values per range; only the evenness of the ranges depends on it.
+ROWS_PER_RANGE = 16
+
+
 def _ranges(df: DataFrame) -> int:
     wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(16, 1 << (wanted - 1).bit_length())
@@ -30,20 +34,22 @@ def _position(bounds: Column, value: Column, ranges: int) -> Column:
     )
 
 
-def _sortable(df: DataFrame, column: str) -> tuple[Column, bool]:
-    """A number or time that sorts like the column, and whether it tells all values apart.
+def _bounds(df: DataFrame, order: list[str], ranges: int) -> Column:
+    """Values that cut the first column of ``order`` into ranges of about equal size.
 
-    Text is represented by its first seven bytes, which sort like the text itself.
+    Numbers and times are cut by approximate quantiles. Text is cut at whole values: those of a
+    bounded number of rows, the first by the hash of their order columns, so every evaluation
+    takes the same ones, and rows that are alike count once.
     """
+    column = order[0]
     if not isinstance(df.schema[column].dataType, T.StringType):
-        return F.col(column), True
-    head = F.rpad(F.hex(F.substring(F.col(column).cast("binary"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long"), False
-
-
-def _bounds(df: DataFrame, value: Column, ranges: int) -> Column:
-    shares = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.percentile_approx(value, shares, 4 * ranges)).scalar()
+        shares = [i / ranges for i in range(1, ranges)]
+        return df.agg(F.percentile_approx(F.col(column), shares, 4 * ranges)).scalar()
+    rows = df.filter(F.col(column).isNotNull()).select(*order).distinct()
+    picked = rows.orderBy(F.xxhash64(*order), *order).limit(ROWS_PER_RANGE * ranges)
+    listed = picked.agg(F.sort_array(F.collect_list(column)).alias("_values"))
+    at = F.sequence(F.lit(1), F.lit(ranges - 1))
+    return listed.select(F.transform(at, lambda i: F.get("_values", F.floor(i * F.size("_values") / ranges).cast("int")))).scalar()
 
 
 def with_order_bucket(df: DataFrame, order: list[str], name: str = "_range") -> DataFrame:
@@ -53,14 +59,13 @@ def with_order_bucket(df: DataFrame, order: list[str], name: str = "_range") ->
     frequent value, is cut further by the second column.
     """
     ranges = _ranges(df)
-    value, exact = _sortable(df, order[0])
-    out = df.withColumn("_bounds", _bounds(df, value, ranges))
+    value = F.col(order[0])
+    out = df.withColumn("_bounds", _bounds(df, order, ranges))
     out = out.withColumn(name, _position(F.col("_bounds"), value, ranges).cast("long"))
-    if len(order) > 1 and exact:
+    if len(order) > 1:
         on_bound = F.coalesce(F.get("_bounds", F.col(name).cast("int")) == value, F.lit(False))
-        tie, _ = _sortable(df, order[1])
-        second = _position(F.col("_second"), tie, ranges)
-        out = out.withColumn("_second", _bounds(df, tie, ranges)).withColumn(
+        second = _position(F.col("_second"), F.col(order[1]), ranges)
+        out = out.withColumn("_second", _bounds(df, order[1:], ranges)).withColumn(
             name, F.col(name) * (ranges + 1) + F.when(on_bound, second + 1).otherwise(0)
         ).drop("_second")
     return out.drop("_bounds")

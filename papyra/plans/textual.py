@@ -155,11 +155,17 @@ def punct_number_mask(spark, sf_dir):
 )
 def word_shape(spark, sf_dir):
     t = F.col("t")
-    shaped = _tokens(spark, sf_dir).select(
-        "doc_id", sh.word_shape(t).alias("shape"), sh.dialog_shape(t).alias("dialog"),
+    tokens = _tokens(spark, sf_dir).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
+    shaped = tokens.select(
+        "doc_id", "k", sh.word_shape(t).alias("shape"), sh.dialog_shape(t).alias("dialog"),
         sh.word_shape(t, sh.PARSER_SHAPES).alias("parser"),
     )
-    return shaped.groupBy("doc_id", "shape", "dialog", "parser").agg(F.count(F.lit(1)).alias("n"))
+    return shaped.groupBy("doc_id", "shape", "dialog", "parser").agg(F.sum("k").alias("n"))
+
+
+def _token_totals(spark, sf_dir):
+    """Distinct tokens and how often they occur, so that each one's shape is found once."""
+    return _tokens(spark, sf_dir).groupBy("t").agg(F.count(F.lit(1)).alias("k"))
 
 
 KEPT_SHAPES = ", ".join(quoted(s) for s in sh.WORD_SHAPES)
@@ -175,11 +181,11 @@ KEPT_SHAPES = ", ".join(quoted(s) for s in sh.WORD_SHAPES)
 )
 def shape_normalize(spark, sf_dir):
     t = F.col("t")
-    out = _tokens(spark, sf_dir).select(
-        sh.normalize_token(t).alias("normal"), sh.dialog_token(t).alias("dialog"),
+    out = _token_totals(spark, sf_dir).select(
+        "k", sh.normalize_token(t).alias("normal"), sh.dialog_token(t).alias("dialog"),
         sh.shape_or_word(t).alias("shape"), sh.is_named_entity(t).alias("entity"),
     )
-    return out.groupBy("normal", "dialog", "shape", "entity").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy("normal", "dialog", "shape", "entity").agg(F.sum("k").alias("n"))
 
 
 @query(
@@ -192,8 +198,8 @@ def shape_normalize(spark, sf_dir):
 )
 def shape_placeholder(spark, sf_dir):
     t = F.col("t")
-    out = _tokens(spark, sf_dir).select(sh.placeholder(t).alias("placeholder"), sh.number_punct_token(t).alias("token"))
-    return out.groupBy("placeholder", "token").agg(F.count(F.lit(1)).alias("n"))
+    out = _token_totals(spark, sf_dir).select("k", sh.placeholder(t).alias("placeholder"), sh.number_punct_token(t).alias("token"))
+    return out.groupBy("placeholder", "token").agg(F.sum("k").alias("n"))
 
 
 LOWER_FROM, LOWER_TO = "".join(tx.ACCENTED), "".join(map(tx._bare_letter, tx.ACCENTED))

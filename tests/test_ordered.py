@@ -140,3 +140,17 @@ def test_text_order_columns(spark, skewed):
     by_tie = ordered.row_index(named, [], ["t", "name"]).toPandas()
     wanted = sorted(zip(by_tie["t"], by_tie["name"]), key=lambda x: (x[0], x[1].encode()))
     assert list(zip(by_tie.sort_values("_rn")["t"], by_tie.sort_values("_rn")["name"])) == wanted
+
+
+def test_text_with_a_common_prefix_is_cut_into_ranges(spark):
+    rows = spark.range(5000).select(F.concat(F.lit("https://example.org/page/"), F.lpad("id", 6, "0")).alias("url"), "id")
+    sizes = ordered.with_order_bucket(rows, ["url"]).groupBy("_range").count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 5000 / 4
+    got = ordered.row_index(rows, [], ["url"]).toPandas()
+    assert (got["_rn"] == got["id"]).all()
+
+
+def test_hot_text_is_cut_by_the_second_column(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("w"), F.lpad("id", 5, "0"))).alias("t"), "id")
+    sizes = ordered.with_order_bucket(rows, ["t", "id"]).groupBy("_range").count().toPandas()["count"]
+    assert sizes.max() < 5000 * 0.15
