@@ -9,7 +9,7 @@ from papyra.operators import metrics, search
 from papyra.plans.files import ENTITY_SQL, TAG_SQL, entity_of, tag_of
 from papyra.plans.modeling import TURNS_SQL, _tagged_turns, _turns
 from papyra.plans.registry import query, spread, table
-from papyra.plans.retrieval import BENCH_QUERIES_SQL, SEARCH_SQL, bench_queries, stored_index
+from papyra.plans.retrieval import BENCH_QUERIES_SQL, SEARCH_SQL, TERMS, bench_queries, stored_index
 from papyra.plans.textual import WORDS
 
 WORD_ARRAY = WORDS.format("text")
@@ -229,7 +229,8 @@ def char_token_accuracy(spark, sf_dir):
 @query(
     "g8_reciprocal_rank",
     f"""with {BENCH_QUERIES_SQL}, {SEARCH_SQL}, best as (select * from ranked where rank <= 10),
-    gold as (select distinct b.item_id as qid, d.doc_id from benchmark b join documents d on contains(d.text, b.text)),
+    gold as (select distinct b.item_id as qid, d.doc_id from benchmark b join documents d on contains(d.text, b.text)
+    where len({TERMS.format('b.text')}) > 0),
     f as (select qid, min(rank) as r from best join gold using (qid, doc_id) where rank <= 5 group by qid)
     select count(*) as queries, count(r) as found, round(avg(coalesce(1.0 / r, 0)), 6) as mrr
     from (select distinct qid from gold) left join f using (qid)""",
@@ -245,13 +246,16 @@ def reciprocal_rank(spark, sf_dir):
 def contained_passages(spark, sf_dir, index):
     """``(qid, doc_id)`` of documents containing a passage as a substring.
 
-    A passage can only lie in a document that has all of its words, so the all-terms
-    matches are the pairs to check.
+    A passage may begin and end inside a word, but a document that holds it has all the words
+    between. Passages without such words are looked for by parts of words; those without any
+    word have no documents.
     """
-    items = bench_queries(spark, sf_dir)
-    pairs = search.and_matches(index, items).select("qid", "doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
+    items = passages.select("qid", search.index_terms(F.col("passage")).alias("t"))
+    inner = items.filter("size(t) > 2").select("qid", F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0))).alias("terms"))
+    short = items.filter("size(t) between 1 and 2").select("qid", F.get("t", F.lit(0)).alias("part"))
+    pairs = search.and_matches(index, inner).select("qid", "doc_id").union(search.part_matches(index, short))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = pairs.join(passages, "qid").join(docs, "doc_id").filter(F.contains("text", "passage"))
     return held.select("qid", "doc_id")
 
