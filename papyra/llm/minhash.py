@@ -6,11 +6,10 @@
 2. A second pass draws ``BANDS * ROWS`` improved consistent weighted samples (gamma-distributed
    ``r`` and ``c``, uniform ``beta``) from the weighted shingles of every text.
 3. Equal texts form a class, keyed by digest. Classes that agree in a band share a bucket.
-   Every member of a bucket is compared with two centres of it: the member that shares its
-   other bands with most classes (the original among many edited copies), and the smallest
-   one. So a bucket makes at most two pairs per member.
-4. Pairs are verified by the weighted Jaccard similarity of their whole shingle sets, and the
-   links are closed to groups.
+   All members of a bucket are compared with each other, in units of bounded size.
+4. Pairs are verified by the weighted Jaccard similarity of their whole shingle sets, in the unit
+   of their first shared band. A unit returns numbers of links and a star for each of its groups
+   instead of the pairs, so rows do not grow with the square of a group, and the stars are closed to groups.
 """
 
 from __future__ import annotations
@@ -35,6 +34,9 @@ SKETCH = 1 << SKETCH_BITS
 BLOCK = 1 << 14
 ID_BITS = 52  # of a shingle; the rest of a 64-bit sort key holds the row
 QUANTILES = 4096
+UNIT_MEMBERS = 256  # compared at once, and their shingles
+UNIT_SHINGLES = 1 << 22
+COLUMNS = 2048
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +190,7 @@ def signer(idf, bands: int, rows: int):
                 some = np.diff(edge) > 0
                 keys = band_keys(samples, bands, rows)[some].view(np.int64)
                 where = np.concatenate([[0], np.cumsum(np.where(some, bands, 0))])
-                yield pa.record_batch({"key": batch.column(0).slice(lo, hi - lo), "bands": array_of(keys.ravel(), where, pa.int64())})
+                yield pa.record_batch({"key": batch.column(0).slice(lo, hi - lo), "bands": array_of(keys.ravel(), where, pa.int64()), "size": pa.array(np.add.reduceat(np.append(tf, 0), edge[:-1]) * some, pa.int64())})
 
     return run
 
@@ -214,30 +216,95 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
     return common / (total - common) if total else 0.0
 
 
-def verifier(idf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = idf.value
-        for batch in batches:
-            sides = zip(batch.column(2), batch.column(3), strict=True)
-            out = [weighted_jaccard(np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32), table) for x, y in sides]
-            yield pa.record_batch({"a": batch.column(0), "b": batch.column(1), "similarity": pa.array(out, pa.float64())})
+def overlaps(packs: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of all pairs of sorted multisets of shingles."""
+    k = len(packs)
+    row = np.repeat(np.arange(k), [len(x) for x in packs])
+    ids = np.concatenate(packs)
+    # the n-th copy of a shingle in a text is an element of its own, so the smaller count is an intersection
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])
+    at = np.flatnonzero(new)
+    copy = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
+    weight = idf[ids >> np.uint32(32 - SKETCH_BITS)].astype(np.float64)
+    total = np.bincount(row, weight, k)
+    order = np.lexsort((copy, ids))
+    ids, copy, row, weight = ids[order], copy[order], row[order], weight[order]
+    new[1:] = (ids[1:] != ids[:-1]) | (copy[1:] != copy[:-1])
+    at = np.flatnonzero(new)
+    held = np.diff(np.append(at, len(ids)))
+    shared = np.repeat(held > 1, held)
+    column, row, weight = np.repeat(np.cumsum(held > 1) - 1, held)[shared], row[shared], weight[shared]
+    common = np.zeros((k, k))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        block = np.zeros((k, COLUMNS))
+        block[row[a:b], column[a:b] - lo] = np.sqrt(weight[a:b])
+        common += block @ block.T
+    np.fill_diagonal(common, total)  # of the elements of one text alone, nothing was added
+    union = total[:, None] + total[None, :] - common
+    return np.divide(common, union, out=np.zeros((k, k)), where=union > 0)
+
+
+def verifier(idf, similarity: float):
+    """All members of a unit to its links: per linked member the smallest one it reaches inside the unit and its number of links.
+
+    A pair counts in the unit of its first shared band only, so in one unit of all.
+    """
+
+    def run(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        k, band = len(unit), unit["band"][0].as_py()
+        keys, part = unit["key"].to_pylist(), unit["part"].to_numpy()
+        bands = np.array(unit["bands"].to_pylist(), np.int64).reshape(k, -1)
+        pair = bands[:, None, band] == bands[None, :, band]
+        for earlier in range(band):
+            pair &= bands[:, None, earlier] != bands[None, :, earlier]
+        np.fill_diagonal(pair, False)
+        if unit["low"][0].as_py() != unit["high"][0].as_py():
+            pair &= part[:, None] != part[None, :]  # pairs of one part belong to the unit of that part
+        some = np.flatnonzero(pair.any(axis=1))
+        out = []
+        if len(some):
+            packs = [np.frombuffer(unit["shingles"][int(i)].as_buffer(), np.uint32) for i in some]
+            link = pair[np.ix_(some, some)] & (overlaps(packs, idf.value) >= similarity)
+            degree, left = link.sum(axis=1), set(np.flatnonzero(link.any(axis=1)).tolist())
+            while left:
+                group, edge = set(), {left.pop()}
+                while edge:
+                    group |= edge
+                    edge = set(np.flatnonzero(link[sorted(edge)].any(axis=0)).tolist()) & left
+                    left -= edge
+                least = min(keys[some[i]] for i in group)
+                out += [(keys[some[i]], least, int(degree[i])) for i in group]
+        columns = list(zip(*out, strict=True)) or [()] * 3
+        return pa.table({"key": pa.array(columns[0], pa.binary()), "least": pa.array(columns[1], pa.binary()), "links": pa.array(columns[2], pa.int64())})
 
     return run
 
 
-def candidate_pairs(classes: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, from ``(key, bands)``: each member of a bucket with its two centres."""
-    members = materialize(classes.select("key", F.explode("bands").alias("bucket")), "bands")
-    sizes = materialize(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    shared = materialize(members.join(sizes, "bucket"), "shared")
-    weight = materialize(shared.groupBy("key").agg(F.sum("n").alias("weight")), "weights")
-    ranked = shared.join(weight, "key").select("bucket", "key", "weight")
-    least = F.min("key").alias("least")
-    # of the weightiest members the one with the smallest key: complement the order by weight only
-    centres = materialize(ranked.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("w"), "key"))["key"].alias("centre"), least), "centres")
-    pairs = shared.select("bucket", "key").join(centres, "bucket")
-    pairs = pairs.select("key", F.explode(F.array("centre", "least")).alias("other")).filter("key <> other")
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+def candidate_units(classes: DataFrame) -> DataFrame:
+    """``(key, bands, band, bucket, low, high, part)`` from ``(key, bands, size)``: buckets dealt into units of bounded size.
+
+    The members of a bucket go into parts by hash; each pair of parts is a unit and has all members of both,
+    so every two members meet. Buckets with the very same members are one, that of the first band.
+    """
+    members = materialize(classes.select("key", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
+    held = members.groupBy("bucket").agg(
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("long")).alias("size"),
+        F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"),
+    )
+    parts = F.ceil(F.greatest(F.col("n") / UNIT_MEMBERS, F.col("size") / UNIT_SHINGLES) * 2).cast("int").alias("parts")
+    # a bucket of up to one unit's size is one part
+    parts = F.when((F.col("n") <= UNIT_MEMBERS) & (F.col("size") <= UNIT_SHINGLES), 1).otherwise(parts).alias("parts")
+    held = held.filter("n > 1").groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket", "size")).alias("first"))
+    held = materialize(held.select("first.bucket", "n", "first.size").select("bucket", parts), "buckets")
+    own = F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts")).cast("int").alias("part")
+    shared = members.join(held, "bucket").select("key", "band", "bucket", "parts", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    units = shared.select("key", "band", "bucket", "part", other)
+    units = units.select("key", "band", "bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part")
+    return units
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -245,7 +312,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
     Columns: ``doc_id``, ``class_key`` (md5 of the text), ``class_id`` (smallest doc_id with this
     very text), ``group_key`` (smallest digest of the group), ``group_id`` (its smallest doc_id),
-    ``links`` (verified links that this text has to other texts). Words are split at blanks and compared in lower case. Null texts
+    ``links`` (the other texts that share a band with this one and are verified to be similar). Words are split at blanks and compared in lower case. Null texts
     count as empty; equal texts form a class also where they are empty or have no words, but
     texts without words link to nothing else. Rows may repeat; every row is returned. A null
     id is larger than any other when the smallest is chosen. Other columns are not read.
@@ -255,23 +322,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     keyed = whole.select("doc_id", F.unhex(F.md5("text")).alias("key"), F.lower("text").alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(*document_frequencies(whole)))
     sizes = materialize(keyed.groupBy("key").agg(F.min("doc_id").alias("class_id")), "classes")
-    signed = keyed.select("key", "text").mapInArrow(signer(idf, bands, rows), "key binary, bands array<bigint>")
+    signed = keyed.select("key", "text").mapInArrow(signer(idf, bands, rows), "key binary, bands array<bigint>, size bigint")
     # copies have equal bands, so the first of a key is as good as any
-    classes = signed.filter(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"))
-    pairs = materialize(candidate_pairs(classes), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    classes = signed.filter(F.size("bands") > 0).groupBy("key").agg(F.first("bands").alias("bands"), F.first("size").alias("size"))
+    classes = materialize(classes, "signatures")
+    units = materialize(candidate_units(classes), "units")
+    used = units.select("key").distinct()
     # one row of each class: joining by its id as well spreads the copies of a text
     used = materialize(sizes.join(used, "key", "left_semi").select("key", F.col("class_id").alias("doc_id")), "used")
     same = keyed["doc_id"].eqNullSafe(used["doc_id"]) & (keyed["key"] == used["key"])
     texts = keyed.join(used.hint("merge"), same, "left_semi").select("key", "text")  # alike at every size
     packed = texts.mapInArrow(packer, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles"))
-    packed = materialize(packed, "packed")
-    both = pairs.join(packed.withColumnsRenamed({"key": "b", "shingles": "right"}), "b")
-    both = both.join(packed.withColumnsRenamed({"key": "a", "shingles": "left"}), "a").select("a", "b", "left", "right")
-    links = both.mapInArrow(verifier(idf), "a binary, b binary, similarity double").filter(F.col("similarity") >= similarity)
-    links = materialize(links.select("a", "b"), "links")
-    roots = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("links"))
+    packed = materialize(packed.join(classes.select("key", "bands"), "key"), "packed")
+    whole_units = units.join(packed.hint("merge"), "key").groupBy("bucket", "low", "high")
+    found = whole_units.applyInArrow(verifier(idf, similarity), "key binary, least binary, links bigint")
+    found = materialize(found, "links")
+    roots = components(found.filter("key <> least").select(F.col("key").alias("a"), F.col("least").alias("b")))
+    degree = found.groupBy("key").agg(F.sum("links").alias("links"))
     named = sizes.join(roots.withColumnRenamed("node", "key"), "key", "left").join(degree, "key", "left")
     named = named.select("key", "class_id", F.coalesce("root", "key").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
     named = materialize(named, "named")

@@ -78,6 +78,42 @@ def test_near_duplicates_lose_no_link(spark):
     assert {r["doc_id"]: r["group_id"] for r in minhash.near_duplicates(docs).collect()} == {i: find(i) for i in ids}
 
 
+def test_near_duplicates_without_an_original(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"v{x}" for x in rng.integers(0, 1 << 40, n)]
+    family = []  # copies by turns: each one edits the copy before, so the ends are far apart
+    text = word(300)
+    for _ in range(40):
+        text = list(text)
+        text[rng.integers(0, 300)] = word(1)[0]
+        text[rng.integers(0, 300)] = word(1)[0]
+        family.append(text)
+    passage = word(400)  # long and shared; the rest decides
+    tails = [word(60) for _ in range(12)]
+    shared = [passage + tails[i % 12] + word(60) for i in range(36)]
+    texts = [" ".join(t) for t in [*family, *shared, *(word(200) for _ in range(20))]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rng.permutation(texts).tolist())], "doc_id long, text string")
+    texts = [t for _, t in sorted(texts_of(docs))]
+    idf = minhash.inverse_frequencies(*minhash.document_frequencies(docs))
+    data, offsets = minhash.utf8(pa.array(texts))
+    ids, tf, edge = minhash.shingles(data, offsets)
+    packs = [np.repeat((ids[a:b] >> np.uint64(minhash.ID_BITS - 32)).astype(np.uint32), tf[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    similar = np.array([[minhash.weighted_jaccard(a, b, idf) for a in packs] for b in packs])
+    assert np.allclose(minhash.overlaps(packs, idf), similar)
+    bands = minhash.band_keys(minhash.weighted_samples(ids, tf * idf[minhash.bucket_of(ids)], edge, minhash.BANDS * minhash.ROWS), minhash.BANDS, minhash.ROWS)
+    link = (similar >= minhash.SIMILARITY) & (bands[:, None] == bands[None]).any(axis=2) & ~np.eye(len(texts), dtype=bool)
+    group = list(range(len(texts)))
+    for _ in texts:
+        group = [min(group[j] for j in [i, *np.flatnonzero(link[i])]) for i in range(len(texts))]
+    want = {i: (group[i], int(link[i].sum())) for i in range(len(texts))}
+    assert 4 < max(n for _, n in want.values()) < 39 and len(set(group)) > 22  # neighbours in the family are alike, its ends are not
+    for members in (minhash.UNIT_MEMBERS, 6):  # one unit a bucket, and many
+        monkeypatch.setattr(minhash, "UNIT_MEMBERS", members)
+        assert {r["doc_id"]: (r["group_id"], r["links"]) for r in minhash.near_duplicates(docs).collect()} == want
+
+
 def test_samples_agree_as_often_as_weights_overlap():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 1 << 52, 60, dtype=np.uint64)
