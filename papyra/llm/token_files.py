@@ -48,7 +48,12 @@ class WordIds(dict):
     def __init__(self, tokenizer, width: str):
         super().__init__({"": b""})
         self.tokenizer, self.tokens, self.code, self.old = tokenizer, tokenizer.model.tokenize, {"u2": "H", "u4": "I"}[width], {}
-        parts = json.loads(tokenizer.to_str())["pre_tokenizer"]["pretokenizers"]
+        made = json.loads(tokenizer.to_str())
+        # in any case of letters, so that lower case never makes a token that the text does not hold;
+        # every text may hold a token that is looked for after normalizing
+        added = ["" if t["normalized"] else re.escape(t["content"]) for t in made["added_tokens"]]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE).search
+        parts = made["pre_tokenizer"]["pretokenizers"]
         self.split = regex.compile(next(p["pattern"]["Regex"] for p in parts if p["type"] == "Split")).findall
         printed = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = [b for b in range(256) if b not in printed]
@@ -87,7 +92,12 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        """Ids of a text. Nothing is ever joined across a blank, so they are those of its stretches."""
+        """Ids of a text. Nothing is ever joined across a blank, so they are those of its stretches.
+
+        A text that holds an added token goes through the whole tokenizer, which looks for them first.
+        """
+        if self.added(text):
+            return self.slow(text)
         if text.isascii() or not FOREIGN(text):
             text = text.lower()
             if not SIGNS(text):  # a full stop or comma by itself is a piece of its own

@@ -379,6 +379,19 @@ def test_token_files(odd, nothing):
     assert token_files.check_token_files(token_files.write_token_files(nothing, path, 1)).count() == 0
 
 
+def test_token_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "A text.\n<|startoftext|> It's <|endoftext|>, or <|ENDOFTEXT|>", "<|ENDOFTEXT|>'s end", "\u65e5\u672c <|endoftext|>x", "< |endoftext|> <|endof text|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = token_files.write_token_files(docs, path, 1)
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_files.read_token_files(manifest).collect()}
+    assert got == {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert got[0] == [49407, 1] and got[1] == [320, 49407, 321, 1]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
