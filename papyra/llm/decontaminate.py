@@ -82,7 +82,7 @@ def near_places(text: str, hits: list[int], length: int, k: int) -> list[tuple[i
 
 
 def matcher(items: list[tuple[int, str]], share: float):
-    """(doc_id, plain text) batches to one row per document and item found in it."""
+    """(doc_id, plain text, digest of the text) batches to one row per document and item found in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
@@ -100,7 +100,7 @@ def matcher(items: list[tuple[int, str]], share: float):
         tables: dict[int, dict[str, int]] = {}
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not text:
                     continue
                 hits: dict[int, list[int]] = {}
@@ -121,33 +121,25 @@ def matcher(items: list[tuple[int, str]], share: float):
                         if distance == 0:
                             break
                     if best[0] <= k:
-                        out.append((doc, items[n][0], best[0], best[1], size))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.record_batch({n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "distance", "end", "item_chars"), columns, strict=True)})
+                        out.append((doc, items[n][0], best[0], best[1], size, digest))
+            *columns, digests = list(zip(*out, strict=True)) or [()] * 6
+            numbers = {n: pa.array(c, pa.int64()) for n, c in zip(("doc_id", "item_id", "distance", "end", "item_chars"), columns, strict=True)}
+            yield pa.record_batch(numbers | {"digest": pa.array(digests, pa.string())})
 
     return run
 
 
-MATCHES = "doc_id bigint, item_id bigint, distance bigint, end bigint, item_chars bigint"
+MATCHES = "doc_id bigint, item_id bigint, distance bigint, end bigint, item_chars bigint, digest string"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
-    """One row per document and benchmark item that occurs in it within ``share`` of its length in edits.
-
-    Columns: ``doc_id``, ``item_id``, ``distance`` (the smallest), ``end`` (where the first such place
-    ends in the plain text), ``item_chars``. Both sides are compared in plain form: lower case,
-    letters and digits, single blanks. Items of fewer than ``LEAST_CHARS`` plain characters are
-    too common to mean a leak and are left out, null ones too; null and empty texts match
-    nothing. Items with equal texts are found separately. Repeated document rows give repeated
-    results. The benchmark goes to the tasks in blocks of about ``BLOCK_CHARS`` characters,
-    each of which costs one pass over the documents; other columns are not read.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, share: float) -> DataFrame:
+    """The rows of ``contaminated`` with ``digest``, the md5 of the document's text."""
     ready(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("item"))
     items = materialize(items.filter(F.length("item") >= LEAST_CHARS), "items")
     chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = chars // BLOCK_CHARS + 1
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"), F.md5(text).alias("digest"))
     found = None
     for number in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == number).collect()
@@ -156,7 +148,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return found
 
 
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
+    """One row per document and benchmark item that occurs in it within ``share`` of its length in edits.
+
+    Columns: ``doc_id``, ``item_id``, ``distance`` (the smallest), ``end`` (where the first such place
+    ends in the plain text), ``item_chars``. Both sides are compared in plain form: lower case,
+    letters and digits, single blanks. Items of fewer than ``LEAST_CHARS`` plain characters are
+    too common to mean a leak and are left out, null ones too; null and empty texts match
+    nothing. Items with equal texts are found separately. Repeated document rows give repeated
+    results. The benchmark goes to the tasks in blocks of about ``BLOCK_CHARS`` characters,
+    each of which costs one pass over the documents; other columns are not read.
+    """
+    return matches(docs, benchmark, key, text, share).drop("digest")
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", share: float = EDIT_SHARE) -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id are kept only if no such row holds one."""
-    bad = materialize(contaminated(docs, benchmark, key, text, share).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[key].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that hold no benchmark item; of rows that share an id, or have none, each is judged by its own text."""
+    bad = materialize(matches(docs, benchmark, key, text, share).select("doc_id", "digest").distinct(), "contaminated")
+    same = docs[key].cast("long").eqNullSafe(bad["doc_id"]) & (F.md5(docs[text]) == bad["digest"])
+    return docs.join(bad, same, "left_anti")

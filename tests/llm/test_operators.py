@@ -333,6 +333,14 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_decontamination_judges_each_row_by_its_own_text(spark):
+    benchmark = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
+    rows = [(None, f"before {PROSE} after"), (None, "clean"), (None, None), (7, PROSE), (7, "clean too"), (7, "clean too"), (8, PROSE), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [(r["doc_id"], r["text"]) for r in decontaminate.drop_contaminated(docs, benchmark).collect()]
+    assert collections.Counter(left) == collections.Counter([(None, "clean"), (None, None), (7, "clean too"), (7, "clean too"), (8, None)])
+
+
 def test_transfers_move_the_least():
     flow = reshard.transfers([10, 0, 5], [5, 5, 5])
     assert flow == {(0, 0): 5, (0, 1): 5, (2, 2): 5}
