@@ -31,7 +31,7 @@ from papyra.llm import elias_fano as ef
 from papyra.llm.blocks import binaries, mix, ready, shards, shared_folder, slices, utf8, word_hashes
 from papyra.session import materialize
 
-ORDER = 2
+ORDER = 3
 MU = 4.0
 END = np.uint64(0xE3779B97F4A7C159)
 SLICE = 1 << 21

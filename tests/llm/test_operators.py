@@ -249,6 +249,15 @@ def test_language_model(spark, order):
     assert ngram_lm.score(docs, F.lit(False)).agg(F.sum("score")).first()[0] == 0
 
 
+def test_language_model_of_the_query_has_contexts_of_two_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    levels = ngram_lm.train(docs)
+    assert levels.order >= 3 and levels.bases[3][-1] > 0
+    of = lambda rows: {r["doc_id"]: r["score"] for r in rows.collect()}
+    got, short, whole = of(queries.op5(spark, SF)), *(of(ngram_lm.score(docs, queries.fold(7, 2)(F.col("doc_id")), order=n)) for n in (2, 3))
+    assert got.keys() == whole.keys() and all(abs(got[i] - whole[i]) < 1e-6 for i in got) and got != short
+
+
 def test_elias_fano():
     rng = np.random.default_rng(4)
     for n, u in ((0, 10), (1, 1), (1, 1 << 63), (5000, 6000), (5000, 1 << 60), (300, 300)):
