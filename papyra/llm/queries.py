@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, decontaminate, minhash, ngram_lm, quality, reshard, secret_scan, token_files, topk, toxicity
+from papyra.llm import bpe, decontaminate, minhash, ngram_lm, quality, reshard, secret_scan, simhash, token_files, topk, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -170,3 +170,48 @@ def op5(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = ngram_lm.score(docs, fold(7, 2)(F.col("doc_id")))
     return with_fold(scored, 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@llm_query("op12_simhash")
+def op12(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _codes_sql(parts: int, entries: int, rounds: int) -> str:
+    """DuckDB: every round as a table of its own; whole numbers in doubles are exact here."""
+    rounds_sql = ""
+    for r in range(rounds + 1):
+        rounds_sql += f""",
+n{r} AS MATERIALIZED (
+    SELECT x.row, x.p, min(struct_pack(d := list_inner_product(x.vec, x.vec) - 2 * list_inner_product(x.vec, c.vec) + list_inner_product(c.vec, c.vec), j := c.j)) AS best
+    FROM x JOIN c{r} c ON x.p = c.p GROUP BY x.row, x.p
+)"""
+        if r < rounds:
+            rounds_sql += f""",
+m{r} AS (
+    SELECT p, j, list(v ORDER BY at) AS vec FROM (
+        SELECT p, j, at, floor(sum(v) / count(*)) AS v
+        FROM (SELECT x.p, n.best.j AS j, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS at FROM n{r} n JOIN x ON x.row = n.row AND x.p = n.p) GROUP BY p, j, at
+    ) GROUP BY p, j
+),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.vec, c.vec) AS vec FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.j = m.j)"""
+    return f"""
+WITH k AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS vec
+    FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+x AS MATERIALIZED (SELECT row, p, vec[p * len(vec) // {parts} + 1 : (p + 1) * len(vec) // {parts}] AS vec FROM k, range({parts}) t(p)),
+c0 AS MATERIALIZED (SELECT p, row AS j, vec FROM x WHERE row < {entries}){rounds_sql},
+coded AS (
+    SELECT row, string_agg(printf('%02x', CAST(best.j AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY row
+),
+book AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, j, at)) AS digest
+         FROM (SELECT p, j, unnest(vec) AS v, generate_subscripts(vec, 1) AS at FROM c{rounds}))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM k JOIN coded USING (row), book
+"""
+
+
+@llm_query("op13_vector_codes", _codes_sql(vector_codes.PARTS, vector_codes.ENTRIES, vector_codes.ROUNDS))
+def op13(spark, sf_dir):
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
