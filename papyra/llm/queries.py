@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import bpe, decontaminate, minhash, ngram_lm, quality, reshard, secret_scan, simhash, token_files, topk, toxicity, vector_codes
+from papyra.llm import bpe, decontaminate, minhash, ngram_lm, phrases, quality, reshard, secret_scan, simhash, token_files, topk, toxicity, vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,6 +172,44 @@ def op5(spark, sf_dir):
     return with_fold(scored, 7, 2).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+PHRASES_SQL = f"""
+WITH p AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+    )
+),
+g AS MATERIALIZED (
+    SELECT lang, k, phrase, count(*) AS f FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, range(1, 4) t(k) WHERE len(w) >= k
+    ) GROUP BY lang, k, phrase
+),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= {phrases.LEAST}),
+halves AS MATERIALIZED (
+    SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM c, range(1, 3) t(j) WHERE j < k
+),
+cuts AS (
+    SELECT h.lang, h.k, h.phrase, h.a, j, l.f AS l, r.f AS r, ({phrases.SCALE}::HUGEINT * h.a * h.a) // (l.f::HUGEINT * r.f::HUGEINT) AS score
+    FROM halves h JOIN g l ON l.lang = h.lang AND l.phrase = h.head JOIN g r ON r.lang = h.lang AND r.phrase = h.tail
+),
+least AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (
+    SELECT lang, phrase, max(a) AS longer FROM (
+        SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3
+    ) GROUP BY lang, phrase
+),
+r AS (
+    SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, s.l, s.r, CAST(s.score AS BIGINT) AS score
+    FROM least s LEFT JOIN held h ON s.k = 2 AND h.lang = s.lang AND h.phrase = s.phrase WHERE h.longer IS NULL OR 100 * h.longer < {phrases.COVERED} * s.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM r JOIN (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang) USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+@llm_query("op11_phrases", PHRASES_SQL)
+def op11(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 @llm_query("op12_simhash")
 def op12(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -189,9 +227,9 @@ n{r} AS MATERIALIZED (
         if r < rounds:
             rounds_sql += f""",
 m{r} AS (
-    SELECT p, j, list(v ORDER BY at) AS vec FROM (
-        SELECT p, j, at, floor(sum(v) / count(*)) AS v
-        FROM (SELECT x.p, n.best.j AS j, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS at FROM n{r} n JOIN x ON x.row = n.row AND x.p = n.p) GROUP BY p, j, at
+    SELECT p, j, list(v ORDER BY place) AS vec FROM (
+        SELECT p, j, place, floor(sum(v) / count(*)) AS v
+        FROM (SELECT x.p, n.best.j AS j, unnest(x.vec) AS v, generate_subscripts(x.vec, 1) AS place FROM n{r} n JOIN x ON x.row = n.row AND x.p = n.p) GROUP BY p, j, place
     ) GROUP BY p, j
 ),
 c{r + 1} AS MATERIALIZED (SELECT c.p, c.j, coalesce(m.vec, c.vec) AS vec FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.j = m.j)"""
@@ -205,8 +243,8 @@ c0 AS MATERIALIZED (SELECT p, row AS j, vec FROM x WHERE row < {entries}){rounds
 coded AS (
     SELECT row, string_agg(printf('%02x', CAST(best.j AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{rounds} GROUP BY row
 ),
-book AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, j, at)) AS digest
-         FROM (SELECT p, j, unnest(vec) AS v, generate_subscripts(vec, 1) AS at FROM c{rounds}))
+book AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, j, place)) AS digest
+         FROM (SELECT p, j, unnest(vec) AS v, generate_subscripts(vec, 1) AS place FROM c{rounds}))
 SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
 FROM k JOIN coded USING (row), book
 """
