@@ -234,12 +234,14 @@ def dealer(buckets: int, blocks: int, occurrences: int, limit: int):
                 some = (units >= 0) & (nexts >= 0)
                 spread = int(mix(np.array([block], np.uint64))[0] >> np.uint64(1))
                 tile, cell, n = summed(*place_of(units[some], nexts[some]), None)
+                if not len(tile):
+                    continue
                 bucket = (mix(tile) % np.uint64(buckets)).astype(np.int64)
                 part = spread % np.maximum(parts_of(tile, blocks, occurrences, limit), 1)
                 order = np.lexsort((part, bucket))
                 tile, cell, n, bucket, part = tile[order], cell[order], n[order], bucket[order], part[order]
-                edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]))) if len(tile) else []
-                starts = [s for a, b in zip(edge, np.append(edge[1:], len(tile)) if len(edge) else [], strict=True) for s in range(a, b, ROW_CELLS)]
+                edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])))
+                starts = [s for a, b in zip(edge, np.append(edge[1:], len(tile)), strict=True) for s in range(a, b, ROW_CELLS)]
                 ends = [*starts[1:], len(tile)]
                 chunk = lambda x, kind: binaries([x[a:b].astype(kind).tobytes() for a, b in zip(starts, ends, strict=True)])  # noqa: E731, B023
                 yield pa.record_batch({
