@@ -67,9 +67,17 @@ def unplanes(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T.copy().view(kind).ravel()
 
 
+def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order of pairs of numbers, by one key where it fits into 64 bits."""
+    width = int(second.max(initial=0)).bit_length()
+    if width + int(first.max(initial=0)).bit_length() > 64:
+        return np.lexsort((second, first))
+    return np.argsort(first.astype(np.uint64) << np.uint64(width) | second.astype(np.uint64))
+
+
 def summed(first: np.ndarray, second: np.ndarray | None, count: np.ndarray):
     """Equal keys (one or two columns) added up, in ascending order."""
-    order = np.argsort(first, kind="stable") if second is None else np.lexsort((second, first))
+    order = np.argsort(first, kind="stable") if second is None else pair_order(first, second)
     first, count = first[order], count[order]
     second = None if second is None else second[order]
     new = np.ones(len(first), bool)
@@ -214,8 +222,8 @@ class Levels:
     def words(self) -> int:
         return int(self.bases[1][-1])
 
-    def shard(self, order: int, shard: int) -> dict[str, np.ndarray]:
-        return ef.cached_load(f"{self.folder}/{order}-{shard:06d}")
+    def shard(self, order: int, shard: int) -> tuple[dict[str, np.ndarray], dict[str, ef.EliasFano]]:
+        return ef.cached_open(f"{self.folder}/{order}-{shard:06d}")
 
     def by_shard(self, order: int, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         if not len(where):
@@ -230,7 +238,7 @@ class Levels:
         """Numbers of distinct words in the vocabulary, -1 for unknown ones."""
         out = np.full(len(words), -1, np.int64)
         for s, at in self.by_shard(1, shard_of(words, self.count)):
-            found = ef.part(self.shard(1, s), "words.").find(words[at] - np.uint64((s << 32) // self.count << 32))
+            found = self.shard(1, s)[1]["words"].find(words[at] - np.uint64((s << 32) // self.count << 32))
             out[at] = np.where(found >= 0, found + self.bases[1][s], -1)
         return out
 
@@ -239,7 +247,7 @@ class Levels:
         out = np.zeros(len(nodes))
         nodes = nodes.astype(np.int64)
         for s, at in self.by_shard(order, np.searchsorted(self.bases[order], nodes, "right") - 1):
-            own = self.shard(order, s)["counts"][nodes[at] - self.bases[order][s]]
+            own = self.shard(order, s)[0]["counts"][nodes[at] - self.bases[order][s]]
             out[at] = own if order == 1 else np.exp(own * COUNT_STEP)
         return out
 
@@ -248,16 +256,16 @@ class Levels:
         out, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
         context, word = context.astype(np.uint64), word.astype(np.uint64)
         for s, at in self.by_shard(order, shard_of(spread(context, word), self.count)):
-            arrays = self.shard(order, s)
-            pointers, successors = ef.part(arrays, "pointers."), ef.part(arrays, "successors.")
+            arrays, sequences = self.shard(order, s)
+            pointers, successors = sequences["pointers"], sequences["successors"]
             own, back = np.unique(context[at], return_inverse=True)
-            place = ef.part(arrays, "contexts.").find(own)
+            place = sequences["contexts"].find(own)
             seen = place[back] >= 0
             at, back = at[seen], back[seen]
             if not len(at):
                 continue
             known = np.maximum(place, 0)
-            lo, hi = pointers.access(known).astype(np.int64), pointers.access(known + 1).astype(np.int64)
+            lo, hi = (x.astype(np.int64) for x in pointers.ranges(known))
             base = np.where(lo > 0, successors.access(np.maximum(lo - 1, 0)), np.uint64(0))
             found = successors.find(base[back] + word[at] + np.uint64(1))
             good = (found >= 0) & (found < hi[back])
@@ -286,7 +294,7 @@ class Levels:
         at = np.flatnonzero((before >= 0) & (number >= 0))
         if len(at):
             # equal n-grams are looked up once
-            order_of = np.lexsort((number[at], before[at]))
+            order_of = pair_order(before[at], number[at])
             a, b = before[at][order_of], number[at][order_of]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
