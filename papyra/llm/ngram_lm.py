@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.llm import elias_fano as ef
-from papyra.llm.blocks import binaries, mix, ready, shards, shared_folder, slices, utf8, word_hashes
+from papyra.llm.blocks import binaries, mix, planes, ready, shards, shared_folder, slices, unplanes, utf8, word_hashes
 from papyra.session import materialize
 
 ORDER = 3
@@ -57,16 +57,6 @@ def shard_of(h: np.ndarray, count: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)).astype(np.int64)
 
 
-def planes(a: np.ndarray) -> bytes:
-    """Numbers byte by byte, all first bytes first, which lets the shuffle's compression drop empty ones."""
-    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
-
-
-def unplanes(data: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(data, np.uint8).reshape(size, len(data) // size).T.copy().view(kind).ravel()
-
-
 def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """The order of pairs of numbers, by one key where it fits into 64 bits."""
     width = int(second.max(initial=0)).bit_length()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.functions.rows import unnest
-from papyra.llm.blocks import binaries, mix, ready
+from papyra.llm.blocks import binaries, mix, planes, ready, unplanes
 from papyra.operators.ordered import row_index
 from papyra.session import materialize
 
@@ -34,14 +34,14 @@ COVERED = 50  # of 100: a longer phrase with such a share of the occurrences tak
 SCALE = 1_000_000
 TILE = 256
 DENSE = TILE * TILE // 8  # cells in use from which a tile is a dense array
-BLOCK_TOKENS = 1 << 20
-OPEN_TOKENS = 1 << 22  # in all open blocks of a task
+BLOCK_TOKENS = 1 << 19
+OPEN_TOKENS = 1 << 21  # in all open blocks of a task
 TEXT_BYTES = 1 << 20  # of a text split at once
-BUCKET_OCCURRENCES = 1 << 21
+BUCKET_OCCURRENCES = 1 << 20
 PART_CELLS = 1 << 28  # of a tile, dealt to one task
 ROW_CELLS = 4096
-MERGE_CELLS = 1 << 20
-BATCH_BYTES = 64 << 20
+MERGE_CELLS = 1 << 19
+BATCH_BYTES = 16 << 20
 UNKNOWN = "und"
 
 #: A-Z to lower case, the piece ends to line feeds, tabs to blanks.
@@ -98,7 +98,7 @@ class Block:
         wrap = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         return pa.record_batch({
             "block": pa.array([number], pa.int64()), "lang": pa.array([lang]), "words": wrap(words),
-            "counts": wrap(pa.array(counts, pa.int64())), "size": pa.array([int(counts.sum())], pa.int64()), "tokens": binaries([tokens.tobytes()]),
+            "counts": wrap(pa.array(counts, pa.int64())), "size": pa.array([int(counts.sum())], pa.int64()), "tokens": binaries([planes(tokens)]),
         })
 
 
@@ -140,7 +140,7 @@ def number_words(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's tokens and the numbers of its frequent words: units and next words (-1: none)."""
     if not len(left):
         return UNITS_ARROW.empty_table()
-    tokens = np.frombuffer(left["tokens"][0].as_buffer(), np.int32)
+    tokens = unplanes(left["tokens"][0].as_py(), np.int32)
     of = np.full(int(tokens.max(initial=0)) + 1, -1, np.int64)
     of[right["place"].to_numpy() + 2] = right["id"].to_numpy()
     units = of[tokens]
@@ -154,15 +154,31 @@ UNITS_ARROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("units",
 def unit_row(block: int, lang: str, units: np.ndarray, nexts: np.ndarray) -> pa.Table:
     # a place whose next word counts is followed by that word's own place, so neighbours stay neighbours
     keep = (units >= 0) | (nexts >= 0)
-    return pa.table({"block": pa.array([block], pa.int64()), "lang": pa.array([lang]), "units": binaries([units[keep].tobytes()]), "nexts": binaries([nexts[keep].tobytes()])})
+    return pa.table({"block": pa.array([block], pa.int64()), "lang": pa.array([lang]), "units": binaries([shrunk(units[keep])]), "nexts": binaries([shrunk(nexts[keep])])})
+
+
+def shrunk(numbers: np.ndarray) -> bytes:
+    """Numbers from -1 on, byte by byte, without leading bytes that are zero in all of them."""
+    data = planes((numbers + 1).astype(np.uint64))
+    n, zero = len(numbers), 0
+    while n and zero < 7 and data.count(0, (7 - zero) * n, (8 - zero) * n) == n:
+        zero += 1
+    return bytes([8 - zero]) + data[: (8 - zero) * n]
+
+
+def grown(data: bytes) -> np.ndarray:
+    n = (len(data) - 1) // data[0]
+    return unplanes(data[1:] + bytes(n * (8 - data[0])), np.uint64).astype(np.int64) - 1
 
 
 def number_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
     """A block's units and its frequent pairs: the pairs as units, and the words after them."""
     if not len(left):
         return UNITS_ARROW.empty_table()
-    units, nexts = (np.frombuffer(left[c][0].as_buffer(), np.int64) for c in ("units", "nexts"))
-    tile, cell, number = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in right[c]] or [np.empty(0, kind)]) for c, kind in (("tiles", np.uint64), ("cells", np.uint16), ("numbers", np.int64)))
+    units, nexts = (grown(left[c][0].as_py()) for c in ("units", "nexts"))
+    held = [(*unpacked(t, c), grown(k)) for t, c, k in zip(*(right[c].to_pylist() for c in ("tiles", "cells", "numbers")), strict=True)]
+    held.append((np.empty(0, np.uint64), np.empty(0, np.uint16), np.empty(0, np.int64)))
+    tile, cell, number = (np.concatenate(x) for x in zip(*held, strict=True))
     some = np.flatnonzero((units >= 0) & (nexts >= 0))
     mine, own = place_of(units[some], nexts[some])
     # find each occurrence among the frequent ones: first by tile, then by cell
@@ -199,6 +215,15 @@ def numbers_at(tile: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return row * TILE + cell // TILE, column * TILE + cell % TILE
 
 
+def packed(tile: np.ndarray, cell: np.ndarray, n: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Cells in ascending order of their tiles, in a form that compresses well."""
+    return planes(np.diff(tile, prepend=np.uint64(0))), cell.tobytes(), planes(n.astype(np.uint32))
+
+
+def unpacked(tile: bytes, cell: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unplanes(tile, np.uint64), dtype=np.uint64), np.frombuffer(cell, np.uint16)
+
+
 def summed(tile: np.ndarray, cell: np.ndarray, n: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted coordinates with their sums."""
     order = np.lexsort((cell, tile))
@@ -230,7 +255,7 @@ def dealer(buckets: int, blocks: int, occurrences: int, limit: int):
         for batch in batches:
             for i in range(len(batch)):
                 block, lang = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                units, nexts = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in (2, 3))
+                units, nexts = (grown(batch.column(c)[i].as_py()) for c in (2, 3))
                 some = (units >= 0) & (nexts >= 0)
                 spread = int(mix(np.array([block], np.uint64))[0] >> np.uint64(1))
                 tile, cell, n = summed(*place_of(units[some], nexts[some]), None)
@@ -243,10 +268,11 @@ def dealer(buckets: int, blocks: int, occurrences: int, limit: int):
                 edge = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])))
                 starts = [s for a, b in zip(edge, np.append(edge[1:], len(tile)), strict=True) for s in range(a, b, ROW_CELLS)]
                 ends = [*starts[1:], len(tile)]
-                chunk = lambda x, kind: binaries([x[a:b].astype(kind).tobytes() for a, b in zip(starts, ends, strict=True)])  # noqa: E731, B023
+                rows = [packed(tile[a:b], cell[a:b], n[a:b]) for a, b in zip(starts, ends, strict=True)]
+                tiles, cells, counts = (binaries(list(x)) for x in zip(*rows, strict=True))
                 yield pa.record_batch({
                     "lang": pa.array([lang] * len(starts), pa.string()), "bucket": pa.array(bucket[starts], pa.int64()), "part": pa.array(part[starts], pa.int64()),
-                    "block": pa.array([block] * len(starts), pa.int64()), "tiles": chunk(tile, np.uint64), "cells": chunk(cell, np.uint16), "counts": chunk(n, np.uint32),
+                    "block": pa.array([block] * len(starts), pa.int64()), "tiles": tiles, "cells": cells, "counts": counts,
                 })
 
     return run
@@ -313,7 +339,8 @@ def adder(least: int, blocks: int, occurrences: int, limit: int):
                     if key is not None:
                         yield from counted(key, tiles)
                     key, tiles = now, Tiles()
-                tiles.add(*[np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((3, np.uint64), (4, np.uint16), (5, np.uint32))])
+                tile, cell, n = (batch.column(c)[i].as_py() for c in (3, 4, 5))
+                tiles.add(*unpacked(tile, cell), unplanes(n, np.uint32))
         if key is not None:
             yield from counted(key, tiles)
 
@@ -329,7 +356,7 @@ def replies(left: pa.Table, right: pa.Table) -> pa.Table:
     key, numbers = key[order], right["id"].to_numpy()[order]
     out = []
     for i in range(len(left)):
-        tile, cell = (np.frombuffer(left[c][i].as_buffer(), kind) for c, kind in (("tiles", np.uint64), ("cells", np.uint16)))
+        tile, cell = unpacked(left["tiles"][i].as_py(), left["cells"][i].as_py())
         spot = np.searchsorted(tiles, tile)
         known = np.flatnonzero(spot < len(tiles))
         known = known[tiles[spot[known]] == tile[known]]
@@ -338,7 +365,7 @@ def replies(left: pa.Table, right: pa.Table) -> pa.Table:
         hit = found < len(key)
         hit[hit] = key[found[hit]] == wanted[hit]
         if hit.any():
-            out.append((left["block"][i].as_py(), tile[known[hit]].tobytes(), cell[known[hit]].tobytes(), numbers[found[hit]].tobytes()))
+            out.append((left["block"][i].as_py(), planes(np.diff(tile[known[hit]], prepend=np.uint64(0))), cell[known[hit]].tobytes(), shrunk(numbers[found[hit]])))
     columns = list(zip(*out, strict=True)) or [()] * 4
     return pa.table({"block": pa.array(columns[0], pa.int64()), "tiles": binaries(columns[1]), "cells": binaries(columns[2]), "numbers": binaries(columns[3])})
 
