@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from papyra.functions import text as tx
 from papyra.functions.rows import unnest
+from papyra.operators.ordered import row_index
+from papyra.session import materialize
 
 # ---- fixed values -----------------------------------------------------------
 PAGE_MARKUP = ["<div", "<table", "</p>"]
@@ -16,6 +18,10 @@ BOILERPLATE_SENTENCES = ["XE 360º", "TỪ KHÓA", "Xem thêm", "Bình luận",
 # ---- end of fixed values ----------------------------------------------------
 
 
+INTEGERS = (T.LongType, T.IntegerType, T.ShortType)
+LINES = 1 << 30  # more than any text has
+
+
 def contains_any(text: Column, terms: list[str]) -> Column:
     hit = F.lit(False)
     for term in terms:
@@ -38,14 +44,23 @@ def digest(text: Column) -> Column:
 
 
 def dedup_docs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per distinct text, the one with the smallest key.
+    """One row per distinct text, the one with the smallest key; a null key is the largest.
 
-    Only ``(digest, key)`` is shuffled for the grouping, pre-aggregated map-side, so
-    a text that makes up a third of the corpus costs one row per map task. The
-    surviving keys then select their rows by a semi join on the unique key.
+    Only ``(digest, key)`` is shuffled for the grouping, pre-aggregated map-side, so a text
+    that makes up a third of the corpus costs one row per map task. Key and digest together, as
+    a struct in which nulls are equal, then select the rows; of rows equal in both one stays,
+    which needs no further shuffle. Null texts count as one text.
     """
-    keep = df.groupBy(digest(F.col(text)).alias("_digest")).agg(F.min(key).alias(key)).select(key)
-    return df.join(keep, key, "left_semi")
+    own = F.struct(F.col(key).alias("key"), digest(F.col(text)).alias("digest"))
+    rows = df.withColumn("_row", own)
+    keys = rows.select(F.col("_row.digest").alias("_digest"), F.col("_row.key").alias("_own"))
+    if isinstance(df.schema[key].dataType, INTEGERS):
+        # two numbers keep the aggregation on the hash path
+        least = keys.groupBy("_digest").agg(F.min("_own").alias("_own"))
+    else:
+        least = keys.groupBy("_digest").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), F.col("_own").alias("own")))["own"].alias("_own"))
+    kept = least.select(F.struct(F.col("_own").alias("key"), F.col("_digest").alias("digest")).alias("_row"))
+    return rows.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def paragraphs(text: Column, keep_blank: bool = False) -> Column:
@@ -53,31 +68,53 @@ def paragraphs(text: Column, keep_blank: bool = False) -> Column:
     return parts if keep_blank else F.filter(parts, lambda p: p != "")
 
 
+def with_copy_number(df: DataFrame, key: str, text: str, name: str) -> DataFrame:
+    """Rows with equal keys (nulls too) numbered from 0 by their texts; repeated rows once.
+
+    Where no key repeats, which a count over the keys alone shows, the number is 0 and no text moves.
+    Otherwise the texts' digests are numbered range by range, so a key may hold a third of all rows.
+    """
+    again = df.groupBy(F.struct(F.col(key).alias("key")).alias("_id")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_id")
+    if again.isEmpty():
+        return df.withColumn(name, F.lit(0))
+    rows = df.withColumn("_id", F.struct(F.col(key).alias("key"))).withColumn("_sha", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    several = materialize(rows.select("_id", "_sha").join(again, "_id", "left_semi").distinct().withColumn("_order", F.xxhash64("_sha")), "several")
+    numbered = row_index(several, ["_id"], ["_order", "_sha"], "_number").select(F.struct("_id", "_sha").alias("_row"), "_number")
+    rows = rows.withColumn("_row", F.struct("_id", "_sha")).join(numbered, "_row", "left").dropDuplicates(["_row"])
+    return rows.withColumn(name, F.coalesce("_number", F.lit(0)).cast("int")).drop("_id", "_sha", "_row", "_number")
+
+
 def dedup_paragraphs(df: DataFrame, key: str, text: str, keep_blank: bool = False) -> DataFrame:
-    """Keep the first occurrence of each paragraph in the corpus, by ``(key, line)``.
+    """Keep the first occurrence of each paragraph in the corpus, by key (null last), text digest and line.
 
-    Repeats inside one document go first, with an array function. Across documents
-    ``min(key)`` per paragraph digest decides, a hash aggregate with map-side
-    partials, so boilerplate lines do not pile up in one task. What returns to a
-    document is the list of its own surviving line numbers, and the text itself is
-    moved once, for the join on the document key.
+    Repeats inside one document go first, with an array function. Across documents the least
+    place per paragraph digest decides, a hash aggregate with map-side partials, so boilerplate
+    lines do not pile up in one task. What returns to a document is the list of its own
+    surviving line numbers, and the text itself is moved once, for the join on the document's
+    place. Rows that share a key are documents of their own; a repeated row keeps nothing.
     """
-    docs = df.select(key, F.array_distinct(paragraphs(F.col(text), keep_blank)).alias("_parts"))
-    lines = unnest(docs, [key], "_parts", "_part", "_line").select(key, "_line", digest(F.col("_part")).alias("_digest"))
-    if isinstance(df.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType)):
-        # one fixed-width number keeps the aggregation on the hash path
-        width = F.lit(1 << 31).cast("decimal(38,0)")
-        packed = F.col(key).cast("decimal(20,0)") * width + F.col("_line")
-        first = lines.groupBy("_digest").agg(F.min(packed.cast("decimal(38,0)")).alias("_first"))
-        placed = first.withColumn("_line", F.pmod("_first", width))
-        owner = F.expr(f"(_first - _line) div {1 << 31}")
-        owned = placed.select(owner.cast(df.schema[key].dataType).alias(key), F.col("_line").cast("int").alias("_line"))
+    docs = with_copy_number(df.select(key, text), key, text, "_copy")
+    docs = docs.select(key, "_copy", F.array_distinct(paragraphs(F.col(text), keep_blank)).alias("_parts"))
+    exact = lambda n: F.lit(str(n)).cast("decimal(38,0)")
+    integer = isinstance(df.schema[key].dataType, INTEGERS)
+    if integer:
+        # key, copy and line in one fixed-width number keep the aggregation on the hash path
+        rank = F.coalesce(F.col(key).cast("decimal(20,0)") + exact(1 << 63), exact(1 << 64)).cast("decimal(20,0)")
+        doc = ((rank * exact(1 << 31)).cast("decimal(38,0)") + F.col("_copy")).cast("decimal(38,0)") * exact(LINES)
+        docs = docs.withColumn("_doc", doc.cast("decimal(38,0)"))
+    else:
+        docs = docs.withColumn("_doc", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_copy"))
+    lines = unnest(docs, ["_doc"], "_parts", "_part", "_line").select("_doc", "_line", digest(F.col("_part")).alias("_digest"))
+    if integer:
+        first = lines.groupBy("_digest").agg(F.min((F.col("_doc") + F.col("_line")).cast("decimal(38,0)")).alias("_first"))
+        line = F.pmod("_first", exact(LINES))
+        owned = first.select((F.col("_first") - line).cast("decimal(38,0)").alias("_doc"), line.cast("int").alias("_line"))
     else:
-        first = lines.groupBy("_digest").agg(F.min(F.struct(key, "_line")).alias("_first"))
-        owned = first.select(F.col(f"_first.{key}").alias(key), F.col("_first._line").alias("_line"))
-    kept = owned.groupBy(key).agg(F.array_sort(F.collect_list("_line")).alias("_kept"))
+        first = lines.groupBy("_digest").agg(F.min(F.struct("_doc", "_line")).alias("_first"))
+        owned = first.select("_first._doc", "_first._line")
+    kept = owned.groupBy("_doc").agg(F.array_sort(F.collect_list("_line")).alias("_kept"))
     rebuilt = F.array_join(F.transform("_kept", lambda i: F.get("_parts", i)), "\n")
-    return docs.join(kept, key).select(key, rebuilt.alias(text))
+    return docs.join(kept, "_doc").select(key, rebuilt.alias(text))
 
 
 def filter_lines(df: DataFrame, text: str, lo: int = 40, hi: int = 2048) -> DataFrame:

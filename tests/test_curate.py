@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import hashlib
+
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from papyra.operators import curate
@@ -35,6 +38,42 @@ def test_doc_dedup_keeps_the_smallest_key(spark):
     assert sorted(r.id for r in curate.dedup_docs(rows, "id", "text").collect()) == [0, 1, 2, 4, 5, 6, 7, 8]
 
 
+def plain_paragraphs(rows):
+    """First occurrences by key (null last) and text digest; repeated rows once."""
+    seen, out = set(), []
+    place = lambda r: (r[0] is None, r[0] if r[0] is not None else 0, xxhash.xxh64_intdigest(hashlib.sha256((r[1] or "").encode()).hexdigest().encode(), 42) + (1 << 63) & (1 << 64) - 1)
+    for key, text in sorted(set(rows), key=place):
+        kept = [p for p in dict.fromkeys(p.strip() for p in (text or "").split("\n")) if p and p not in seen]
+        seen |= set(kept)
+        if kept:
+            out.append((key, "\n".join(kept)))
+    return sorted(out, key=str)
+
+
+ODD_ROWS = [(None, "x\ny"), (1, "x\nz"), (1, "w"), (None, "only here"), (0, "A"), (1, "A"), (1, "B"), (1, "B"), (None, None), (2, None), (2, ""), (None, "x\ny"), (-(1 << 63), "q\nw"), ((1 << 63) - 1, "q\nlast\nx"), (None, "last\nnone")]
+
+
+@pytest.mark.parametrize("copies", [1, 3])
+def test_paragraphs_of_null_and_repeated_ids(spark, copies):
+    rows = ODD_ROWS * copies + [(None if i % 3 == 0 else i % 40, f"p{i % 11}\np{i % 13}\nq{i}") for i in range(400)]
+    table = spark.createDataFrame(rows, "id long, text string")
+    assert sorted((tuple(r) for r in curate.dedup_paragraphs(table.repartition(5), "id", "text").collect()), key=str) == plain_paragraphs(rows)
+    named = spark.createDataFrame([(None if i is None else f"{i + (1 << 63):020d}", t) for i, t in rows], "id string, text string")
+    want = [(None if i is None else f"{i + (1 << 63):020d}", t) for i, t in plain_paragraphs(rows)]
+    assert sorted((tuple(r) for r in curate.dedup_paragraphs(named, "id", "text").collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_documents_of_null_and_repeated_ids(spark, kind):
+    rows = [(None if i is None else i if kind == "long" else f"{i + (1 << 63):020d}", t, n) for n, (i, t) in enumerate(ODD_ROWS * 2)]
+    got = curate.dedup_docs(spark.createDataFrame(rows, f"id {kind}, text string, n int"), "id", "text").collect()
+    least = {}
+    for i, t, _ in rows:
+        if t not in least or i is not None and (least[t] is None or i < least[t]):
+            least[t] = i
+    assert sorted(((r.id, r.text) for r in got), key=str) == sorted(((i, t) for t, i in least.items()), key=str)
+
+
 def test_hot_paragraph(spark):
     rows = spark.range(3000).withColumn("text", F.concat(F.lit("menu\n"), F.col("id") % 1000, F.lit("\nfooter")))
     out = curate.dedup_paragraphs(rows, "id", "text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib.util
+
 import pytest
 
 import __spark_entry__ as contract
@@ -32,7 +34,9 @@ def test_contract(spark):
     flagship = contract.entry(spark)
     assert flagship.columns == ["doc_id", "text"]
     assert flagship.count() > 0
-    assert not [n for n in contract.queries() if "pipeline" in n or n.startswith("op")]
+    numbered = [n for n in contract.queries() if n == "pipeline" or n.startswith("op")]
+    assert bool(numbered) == (importlib.util.find_spec("papyra.llm") is not None)
+    assert len(set(n.split("_")[0] for n in numbered)) == len(numbered)
 
 
 @pytest.mark.parametrize(
