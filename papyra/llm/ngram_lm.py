@@ -35,7 +35,7 @@ ORDER = 3
 MU = 4.0
 END = np.uint64(0xE3779B97F4A7C159)
 SLICE = 1 << 21
-WAITING = 4_000_000
+WAITING = 2_000_000
 COUNT_STEP = 0.04  # of a quantised natural logarithm of a count
 LEAST_LOG = -20.4  # of a quantised natural logarithm of a probability; 255 steps lead up to 0
 
@@ -62,7 +62,10 @@ def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     width = int(second.max(initial=0)).bit_length()
     if width + int(first.max(initial=0)).bit_length() > 64:
         return np.lexsort((second, first))
-    return np.argsort(first.astype(np.uint64) << np.uint64(width) | second.astype(np.uint64))
+    key = first.astype(np.uint64)  # a copy
+    key <<= np.uint64(width)
+    key |= second.view(np.uint64)
+    return np.argsort(key)
 
 
 def summed(first: np.ndarray, second: np.ndarray | None, count: np.ndarray):
