@@ -4,6 +4,9 @@ An item of n characters may differ by ``k = floor(share * n)`` edits. Cut into k
 least one piece occurs unchanged wherever the item does, so an automaton over all pieces finds
 every place that needs a look. There the smallest edit distance of the whole item to any
 substring nearby is computed by Myers' bit-parallel recurrence.
+
+Items of fewer than ``SHORT_CHARS`` characters have no budget: they count where they occur exactly and
+between word borders.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from papyra.llm.blocks import ready
 from papyra.session import materialize
 
 EDIT_SHARE = 0.08
-LEAST_CHARS = 40
+SHORT_CHARS = 40
+UNSPACED = 0x2E80  # from here on, scripts without blanks between words (CJK, kana) are common
 BLOCK_CHARS = 8_000_000
 
 
@@ -28,7 +32,15 @@ def plain(column) -> F.Column:
 
 
 def budget(item: str, share: float) -> int:
-    return int(len(item) * share)
+    return int(len(item) * share) if len(item) >= SHORT_CHARS else 0
+
+
+def at_borders(text: str, start: int, end: int) -> bool:
+    """Whether a stretch of plain text begins and ends between words: at a blank or an end, or beside a letter of an unspaced script."""
+    def free(inner: str, outer: str) -> bool:
+        return outer in ("", " ") or ord(inner) >= UNSPACED or ord(outer) >= UNSPACED
+
+    return free(text[start], text[start - 1 : start]) and free(text[end - 1], text[end : end + 1])
 
 
 def pieces(item: str, share: float) -> list[tuple[int, str]]:
@@ -110,6 +122,11 @@ def matcher(items: list[tuple[int, str]], share: float):
                 for n, starts in hits.items():
                     item = items[n][1]
                     k, size = budget(item, share), len(item)
+                    if size < SHORT_CHARS:
+                        start = next((s for s in starts if at_borders(text, s, s + size)), None)
+                        if start is not None:
+                            out.append((doc, items[n][0], 0, start + size, size, digest))
+                        continue
                     where = tables.setdefault(n, masks(item))
                     best = (k + 1, -1)
                     for lo, hi in near_places(text, starts, size, k):
@@ -136,7 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str, text: str, share: f
     """The rows of ``contaminated`` with ``digest``, the md5 of the document's text."""
     ready(docs)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), plain(F.col("text")).alias("item"))
-    items = materialize(items.filter(F.length("item") >= LEAST_CHARS), "items")
+    items = materialize(items.filter(F.length("item") > 0), "items")
     chars = items.agg(F.sum(F.length("item"))).first()[0] or 0
     blocks = chars // BLOCK_CHARS + 1
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), plain(F.col(text)).alias("text"), F.md5(text).alias("digest"))
@@ -153,9 +170,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 
     Columns: ``doc_id``, ``item_id``, ``distance`` (the smallest), ``end`` (where the first such place
     ends in the plain text), ``item_chars``. Both sides are compared in plain form: lower case,
-    letters and digits, single blanks. Items of fewer than ``LEAST_CHARS`` plain characters are
-    too common to mean a leak and are left out, null ones too; null and empty texts match
-    nothing. Items with equal texts are found separately. Repeated document rows give repeated
+    letters and digits, single blanks. Items of fewer than ``SHORT_CHARS`` plain characters count
+    where they occur exactly, between word borders (next to a letter of a script without blanks, anywhere). Null
+    items and those without a letter or digit are left out; null and empty texts match nothing. Items with equal texts are found separately. Repeated document rows give repeated
     results. The benchmark goes to the tasks in blocks of about ``BLOCK_CHARS`` characters,
     each of which costs one pass over the documents; other columns are not read.
     """

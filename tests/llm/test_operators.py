@@ -342,6 +342,18 @@ def test_decontamination(spark, odd, nothing):
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == odd.count()
 
 
+def test_short_items_count_exactly_between_words(spark):
+    items = [(1, "Who is it?"), (2, "十八个字的中文测试题目在这里出现一次啊"), (3, "cat"), (4, "?!"), (5, None), (6, "long division"), (7, "é")]
+    texts = ["so WHO, is it then", "who is item", "前面的话十八个字的中文测试题目在这里出现一次啊后面", "concatenate", "a cat", "cat", "along division", "Long\n\ndivision!", "é", "éa", "", None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, item string")
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 1), (2, 2), (4, 3), (5, 3), (7, 6), (8, 7)}
+    ends = {(r["doc_id"], r["item_id"]): r["end"] for r in found}
+    assert ends[0, 1] == len("so who is it") and ends[2, 2] == 4 + 19 and ends[7, 6] == len("long division") and all(r["distance"] == 0 for r in found)
+    kept = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == {1, 3, 6, 9, 10, 11}
+
+
 def test_decontamination_judges_each_row_by_its_own_text(spark):
     benchmark = spark.createDataFrame([(1, PROSE)], "item_id long, text string")
     rows = [(None, f"before {PROSE} after"), (None, "clean"), (None, None), (7, PROSE), (7, "clean too"), (7, "clean too"), (8, PROSE), (8, None)]
