@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from papyra.functions import bricks
 from papyra.functions import text as tx
 from papyra.operators import segment
+from papyra.plans import textual
+from tests import plain_segment
 
 
 def one(spark, column):
@@ -114,14 +116,41 @@ def test_bricks_follow_the_definition(text):
 
 def test_segment_sentence():
     lexicon = {"quản lý", "nhà nước", "quốc phòng"}
-    tokens = bricks.segment("Quản lý nhà nước tại Bộ Quốc phòng, số 96/QĐ và 20km", lexicon)
+    tokens = plain_segment.segment("Quản lý nhà nước tại Bộ Quốc phòng, số 96/QĐ và 20km", lexicon)
     assert [t for _, t in tokens] == ["Quản_lý", "nhà_nước", "tại", "Bộ", "Quốc_phòng", ",", "số", "96", "/", "QĐ", "và", "20", "km"]
 
 
 def test_longest_match_directions():
     lexicon = {"a b", "b c", "c d e"}
-    assert bricks.longest_match("a b c d e".split(), lexicon, True) == ["a b", "c d e"]
-    assert bricks.longest_match("a b c".split(), lexicon, False) == ["a", "b c"]
+    assert plain_segment.longest_match("a b c d e".split(), lexicon, True) == ["a b", "c d e"]
+    assert plain_segment.longest_match("a b c".split(), lexicon, False) == ["a", "b c"]
+
+
+def test_segmentation_of_null_and_repeated_keys_and_odd_texts(spark):
+    texts = [None, "", " \t", "học sinh", "the of and is and the of", "Bộ Quốc phòng học, số 96/QĐ và 20km", "Of The Of and the of 3 of the and", "   a b c d e\u00a0", "a b " * 300, "Quốc Phòng học sinh, Quốc phòng"]
+    rows = [(None if i % 3 == 0 else i % 2, t) for i, t in enumerate(texts * 2)]
+    terms = ["học sinh", "phòng học", "quốc phòng", "of and", "the of and", "and is", "a b", "b a b", "a b c d e", "of and the", "of the of", "học"]
+    lexicon = spark.createDataFrame([(t,) for t in terms] + [(None,), ("a b",)], "term string")
+    table = spark.createDataFrame(rows, "id int, text string").withColumn("_row", F.lit(7)).withColumn("pos", F.lit("x"))
+    for forward in (False, True):
+        found = segment.segment(table.repartition(3), "id", "text", lexicon, forward=forward)
+        assert found.columns == ["id", "text", "_row", "pos", "tokens"]
+        got = sorted(((r.id, r.text, r.tokens and [(t.pos, t.shape, t.token) for t in r.tokens]) for r in found.collect()), key=str)
+        want = [(i, t, t and [(n, *x) for n, x in enumerate(plain_segment.segment(t, set(terms), forward), 1)]) for i, t in rows]
+        assert [(i, t, k or None) for i, t, k in got] == sorted(((i, t, k or None) for i, t, k in want), key=str)
+    both = segment.ambiguous(table, "id", "text", lexicon).collect()
+    assert len(both) == len(rows)
+    for r in both:
+        read = [[(x, y) for x, y in plain_segment.segment(r.text or "", set(terms), f)] for f in (False, True)]
+        assert r.differs == (read[0] != read[1])
+
+
+def test_sentences_read_as_defined(spark):
+    rows = textual._sentences(spark, "/root/testdata/sf0.001").filter("pmod(hash(sent_id), 4) = 0")
+    lexicon = textual._lexicon(spark, "/root/testdata/sf0.001")
+    terms = {r.term for r in lexicon.collect()}
+    for r in segment.segment(rows, "sent_id", "text", lexicon).collect():
+        assert [(t.shape, t.token) for t in r.tokens] == plain_segment.segment(r.text, terms)
 
 
 def test_segment_with_distributed_lexicon(spark):
@@ -132,6 +161,6 @@ def test_segment_with_distributed_lexicon(spark):
         found = segment.segment(rows, "id", "text", lexicon, forward=forward).select("id", "tokens").collect()
         terms = {r.term for r in lexicon.collect()}
         for r in found:
-            want = texts[r.id] and bricks.segment(texts[r.id], terms, forward)
+            want = texts[r.id] and plain_segment.segment(texts[r.id], terms, forward)
             assert (r.tokens and [(t.shape, t.token) for t in r.tokens]) == want or not want and not r.tokens
         assert len(found) == len(texts)
