@@ -24,6 +24,9 @@ from papyra.functions.arrow import struct_lists
 from papyra.functions.rows import unnest_structs
 from papyra.functions.shapes import PARSER_SHAPES, placeholder, word_shape
 from papyra.operators import features as fx
+from papyra.operators import sparse_linear
+from papyra.operators.sparse_linear import SparseModel
+from papyra.session import materialize
 
 # ---- fixed values -----------------------------------------------------------
 SEED = 220712
@@ -73,21 +76,20 @@ def _layers(df: DataFrame, label: str, inputs: int, hidden: list[int]) -> list[i
 
 
 def fit_text_classifier(
-    df: DataFrame, kind: str = "count-logistic", features: int = 1 << 12, min_df: int = 1, iterations: int = 20,
+    df: DataFrame, kind: str = "count-logistic", features: int = 1 << 16, iterations: int = 20,
     regularization: float = 0.01, hidden: list[int] = (16,), trees: int = 20, depth: int = 5,
-    stop: list[str] = fx.STOP_WORDS,
-) -> PipelineModel:
-    """``count-logistic``, ``hash-perceptron`` or ``hash-forest`` over ``(id, category, text)``."""
-    stages = [mlf.StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"), *_token_stages(stop)]
+    stop: list[str] = fx.STOP_WORDS, tolerance: float = sparse_linear.TOLERANCE,
+) -> PipelineModel | SparseModel:
+    """``count-logistic``, ``hash-perceptron`` or ``hash-forest`` over ``(id, category, text)``.
+
+    The logistic model has all words and word pairs, whatever their number, and runs to ``tolerance``;
+    ``features`` and ``iterations`` are for the hashed ones.
+    """
     if kind == "count-logistic":
-        stages += [
-            mlf.CountVectorizer(inputCol="unigrams", outputCol="us", minDF=min_df, vocabSize=features),
-            mlf.NGram(inputCol="unigrams", outputCol="bigrams", n=2),
-            mlf.CountVectorizer(inputCol="bigrams", outputCol="bs", minDF=min_df, vocabSize=2 * features),
-            mlf.VectorAssembler(inputCols=["us", "bs"], outputCol="features"),
-            mlc.LogisticRegression(maxIter=iterations, regParam=regularization, standardization=False),
-        ]
-    elif kind == "hash-perceptron":
+        rows = df.select(F.col("category").alias("label"), word_counts(F.col("text"), stop).alias("features"))
+        return sparse_linear.fit(rows, penalty=regularization, tolerance=tolerance)
+    stages = [mlf.StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"), *_token_stages(stop)]
+    if kind == "hash-perceptron":
         stages += [
             mlf.HashingTF(inputCol="unigrams", outputCol="features", numFeatures=features, binary=True),
             mlc.MultilayerPerceptronClassifier(
@@ -104,8 +106,22 @@ def fit_text_classifier(
     return fit_cached(stages, df)
 
 
-def predict_labels(df: DataFrame, model: PipelineModel) -> DataFrame:
+def word_counts(text: Column, stop: list[str] = fx.STOP_WORDS) -> Column:
+    """Words without stop words and their neighbouring pairs as ``(feature, value)`` structs; repeated ones add up in a model."""
+    words = fx.remove_stopwords(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != ""), stop)
+
+    def counted(kept: Column) -> Column:
+        one = lambda t: F.struct(t.alias("feature"), F.lit(1.0).alias("value"))
+        pairs = F.zip_with(F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))), F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+        return F.concat(F.transform(kept, one), F.transform(pairs, one))
+
+    return tx.let(words, counted)
+
+
+def predict_labels(df: DataFrame, model: PipelineModel | SparseModel) -> DataFrame:
     """Rows with the predicted label, its probability, and the whole label → probability map."""
+    if isinstance(model, SparseModel):
+        return predict_sparse(df, ["id", "text"], lambda r: word_counts(F.col("text")), model)
     names = F.array(*[F.lit(x) for x in model.stages[0].labels])
     out = model.transform(df).withColumn("_p", vector_to_array("probability"))
     return out.select(
@@ -116,20 +132,66 @@ def predict_labels(df: DataFrame, model: PipelineModel) -> DataFrame:
     )
 
 
+def predict_sparse(df: DataFrame, identity: list[str], features, model: SparseModel) -> DataFrame:
+    """``sparse_linear.predict`` for rows that may repeat: each distinct identity is scored once."""
+    rows = df.withColumn("_row", F.sha2(F.to_json(F.struct(*identity)), 256))
+    distinct = rows.dropDuplicates(["_row"]).select("_row", features(rows).alias("_features"))
+    scored = sparse_linear.predict(distinct, ["_row"], "_features", model).drop("_features")
+    return rows.join(scored, "_row").drop("_row")
+
+
+@dataclass
+class SentimentModel:
+    """A logistic model over tf-idf weights, with the inverse frequencies ``(term, idf)`` as a table."""
+
+    linear: SparseModel
+    idf: DataFrame
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """The rows with ``label`` (1.0: the model's second class) and ``probability`` of that class."""
+        rows = df.withColumn("_row", F.sha2(F.to_json(F.struct(*df.columns)), 256))
+        weighted = tfidf_features(rows.dropDuplicates(["_row"]), "_row", self.idf)
+        scored = sparse_linear.predict(weighted, ["_row"], "features", self.linear)
+        names = self.linear.labels
+        second = F.element_at("probabilities", names[-1])
+        return rows.join(scored.select("_row", second.alias("score")), "_row").drop("_row").withColumn("label", (F.col("category") == names[-1]).cast("double"))
+
+
+def tfidf_features(df: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """``(key, features)``: the terms of a text with count times inverse frequency; terms without one are left out."""
+    counts = fx.term_counts(df.select(key, _unigrams(F.col("text")).alias("tokens")), key, "tokens")
+    found = counts.join(idf, "term").groupBy(key).agg(F.collect_list(F.struct(F.col("term").alias("feature"), (F.col("n") * F.col("idf")).alias("value"))).alias("features"))
+    return df.select(key).join(found, key, "left").select(key, F.coalesce("features", F.array().cast("array<struct<feature:string,value:double>>")).alias("features"))
+
+
+def _unigrams(text: Column) -> Column:
+    return fx.remove_stopwords(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != ""), fx.STOP_WORDS)
+
+
 def fit_sentiment(
-    df: DataFrame, kind: str = "tfidf-logistic", features: int = 1 << 12, iterations: int = 20, hidden: list[int] = (16,)
-) -> PipelineModel:
-    """Sentiment of ``(category, text)``: tf-idf with a logistic or a perceptron layer."""
+    df: DataFrame, kind: str = "tfidf-logistic", features: int = 1 << 16, iterations: int = 20, hidden: list[int] = (16,),
+    tolerance: float = sparse_linear.TOLERANCE,
+) -> PipelineModel | SentimentModel:
+    """Sentiment of ``(category, text)``: tf-idf with a logistic or a perceptron layer.
+
+    The logistic one has all words and runs to ``tolerance``.
+    """
+    if kind == "tfidf-logistic":
+        rows = materialize(df.select("category", "text", F.sha2(F.to_json(F.struct(*df.columns)), 256).alias("_row")), "rows")
+        one = rows.dropDuplicates(["_row"])
+        seen = fx.term_counts(one.select("_row", _unigrams(F.col("text")).alias("tokens")), "_row", "tokens")
+        total = one.count()
+        idf = materialize(seen.groupBy("term").agg(F.log((total + 1) / (F.count(F.lit(1)) + 1)).alias("idf")), "idf")
+        made = tfidf_features(one, "_row", idf)
+        examples = rows.select("_row", F.col("category").alias("label")).join(made, "_row")
+        return SentimentModel(sparse_linear.fit(examples, penalty=0.01, tolerance=tolerance), idf)
     stages = [mlf.StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"), *_token_stages(fx.STOP_WORDS)]
     stages += [
         mlf.HashingTF(inputCol="unigrams", outputCol="tf", numFeatures=features),
         mlf.IDF(inputCol="tf", outputCol="features"),
     ]
-    if kind == "tfidf-logistic":
-        stages.append(mlc.LogisticRegression(maxIter=iterations, regParam=0.01))
-    else:
-        layers = _layers(df, "category", features, list(hidden))
-        stages.append(mlc.MultilayerPerceptronClassifier(maxIter=iterations, seed=123, layers=layers))
+    layers = _layers(df, "category", features, list(hidden))
+    stages.append(mlc.MultilayerPerceptronClassifier(maxIter=iterations, seed=123, layers=layers))
     return fit_cached(stages, df)
 
 
@@ -169,8 +231,10 @@ def fit_tabular(
     return fit_cached(stages, df)
 
 
-def score_column(df: DataFrame, model: PipelineModel, positive: int = 1, out: str = "score") -> DataFrame:
-    """Add the probability of the positive class."""
+def score_column(df: DataFrame, model: PipelineModel | SentimentModel, positive: int = 1, out: str = "score") -> DataFrame:
+    """Add the probability of the positive class (for a sparse model, of its second class)."""
+    if isinstance(model, SentimentModel):
+        return model.transform(df).withColumnRenamed("score", out)
     return model.transform(df).withColumn(out, F.get(vector_to_array("probability"), F.lit(positive)))
 
 
@@ -232,6 +296,18 @@ def synonyms(model: mlf.Word2VecModel, word: str, n: int = 10) -> DataFrame:
 
 
 # --- sequence tagging ------------------------------------------------------------------
+def feature_counts(features: Column) -> Column:
+    """Blank-separated feature strings, in lower case, as ``(feature, value)`` structs."""
+    names = F.filter(F.split(F.lower(F.coalesce(features, F.lit(""))), r"\s+"), lambda t: t != "")
+    return F.transform(names, lambda t: F.struct(t.alias("feature"), F.lit(1.0).alias("value")))
+
+
+def fit_sparse_tagger(rows: DataFrame, features: str = "features", label: str = "label", regularization: float = 1e-4, tolerance: float = sparse_linear.TOLERANCE) -> SparseModel:
+    """Multinomial regression from all feature strings to labels; weights stay a table."""
+    made = rows.select(F.col(label).alias("label"), feature_counts(F.col(features)).alias("features"))
+    return sparse_linear.fit(made, penalty=regularization, tolerance=tolerance, multinomial=True)
+
+
 def fit_tagger(
     rows: DataFrame, features: str = "features", label: str = "label", kind: str = "counts", size: int = 1 << 15,
     min_df: int = 1, iterations: int = 20, regularization: float = 1e-4,
@@ -398,9 +474,6 @@ def attach_rules(words: Column, tags: Column, rules: list[tuple[str, str, str, s
 
 
 # --- transition parsing ---------------------------------------------------------------
-_SAMPLES = T.ArrayType(
-    T.StructType([T.StructField("features", T.StringType()), T.StructField("transition", T.StringType())])
-)
 _HEADS = T.ArrayType(
     T.StructType([T.StructField("id", T.StringType()), T.StructField("head", T.StringType()), T.StructField("label", T.StringType())])
 )
@@ -418,13 +491,8 @@ def _with_shapes(tokens: Column) -> Column:
 
 def transition_samples(graphs: DataFrame, key: str = "sent_id") -> DataFrame:
     """Treebank rows (``tokens`` with the root first) to ``(key, features, transition)``."""
-
-    @F.arrow_udf(_SAMPLES)
-    def sample(sentences: pa.Array) -> pa.Array:
-        fields = [("features", pa.string()), ("transition", pa.string())]
-        return struct_lists((transitions.oracle(s) for s in sentences.to_pylist()), fields)
-
-    return unnest_structs(graphs, [key], sample(_with_shapes(F.col("tokens"))))
+    rows = graphs.select(key, _with_shapes(F.col("tokens")).alias("tokens"))
+    return unnest_structs(rows, [key], transitions.gold_steps(F.col("tokens")))
 
 
 def parse_batch(graphs: DataFrame, tagger: LinearTagger, key: str = "sent_id") -> DataFrame:

@@ -482,6 +482,9 @@ def sliding_id_windows(spark, sf_dir):
 
 
 # --- F: models -----------------------------------------------------------------------------
+TOLERANCE = 1e-2  # of the loss, between two iterations of the sparse fits
+
+
 def _labelled(spark, sf_dir, label="quality"):
     return models.labelled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label)
 
@@ -492,7 +495,7 @@ def text_classifier(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     out = []
     for kind in ("count-logistic", "hash-perceptron", "hash-forest"):
-        model = models.fit_text_classifier(rows, kind, features=1024, iterations=10)
+        model = models.fit_text_classifier(rows, kind, tolerance=TOLERANCE)
         scores = metrics.multiclass_scores(models.predict_labels(rows, model), "category", "prediction")
         out.append(scores.withColumn("kind", F.lit(kind)))
     return curate.union_all(out)
@@ -511,7 +514,7 @@ def sentiment(spark, sf_dir):
     """Area under the curve of both sentiment models on the toxic label."""
     rows, out = _labelled(spark, sf_dir, "toxic"), []
     for kind in ("tfidf-logistic", "tfidf-perceptron"):
-        scored = models.score_column(rows, models.fit_sentiment(rows, kind, features=1024, iterations=10))
+        scored = models.score_column(rows, models.fit_sentiment(rows, kind, tolerance=TOLERANCE))
         out.append(metrics.auc(scored, "label", "score").withColumn("kind", F.lit(kind)))
     return curate.union_all(out)
 
@@ -569,8 +572,9 @@ def sequence_tag_training(spark, sf_dir):
     out = []
     for reverse in (False, True):
         rows = _tag_rows(spark, sf_dir, reverse)
-        model = models.fit_tagger(rows, size=4096, iterations=10)
-        right = model.transform(rows).agg(F.avg((F.col("_prediction") == F.col("_label")).cast("int")).alias("accuracy"))
+        model = models.fit_sparse_tagger(rows, tolerance=TOLERANCE)
+        tagged = models.predict_sparse(rows, ["id", "pos"], lambda r: models.feature_counts(F.col("features")), model)
+        right = tagged.agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("accuracy"))
         out.append(right.select(F.round("accuracy", 4).alias("accuracy"), F.lit("backward" if reverse else "forward").alias("direction")))
     return curate.union_all(out)
 

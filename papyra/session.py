@@ -62,6 +62,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Written:
+    """A table written to the shared folder that can be given up once nothing needs it any more.
+
+    For rounds in which each table follows from the one before: what has been written is whole, so the
+    table before it is not needed to recover from a lost executor.
+    """
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark = df.sparkSession
+        self.path = new_path(self.spark, label)
+        df.write.parquet(self.path)
+        self.rows = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def give_up(self) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable on the workers, once per context."""
     context = spark.sparkContext

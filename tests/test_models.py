@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyra.functions import transitions
-from papyra.operators import features, metrics, models, rules
+from papyra.operators import features, metrics, models, rules, sparse_linear
 from papyra.plans import load_all, modeling
 from tests.oracle import DATA
 
@@ -132,13 +132,36 @@ def is_tree(heads):
     return True
 
 
+def oracle(sent: list[dict]) -> list[tuple[str, str]]:
+    """``(features, transition)`` pairs that rebuild the gold arcs."""
+    place = {t["id"]: i for i, t in enumerate(sent)}
+    head = [place.get(t["head"], -1) for t in sent]
+    first_child: dict[int, int] = {}
+    for i in range(len(sent) - 1, 0, -1):
+        first_child[head[i]] = i
+    state, out = transitions.State(sent), []
+    while state.open:
+        top, front = state.stack[-1], state.front
+        if top > 0 and head[top] == front:
+            action = f"LA-{sent[top]['label']}"
+        elif head[front] == top:
+            action = f"RA-{sent[front]['label']}"
+        elif len(state.stack) > 1 and (0 <= head[front] < top or first_child.get(front, top) < top):
+            action = "RE"
+        else:
+            action = "SH"
+        out.append((" ".join(state.features()), action))
+        state.apply(action)
+    return out
+
+
 @settings(max_examples=400, deadline=None)
 @given(st.integers(1, 6).flatmap(lambda n: st.lists(st.integers(0, n), min_size=n, max_size=n)))
 def test_oracle_rebuilds_projective_trees(heads):
     if not is_tree(heads) or not projective(heads):
         return
     sent = sentence(heads)
-    steps = transitions.oracle(sent)
+    steps = oracle(sent)
     state = transitions.State(sent)
     for _, action in steps:
         state.apply(action)
@@ -147,6 +170,34 @@ def test_oracle_rebuilds_projective_trees(heads):
     assert [h for h, _ in transitions.parse(sent, lambda f: [next(script)])] == heads
 
 
+TOKEN = "id string, word string, lemma string, upos string, pos string, feats string, head string, label string, supertag string, shape string"
+
+
+def test_gold_steps_are_those_of_the_machine(spark):
+    rng = np.random.default_rng(8)
+    sentences = [sentence(rng.integers(0, n + 1, n).tolist()) for n in rng.integers(1, 9, 150)]  # trees or not, projective or not
+    sentences += [sentence([]), sentence([2, 0, 2]), sentence([0, 1, 2, 1]), sentence([3, 3, 0, 3])]
+    sentences[-1][2]["label"] = "nmod-of"
+    sentences[-1][3]["word"], sentences[-1][1]["head"] = "a+b", "77"
+    names = [c.split()[0] for c in TOKEN.split(", ")]
+    rows = [(i, [tuple(t[c] for c in names) for t in s]) for i, s in enumerate(sentences)]
+    table = spark.createDataFrame(rows, "id int, tokens array<struct<" + ",".join(c.replace(" ", ":") for c in TOKEN.split(", ")) + ">>")
+    got = {r.id: [(x.features, x.transition) for x in r.s] for r in table.select("id", transitions.gold_steps(F.col("tokens")).alias("s")).collect()}
+    assert all(got[i] == oracle(s) for i, s in enumerate(sentences))
+    kinds = {t[:2] for steps in got.values() for _, t in steps}
+    assert kinds == {"SH", "RE", "LA", "RA"}
+
+
+@pytest.mark.parametrize(
+    "heads, want",
+    [([0], ["RA-l0"]), ([2, 0], ["SH", "LA-l2", "RA-l0"]), ([0, 1, 1], ["RA-l0", "RA-l1", "RE", "RA-l1"]), ([0, 3, 1], ["RA-l0", "SH", "LA-l0", "RA-l1"])],
+)
+def test_each_kind_of_transition(spark, heads, want):
+    names = [c.split()[0] for c in TOKEN.split(", ")]
+    table = spark.createDataFrame([([tuple(t[c] for c in names) for t in sentence(heads)],)], "tokens array<struct<" + ",".join(c.replace(" ", ":") for c in TOKEN.split(", ")) + ">>")
+    assert [x.transition for x in table.select(transitions.gold_steps(F.col("tokens")).alias("s")).first().s] == want
+
+
 def test_transition_features():
     sent = sentence([2, 0, 2])
     state = transitions.State(sent)
@@ -164,6 +215,70 @@ def test_taggers_learn(spark):
     assert all(r.accuracy > 0.95 for r in rows)
 
 
+def documents_and_words(spark, label):
+    rows = models.labelled_documents(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet"), spark.read.parquet(f"{DATA}/sf0.01/labels.parquet"), label)
+    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")
+    return rows.select("id", F.col("category").alias("label"), words.alias("words"))
+
+
+@pytest.mark.parametrize("multinomial", [False, True])
+def test_sparse_fit_reaches_the_loss_of_the_dense_one(spark, multinomial):
+    from pyspark.ml import Pipeline
+    from pyspark.ml import classification as mlc
+    from pyspark.ml import feature as mlf
+
+    rows = documents_and_words(spark, "toxic")
+    examples = rows.select("label", F.transform("words", lambda t: F.struct(t.alias("feature"), F.lit(1.0).alias("value"))).alias("features"))
+    model = sparse_linear.fit(examples, penalty=0.05, tolerance=1e-3, multinomial=multinomial, shard_weights=20_000)
+    dense = Pipeline(stages=[
+        mlf.StringIndexer(inputCol="label", outputCol="_y"), mlf.CountVectorizer(inputCol="words", outputCol="_x", minDF=1, vocabSize=1 << 20),
+        mlc.LogisticRegression(featuresCol="_x", labelCol="_y", family="multinomial" if multinomial else "binomial", maxIter=200, regParam=0.05, standardization=False, tol=1e-8),
+    ]).fit(rows)
+    assert model.loss <= 1.01 * dense.stages[2].summary.objectiveHistory[-1]
+    assert model.weights.count() == len(dense.stages[1].vocabulary)  # no feature is left out
+
+
+def test_sparse_fit_of_few_and_odd_rows(spark):
+    schema = "id int, label string, features array<struct<feature:string,value:double>>"
+    assert sparse_linear.fit(spark.createDataFrame([], schema)).labels == []
+    one = sparse_linear.fit(spark.createDataFrame([(1, "a", [("x", 1.0)])], schema))
+    assert one.labels == ["a"] and one.weights.count() == 0
+    rows = [(i, "ab"[i % 2], [("even" if i % 2 else "odd", 1.0), ("same", 2.0), ("same", 1.0), (None, 5.0)]) for i in range(40)]
+    rows += [(40, None, [("x", 1.0)]), (41, "a", None), (42, "b", [])]
+    table = spark.createDataFrame(rows, schema)
+    model = sparse_linear.fit(table, penalty=0.001)
+    weights = {r.feature: r.weights for r in model.weights.collect()}
+    assert set(weights) == {"even", "odd", "same"} and len(model.bias) == 1
+    out = {r.id: r for r in sparse_linear.predict(table.fillna("?", ["label"]), ["id"], "features", model).collect()}
+    assert len(out) == len(rows) and all(out[i].prediction == "ab"[i % 2] for i in range(40))
+    assert all(abs(sum(r.probabilities.values()) - 1) < 1e-9 and r.probability == max(r.probabilities.values()) for r in out.values())
+    # the loss is what the weights say
+    z = [sum(weights.get(f, [0.0])[0] * v for f, v in (fs or []) if f) + model.bias[0] for _, label, fs in rows if label]
+    y = [model.labels.index(label) for _, label, _ in rows if label]
+    own = np.mean([np.logaddexp(0, a) - b * a for a, b in zip(z, y, strict=True)]) + 0.0005 * sum(w[0] ** 2 for w in weights.values())
+    assert own == pytest.approx(model.loss, rel=1e-9)
+
+
+def test_direction_is_that_of_the_two_loops():
+    rng = np.random.default_rng(0)
+    steps, hessian = rng.normal(size=(4, 9)), np.diag(rng.uniform(1, 3, 9))
+    changes, gradient = steps @ hessian, rng.normal(size=9)
+    q, alpha = gradient.copy(), []
+    for s, y in zip(steps[::-1], changes[::-1], strict=True):
+        alpha.append(s @ q / (s @ y))
+        q -= alpha[-1] * y
+    q *= steps[-1] @ changes[-1] / (changes[-1] @ changes[-1])
+    for s, y, a in zip(steps, changes, alpha[::-1], strict=True):
+        q += s * (a - y @ q / (s @ y))
+    basis = np.concatenate([steps, changes, [gradient]])
+    assert sparse_linear.direction(basis @ basis.T) @ basis == pytest.approx(-q)
+
+
+def test_sentiment_finds_toxic_texts(spark):
+    rows = load_all()["f3_sentiment"].run(spark, SMALL).collect()
+    assert {r.kind for r in rows} == {"tfidf-logistic", "tfidf-perceptron"} and all(r.auc > 0.9 for r in rows)
+
+
 def test_greedy_tagging_is_accurate(spark):
     gold = modeling._tagged_turns(spark, SMALL).select("id", F.posexplode("tags").alias("pos", "gold"))
     out = load_all()["f8_greedy_tag_decoding"].run(spark, SMALL)
