@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from papyra.functions import text as tx
 from papyra.functions import transitions
 from papyra.functions.arrow import struct_lists
-from papyra.functions.rows import unnest_structs
+from papyra.functions.rows import unnest, unnest_structs
 from papyra.functions.shapes import PARSER_SHAPES, placeholder, word_shape
 from papyra.operators import features as fx
 from papyra.operators import sparse_linear
@@ -408,6 +408,43 @@ def greedy_tag(
     return df.withColumn(out, F.reverse(decode(F.reverse(F.col(words)), static)))
 
 
+def greedy_tag_sparse(df: DataFrame, static: Column, model: SparseModel, reverse: bool = False, out: str = "tags") -> DataFrame:
+    """``greedy_tag`` with weights that stay a table: the scores of the features that do not depend on tags come
+    from a join, added up map-side; only the two previous tags are folded, with the weights of their features.
+
+    Those are of bounded number: at most (labels + 1) squared pairs of tags. Equal scores go to the more frequent
+    label. ``static`` is the array of feature strings in reading order; ``reverse`` turns the tags of a reading
+    from the right around. Rows may repeat; a null sentence has no tags (null).
+    """
+    spark = df.sparkSession
+    marks = [*model.labels, fx.BOS]
+    k, zero = len(marks), [0.0] * len(model.bias)
+    names = [*[f"pt={m}" for m in marks], *[f"at={m}" for m in marks], *[f"bt={a};{p}" for a in marks for p in marks]]
+    wanted = spark.createDataFrame([(n.lower(),) for n in dict.fromkeys(names)], "feature string")
+    known = {r["feature"]: list(r["weights"]) for r in model.weights.join(wanted, "feature").collect()}
+    table = [known.get(n.lower(), zero) for n in names]
+    history = spark.createDataFrame([(table,)], "h array<array<double>>").select("h").scalar()
+
+    rows = materialize(df.withColumn("_lines", static).withColumn("_sentence", F.monotonically_increasing_id()), "sentences")
+    places = unnest(rows, ["_sentence"], "_lines", "_line", "_pos").select("_sentence", "_pos", feature_counts(F.col("_line")).alias("_features"))
+    scored = sparse_linear.scores(places, ["_sentence", "_pos"], "_features", model)
+    listed = scored.groupBy("_sentence").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "scores"))), lambda p: p["scores"]).alias("_scores"))
+    added = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+
+    def step(state: Column, own: Column) -> Column:
+        last, before = state["last"], state["before"]
+        whole = added(added(added(own, F.get("_history", last)), F.get("_history", before + k)), F.get("_history", 2 * k + before * k + last))
+        best = tx.let(whole, lambda s: F.array_position(s, F.array_max(s)).cast("int") - 1)
+        return tx.let(best, lambda b: F.struct(b.alias("last"), last.alias("before"), F.array_append(state["done"], b).alias("done")))
+
+    start = F.struct(F.lit(k - 1).alias("last"), F.lit(k - 1).alias("before"), F.array().cast("array<int>").alias("done"))
+    folded = listed.withColumn("_history", history).select("_sentence", F.aggregate("_scores", start, step)["done"].alias("_best"))
+    tags = F.transform("_best", lambda b: F.get(F.array(*[F.lit(x) for x in model.labels]), b))
+    tags = F.reverse(tags) if reverse else tags
+    empty = F.when(F.col("_lines").isNotNull(), F.array().cast("array<string>"))
+    return rows.join(folded, "_sentence", "left").select(*df.columns, F.coalesce(tags, empty).alias(out))
+
+
 def best_path(scores: DataFrame, sentence: str, pos: str, label: str, score: str) -> DataFrame:
     """Highest-scoring label per position, the smallest one on ties."""
     return scores.groupBy(sentence, pos).agg(

@@ -562,10 +562,6 @@ def _tag_rows(spark, sf_dir, reverse=False):
     return unnest(rows, ["id"], pairs, "t", "pos").select("id", "pos", "t.features", "t.label")
 
 
-def _fit_tags(spark, sf_dir, reverse=False):
-    return models.fit_tagger(_tag_rows(spark, sf_dir, reverse), size=4096, iterations=10)
-
-
 @query("f7_sequence_tag_training")
 def sequence_tag_training(spark, sf_dir):
     """Training accuracy of a forward and a backward tagger."""
@@ -581,10 +577,10 @@ def sequence_tag_training(spark, sf_dir):
 
 @query("f8_greedy_tag_decoding")
 def greedy_tag_decoding(spark, sf_dir):
-    tagger = models.LinearTagger.of(_fit_tags(spark, sf_dir))
+    model = models.fit_sparse_tagger(_tag_rows(spark, sf_dir), tolerance=TOLERANCE)
     rows = _turns(spark, sf_dir).withColumn("shapes", features.useful_shapes(F.col("w")))
     static = features.tag_context(F.col("w"), None, 0, shapes=F.col("shapes"))
-    out = models.greedy_tag(rows, "w", static, tagger)
+    out = models.greedy_tag_sparse(rows, static, model)
     return unnest(out, ["id"], "tags", "tag", "pos")
 
 

@@ -22,7 +22,8 @@ def _logs(spark, sf_dir):
 
 @query("k1_hourly_status", f"with {LOG_SQL} select date_trunc('hour', ts) as start, status, count(*) as n from logs group by 1, 2")
 def hourly_status(spark, sf_dir):
-    return streams.complete_to_table(streams.hourly_status(_logs(spark, sf_dir)), lambda b: b.orderBy("start"))
+    hours = streams.hourly_status(_logs(spark, sf_dir), streams.DELAY)
+    return streams.update_to_table(hours, ["start", "status"], lambda b: b.orderBy("start"))
 
 
 def _sliding_sql(key: str, source: str, minutes: int, slide: int) -> str:

@@ -6,7 +6,7 @@ data available now and gives back its result table.
 
 from __future__ import annotations
 
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,10 @@ from papyra.operators import curate
 from papyra.session import new_path, ship_package
 
 
+#: How late an event may be in a sliding job; the state holds the panes of about that time.
+DELAY = "1 day"
+
+
 # --- running a stream ----------------------------------------------------------------
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table as a file stream."""
@@ -58,7 +62,33 @@ def _latest_result(stream: DataFrame, mode: str, finish) -> DataFrame:
     return spark.read.schema(last["schema"]).parquet(last["path"])
 
 
-def run_batches(stream: DataFrame, write, mode: str = "append", checkpoint: str | None = None) -> None:
+def update_to_table(stream: DataFrame, keys: list[str], finish=None, progress: list | None = None) -> DataFrame:
+    """Run an aggregating stream in update mode: each batch writes the groups it changed, the last value of a group holds.
+
+    With a watermark Spark gives up the state of groups that can't change any more, so the state does
+    not grow with the stream, and no batch writes what it has not touched. Batches are folders of
+    their own, so one that is run again replaces itself. ``progress`` gets the stream's progress reports.
+    """
+    spark = stream.sparkSession
+    path, others = new_path(spark, "sink"), [c for c in stream.columns if c not in keys]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/_batch={batch_id}")
+
+    reports = run_batches(stream, write, "update")
+    if progress is not None:
+        progress += reports
+    try:
+        changes = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, _batch bigint").parquet(path)
+    except AnalysisException:  # no input, no folder
+        changes = spark.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0))
+    last = changes.groupBy(F.struct(*keys).alias("_keys")).agg(F.max_by(F.struct(*others), "_batch").alias("_last"))
+    result = last.select("_keys.*", "_last.*").select(*stream.columns)
+    return finish(result) if finish else result
+
+
+def run_batches(stream: DataFrame, write, mode: str = "append", checkpoint: str | None = None) -> list:
+    """Run a stream over what is there now; gives back its progress reports."""
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint or new_path(stream.sparkSession, "state"))
@@ -67,6 +97,7 @@ def run_batches(stream: DataFrame, write, mode: str = "append", checkpoint: str
         .start()
     )
     query.awaitTermination()
+    return list(query.recentProgress)
 
 
 # --- log analytics --------------------------------------------------------------------
@@ -82,8 +113,14 @@ def hourly_status(logs: DataFrame, watermark: str | None = None) -> DataFrame:
     return counts.select(F.col("w.start").alias("start"), "status", "n")
 
 
-def pane_counts(rows: DataFrame, keys: list[str], slide: int, ts: str = "ts") -> DataFrame:
-    """Counts per pane of ``slide`` seconds, the only state that sliding windows need."""
+def pane_counts(rows: DataFrame, keys: list[str], slide: int, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """Counts per pane of ``slide`` seconds, the only state that sliding windows need.
+
+    In a stream, panes that ended more than ``delay`` before the latest event are closed: their state goes,
+    and later events for them are dropped.
+    """
+    if delay and rows.isStreaming:
+        rows = rows.withWatermark(ts, delay)
     counts = rows.groupBy(F.window(ts, f"{slide} seconds").alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(F.col("w.start").alias("pane"), *keys, "n")
 
@@ -102,9 +139,9 @@ def slide_windows(panes: DataFrame, keys: list[str], length: int, slide: int) ->
     return starts.groupBy(start, *keys).agg(F.sum("n").alias("n"))
 
 
-def top_urls(logs: DataFrame, length: int = 300, slide: int = 1) -> DataFrame:
+def top_urls(logs: DataFrame, length: int = 300, slide: int = 1, delay: str = DELAY, progress: list | None = None) -> DataFrame:
     """Requests per url in sliding windows, most requested first."""
-    return _sliding_top(logs.filter(F.col("url").isNotNull()), "url", length, slide)
+    return _sliding_top(logs.filter(F.col("url").isNotNull()), "url", length, slide, delay, progress)
 
 
 def hashtags(messages: DataFrame, text: str, ts: str = "ts") -> DataFrame:
@@ -112,16 +149,16 @@ def hashtags(messages: DataFrame, text: str, ts: str = "ts") -> DataFrame:
     return words.filter(F.col("tag").startswith("#"))
 
 
-def top_hashtags(messages: DataFrame, text: str, length: int = 300, slide: int = 1, ts: str = "ts") -> DataFrame:
-    return _sliding_top(hashtags(messages, text, ts), "tag", length, slide)
+def top_hashtags(messages: DataFrame, text: str, length: int = 300, slide: int = 1, ts: str = "ts", delay: str = DELAY) -> DataFrame:
+    return _sliding_top(hashtags(messages, text, ts), "tag", length, slide, delay)
 
 
-def _sliding_top(rows: DataFrame, key: str, length: int, slide: int) -> DataFrame:
+def _sliding_top(rows: DataFrame, key: str, length: int, slide: int, delay: str, progress: list | None = None) -> DataFrame:
     def finish(panes: DataFrame) -> DataFrame:
         return slide_windows(panes, [key], length, slide).orderBy("start", F.desc("n"), key)
 
-    panes = pane_counts(rows, [key], slide)
-    return complete_to_table(panes, finish) if rows.isStreaming else finish(panes)
+    panes = pane_counts(rows, [key], slide, delay=delay)
+    return update_to_table(panes, ["pane", key], finish, progress) if rows.isStreaming else finish(panes)
 
 
 def status_class(status: Column) -> Column:
@@ -132,7 +169,7 @@ def status_class(status: Column) -> Column:
 
 
 def error_alarm(
-    logs: DataFrame, length: int = 300, slide: int = 1, min_total: int = 100, ratio: float = 0.5
+    logs: DataFrame, length: int = 300, slide: int = 1, min_total: int = 100, ratio: float = 0.5, delay: str = DELAY
 ) -> DataFrame:
     """Windows with more than ``min_total`` answers whose failure/success ratio is too high."""
     classed = logs.withColumn("class", status_class(F.col("status")))
@@ -145,8 +182,8 @@ def error_alarm(
         alarm = (ok == 0) | (F.col("failure") / F.when(ok > 0, ok) > ratio)
         return counts.filter((total > min_total) & alarm)
 
-    panes = pane_counts(classed, ["class"], slide)
-    return complete_to_table(panes, finish) if logs.isStreaming else finish(panes)
+    panes = pane_counts(classed, ["class"], slide, delay=delay)
+    return update_to_table(panes, ["pane", "class"], finish) if logs.isStreaming else finish(panes)
 
 
 def agent_counts(logs: DataFrame) -> DataFrame:

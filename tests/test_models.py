@@ -286,6 +286,33 @@ def test_greedy_tagging_is_accurate(spark):
     assert share > 0.95
 
 
+@pytest.mark.parametrize("reverse", [False, True])
+def test_folded_tags_are_those_of_a_loop(spark, reverse):
+    rng = np.random.default_rng(2)
+    labels, words = ["N", "V", "O"], ["a", "b", "c", "D"]
+    names = [f"w={w.lower()}" for w in words] + [f"{p}={m}".lower() for p in ("pt", "at") for m in [*labels, features.BOS]]
+    names += [f"bt={x};{y}".lower() for x in [*labels, features.BOS] for y in [*labels, features.BOS]][::2]  # some are unknown
+    weights = {n: rng.normal(size=3).round(3).tolist() for n in names}
+    bias = [0.1, -0.2, 0.0]
+    model = sparse_linear.SparseModel(spark.createDataFrame(list(weights.items()), "feature string, weights array<double>"), bias, labels, 0.0, 0)
+    rows = [(i, [words[j] for j in rng.integers(0, 4, n)]) for i, n in enumerate(rng.integers(0, 9, 40))] + [(1, ["a", "unseen"]), (None, None), (7, [])]
+    table = spark.createDataFrame(rows, "id int, w array<string>")
+    given = F.reverse("w") if reverse else F.col("w")
+    static = F.transform(given, lambda w: F.concat(F.lit("W="), w))
+    got = models.greedy_tag_sparse(table, static, model, reverse).collect()
+
+    def plain(sentence):
+        done = []
+        for w in sentence[::-1] if reverse else sentence:
+            found = [f"w={w}".lower(), *[f.lower() for f in models.tag_history(done, w)]]
+            score = np.array(bias) + sum(np.array(weights.get(f, [0.0] * 3)) for f in found)
+            done.append(labels[int(score.argmax())])
+        return done[::-1] if reverse else done
+
+    want = [(i, w, w if w is None else plain(w)) for i, w in rows]
+    assert sorted(((r.id, r.w, r.tags) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_backward_tagging(spark):
     rows = modeling._tag_rows(spark, SMALL, reverse=True)
     tagger = models.LinearTagger.of(models.fit_tagger(rows, size=2048, iterations=8))

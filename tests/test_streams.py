@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from papyra.operators import search
@@ -44,6 +46,32 @@ def test_sliding_windows_equal_spark_windows(spark, folder):
     assert same(streams.top_urls(rows, length=300, slide=60), wanted)
 
 
+def test_state_of_sliding_counts_stays_bounded(spark, folder):
+    day = 24 * 3600
+    rows = spark.range(3 * 24 * 12).select(
+        F.timestamp_seconds(F.lit(1_700_006_400) + F.col("id") * 300).alias("ts"), F.concat(F.lit("/p"), F.col("id") % 3).alias("url")
+    )
+    for part in range(24):  # three days in files of three hours, in order
+        rows.filter(F.floor((F.unix_timestamp("ts") - 1_700_006_400) / (day / 8)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        time.sleep(0.02)  # files are taken by their age
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    progress = []
+    got = streams.top_urls(stream, length=3600, slide=900, delay="2 hours", progress=progress)
+    assert same(got, streams.top_urls(rows, length=3600, slide=900))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    whole = streams.pane_counts(rows, ["url"], 900).count()
+    assert len(held) >= 24 and whole == 3 * 24 * 4 * 3
+    assert max(held) <= 3 * 4 * (2 + 3 + 3)  # the delay, a file, and the file before whose end sets the watermark
+    assert max(held[12:]) == max(held[4:12])
+
+
+def test_update_sink_without_input(spark, folder):
+    rows, _ = logs(spark, folder)
+    rows.limit(0).write.parquet(f"{folder}/none")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/none")
+    assert streams.top_urls(stream, 300, 60).count() == 0
+
+
 def test_hashtags(spark):
     rows = spark.sql("select timestamp'2024-01-01 00:00:30' as ts, 'x #a b #c #a' as text")
     got = streams.top_hashtags(rows, "text", length=120, slide=60).collect()
