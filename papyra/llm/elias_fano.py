@@ -111,8 +111,13 @@ class EliasFano:
         lo = start - h + 1
         open_ = np.flatnonzero(lo < hi)
         lo, hi, goal, inside = lo[open_], hi[open_], goal[open_], inside[open_]
-        end = hi.copy()
-        todo = np.arange(len(lo))
+        # most high parts have one number: look at the first before halving the rest
+        first = self.lows(lo)
+        there = first == goal
+        out[inside[there]] = lo[there]
+        more = np.flatnonzero((first < goal) & (lo + 1 < hi))
+        lo, hi, goal, inside = lo[more] + 1, hi[more], goal[more], inside[more]
+        end, todo = hi.copy(), np.arange(len(lo))
         while len(todo):
             mid = (lo[todo] + hi[todo]) >> 1
             less = self.lows(mid) < goal[todo]

@@ -34,8 +34,8 @@ from papyra.session import materialize
 ORDER = 3
 MU = 4.0
 END = np.uint64(0xE3779B97F4A7C159)
-SLICE = 1 << 21
-WAITING = 2_000_000
+SLICE = 1 << 22
+WAITING = 1_000_000
 COUNT_STEP = 0.04  # of a quantised natural logarithm of a count
 LEAST_LOG = -20.4  # of a quantised natural logarithm of a probability; 255 steps lead up to 0
 
