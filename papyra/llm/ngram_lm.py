@@ -68,6 +68,13 @@ def pair_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.argsort(key)
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ascending array, and for each place the number of its value."""
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new], np.cumsum(new) - 1
+
+
 def summed(first: np.ndarray, second: np.ndarray | None, count: np.ndarray):
     """Equal keys (one or two columns) added up, in ascending order."""
     order = np.argsort(first, kind="stable") if second is None else pair_order(first, second)
@@ -245,13 +252,13 @@ class Levels:
         return out
 
     def nodes(self, order: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Node numbers of (context, word) in a level, -1 if absent, and their quantised probabilities."""
+        """Node numbers of (context, word) in a level, -1 if absent, and their quantised probabilities; contexts ascend."""
         out, p = np.full(len(context), -1, np.int64), np.zeros(len(context))
         context, word = context.astype(np.uint64), word.astype(np.uint64)
         for s, at in self.by_shard(order, shard_of(spread(context, word), self.count)):
             arrays, sequences = self.shard(order, s)
             pointers, successors = sequences["pointers"], sequences["successors"]
-            own, back = np.unique(context[at], return_inverse=True)
+            own, back = runs(context[at])
             place = sequences["contexts"].find(own)
             seen = place[back] >= 0
             at, back = at[seen], back[seen]
@@ -273,29 +280,39 @@ class Levels:
         node = number.copy()
         row = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         for k in range(2, self.order + 1):
-            node = self.longer(k, node, number, row, k)[0]
+            node = self.longer(k, node, number, row)[0]
         ok = np.flatnonzero((node[:-1] >= 0) & (row[1:] == row[:-1]))
         return node[ok].astype(np.uint64), number[ok + 1].astype(np.uint64)
 
-    def longer(self, order: int, node: np.ndarray, number: np.ndarray, row: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """From the nodes that end at each token to those of one word more, where they exist, with
-        probabilities, and with the nodes of the contexts."""
-        out, p = np.full(len(node), -1, np.int64), np.zeros(len(node))
-        before = np.full(len(node), -1, np.int64)
+    def longer(self, order: int, node: np.ndarray, number: np.ndarray, row: np.ndarray, smooth: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From the nodes that end at each token to those of one word more, where they exist.
+
+        Also, for the places that have a context: which they are, the probabilities there, and if ``smooth``
+        is set the weight of the shorter context.
+        """
+        out, before = np.full(len(node), -1, np.int64), np.full(len(node), -1, np.int64)
         same = row[1:] == row[:-1]
         before[1:] = np.where(same, node[:-1], -1)
-        at = np.flatnonzero((before >= 0) & (number >= 0))
-        if len(at):
-            # equal n-grams are looked up once
-            order_of = pair_order(before[at], number[at])
-            a, b = before[at][order_of], number[at][order_of]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            back = np.empty(len(a), np.int64)
-            back[order_of] = np.cumsum(new) - 1
-            found, q = self.nodes(order, a[new], b[new])
-            out[at], p[at] = found[back], q[back]
-        return out, p, before
+        at = np.flatnonzero(before >= 0)
+        if not len(at):
+            return out, at, np.zeros(0), np.zeros(0)
+        # equal n-grams are looked up once; an unknown word is 0 here
+        order_of = pair_order(before[at], number[at] + 1)
+        a, b = before[at][order_of], number[at][order_of]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        back = np.empty(len(a), np.int64)
+        back[order_of] = np.cumsum(new) - 1
+        a, b = a[new], b[new]
+        known = np.flatnonzero(b >= 0)
+        found, p = np.full(len(a), -1, np.int64), np.zeros(len(a))
+        found[known], p[known] = self.nodes(order, a[known], b[known])
+        out[at] = found[back]
+        if not smooth:
+            return out, at, p, p
+        context, where = runs(a)
+        rest = MU / (self.counts(context, order - 1) + MU)
+        return out, at, p[back], rest[where][back]
 
     def scores(self, words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per token: its training count, the base's and the model's log10 probability."""
@@ -309,12 +326,8 @@ class Levels:
         base = np.log10(p)
         node, row = number, np.repeat(np.arange(len(edge) - 1), np.diff(edge))
         for k in range(2, self.order + 1):
-            longer, q, before = self.longer(k, node, number, row, k)
-            some = before >= 0
-            context, where = np.unique(before[some], return_inverse=True)
-            rest = MU / (self.counts(context, k - 1) + MU)
-            p[some] = q[some] + rest[where] * p[some]
-            node = longer
+            node, at, q, rest = self.longer(k, node, number, row, True)
+            p[at] = q + rest * p[at]
         return count, base, np.log10(np.minimum(p, 1.0))
 
 
