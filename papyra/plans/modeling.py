@@ -495,7 +495,7 @@ def text_classifier(spark, sf_dir):
     rows = _labelled(spark, sf_dir)
     out = []
     for kind in ("count-logistic", "hash-perceptron", "hash-forest"):
-        model = models.fit_text_classifier(rows, kind, tolerance=TOLERANCE)
+        model = models.fit_text_classifier(rows, kind, features=1024, iterations=10, tolerance=TOLERANCE)
         scores = metrics.multiclass_scores(models.predict_labels(rows, model), "category", "prediction")
         out.append(scores.withColumn("kind", F.lit(kind)))
     return curate.union_all(out)
@@ -514,7 +514,7 @@ def sentiment(spark, sf_dir):
     """Area under the curve of both sentiment models on the toxic label."""
     rows, out = _labelled(spark, sf_dir, "toxic"), []
     for kind in ("tfidf-logistic", "tfidf-perceptron"):
-        scored = models.score_column(rows, models.fit_sentiment(rows, kind, tolerance=TOLERANCE))
+        scored = models.score_column(rows, models.fit_sentiment(rows, kind, features=1024, iterations=10, tolerance=TOLERANCE))
         out.append(metrics.auc(scored, "label", "score").withColumn("kind", F.lit(kind)))
     return curate.union_all(out)
 
