@@ -482,7 +482,7 @@ def sliding_id_windows(spark, sf_dir):
 
 
 # --- F: models -----------------------------------------------------------------------------
-TOLERANCE = 1e-2  # of the loss, between two iterations of the sparse fits
+TOLERANCE = 5e-2  # of the loss, between two iterations of the sparse fits
 
 
 def _labelled(spark, sf_dir, label="quality"):
