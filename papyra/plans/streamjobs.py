@@ -81,8 +81,9 @@ def running_mean_length(spark, sf_dir):
 def save_batches(spark, sf_dir):
     messages = streams.table_stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
     path = new_path(spark, "batches")
-    streams.save_batches(messages, path, stop_after=None)
     schema = "conv_id bigint, turn bigint, n int"
+    if not streams.save_batches(messages, path, stop_after=None):  # no rows, no folder
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 

@@ -21,10 +21,13 @@ DELAY = "1 day"
 
 # --- running a stream ----------------------------------------------------------------
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A parquet table as a file stream."""
+    """A parquet table as a file stream; the table may be one file or a folder of files.
+
+    A file stream takes a plain path for a folder, a pattern for whatever it matches.
+    """
     ship_package(spark)
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")
 
 
 def append_to_table(stream: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import os
+import shutil
 import time
 
 from pyspark.sql import functions as F
 
 from papyra.operators import search
+from papyra.plans import load_all
 from papyra.streaming import streams
 
 
@@ -37,6 +40,32 @@ def test_append_with_watermark(spark, folder):
     assert 0 <= closed.count() <= whole.count()
 
 
+def test_tables_of_one_file_and_of_many(spark, folder):
+    rows = spark.sql("select id as conv_id, id % 3 as turn, 'user' as role, concat('a good div ', id) as text from range(40)")
+    rows.coalesce(1).write.parquet(f"{folder}/whole")
+    part = next(p for p in os.listdir(f"{folder}/whole") if p.endswith(".parquet"))
+    os.makedirs(f"{folder}/one")
+    shutil.copy(f"{folder}/whole/{part}", f"{folder}/one/conversations.parquet")
+    rows.repartition(3).write.parquet(f"{folder}/many/conversations.parquet")
+    rows.limit(5).write.parquet(f"{folder}/many/conversations.parquet.old")
+    for kind in ("one", "many"):
+        assert same(streams.append_to_table(streams.table_stream(spark, f"{folder}/{kind}", "conversations")), rows)
+    queries = load_all()
+    assert queries["k7_save_batches"].run(spark, f"{folder}/many").count() == 40
+    assert queries["k8_print_stream"].run(spark, f"{folder}/many").count() == 10
+    assert queries["k6_running_mean_length"].run(spark, f"{folder}/many").first().messages == 40
+    assert queries["k9_message_routing"].run(spark, f"{folder}/many").count() == 40
+
+
+def test_save_batches_and_preview_without_rows(spark, folder):
+    rows = spark.sql("select id as conv_id, id as turn, 'user' as role, 'a' as text from range(0)")
+    rows.write.parquet(f"{folder}/conversations.parquet")
+    queries = load_all()
+    assert queries["k7_save_batches"].run(spark, folder).count() == 0
+    assert queries["k8_print_stream"].run(spark, folder).count() == 0
+    assert queries["k6_running_mean_length"].run(spark, folder).first().messages == 0
+
+
 def test_sliding_windows_equal_spark_windows(spark, folder):
     rows, stream = logs(spark, folder)
     got = streams.top_urls(stream, length=300, slide=60)
