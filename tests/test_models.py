@@ -259,6 +259,32 @@ def test_sparse_fit_of_few_and_odd_rows(spark):
     assert own == pytest.approx(model.loss, rel=1e-9)
 
 
+def test_rows_out_of_arrays_are_not_broadcast(spark):
+    """The optimizer takes exploded rows for as small as the table they come from."""
+    weights = spark.createDataFrame([("a", [1.0]), ("b", [-1.0])], "feature string, weights array<double>")
+    model = sparse_linear.SparseModel(weights, [0.0], ["no", "yes"], 0.0, 1)
+    turns = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b b"])], "id int, w array<string>")
+    rows = turns.select("id", F.posexplode("w").alias("pos", "features"))
+    out = models.predict_sparse(rows, ["id", "pos"], lambda r: models.feature_counts(F.col("features")), model)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.pos): r.prediction for r in out.collect()} == {(1, 0): "yes", (1, 1): "no", (1, 2): "no", (2, 0): "no"}
+
+
+def test_shards_grow_with_what_blocks_ask(spark, monkeypatch):
+    rows = spark.range(60).select(
+        F.concat(F.lit("c"), F.col("id") % 2).alias("label"),
+        F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(F.concat(F.lit("w"), (F.col("id") * (i + 1)) % 11).alias("feature"), F.lit(1.0).alias("value"))).alias("features"),
+    ).repartition(5)
+    one = sparse_linear.fit(rows, penalty=0.01, tolerance=1e-3)
+    monkeypatch.setattr(sparse_linear, "SHARD_ASKED", 20)  # five blocks of twelve features ask for 60 weights
+    several = sparse_linear.fit(rows, penalty=0.01, tolerance=1e-3)
+    assert several.loss == pytest.approx(one.loss, rel=1e-9) and several.iterations == one.iterations
+    weights = lambda m: {r.feature: r.weights for r in m.weights.collect()}
+    first, second = weights(one), weights(several)
+    assert first.keys() == second.keys() and len(first) == 11
+    assert all(second[k] == pytest.approx(first[k], abs=1e-6) for k in first)
+
+
 def test_direction_is_that_of_the_two_loops():
     rng = np.random.default_rng(0)
     steps, hessian = rng.normal(size=(4, 9)), np.diag(rng.uniform(1, 3, 9))
