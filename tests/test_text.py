@@ -164,3 +164,25 @@ def test_segment_with_distributed_lexicon(spark):
             want = texts[r.id] and plain_segment.segment(texts[r.id], terms, forward)
             assert (r.tokens and [(t.shape, t.token) for t in r.tokens]) == want or not want and not r.tokens
         assert len(found) == len(texts)
+
+
+def test_places_carry_no_more_than_the_longest_term(spark):
+    phrases = spark.createDataFrame([(1, "a b c a b".split()), (2, ["a"]), (3, "b c".split())], "id int, s array<string>")
+
+    def places(*terms):
+        found = segment.lexicon_spans(phrases, ["id"], "s", spark.createDataFrame([(t,) for t in terms], "_term string"))
+        return found._jdf.queryExecution().optimizedPlan().toString(), {tuple(r) for r in found.collect()}
+
+    plan, found = places("a b", "b c")
+    assert "_run#" not in plan and found == {(1, 0, 2), (1, 1, 2), (1, 3, 2), (3, 0, 2)}
+    assert places("a b", "b c a")[1] == {(1, 0, 2), (1, 3, 2), (1, 1, 3)}
+    assert places("b c a")[1] == {(1, 1, 3)}
+    assert places("a")[1] == set()
+
+
+def test_tokens_stay_where_they_are(spark):
+    """Bricks and tokens are cut by row once; what the joins bring is moved to them."""
+    table = spark.createDataFrame([(1, "a b c Anh An"), (2, "b c 12")], "id int, text string")
+    lexicon = spark.createDataFrame([("a b",), ("b c",)], "term string")
+    plan = segment.segment(table, "id", "text", lexicon)._jdf.queryExecution().executedPlan().toString()
+    assert "InMemoryTableScan" in plan
