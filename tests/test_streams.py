@@ -161,3 +161,17 @@ def test_search_against_all_documents(spark):
     assert got == {(1, 2): 1, (1, 1): 2, (3, 5): 1}
     relaxed = search.relaxed_search(index, queries, 5).collect()
     assert {(r.qid, r.doc_id) for r in relaxed if r.relaxed} == {(2, 1), (2, 2), (2, 4)}
+
+
+def test_equal_queries_are_asked_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a b b"), (3, "b c")], "doc_id int, text string")
+    index = search.build_index(docs, "doc_id", "text")
+    queries = spark.createDataFrame(
+        [(i, ["a", "b"] if i % 2 else ["b", "a", "b"]) for i in range(20)] + [(20, ["c"]), (21, None)], "qid int, terms array<string>"
+    )
+    asked, matches = [], search.and_matches
+    monkeypatch.setattr(search, "and_matches", lambda index, sets, *names: asked.append(sets.count()) or matches(index, sets, *names))
+    got = search.and_search(index, queries, 5).collect()
+    assert asked == [2]
+    assert {(r.qid, r.doc_id): r["rank"] for r in got} == {(i, d): k for i in range(20) for d, k in ((2, 1), (1, 2))} | {(20, 3): 1, (20, 1): 2}
+    assert len(got) == 42 and len({r.score for r in got if r.qid < 20}) == 2
