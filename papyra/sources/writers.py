@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,11 +82,7 @@ def write_index(postings: DataFrame, path: str, term: str = "term", buckets: int
     rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_vectors(model: Word2VecModel, path: str) -> None:
-    """``word v1 … vn`` lines."""
-    from pyspark.ml.functions import vector_to_array
-
-    values = F.transform(vector_to_array("vector"), lambda v: v.cast("string"))
-    model.getVectors().select(F.concat_ws(" ", "word", values).alias("value")).write.mode("overwrite").text(path)
-
-
+def write_vectors(vectors: DataFrame, path: str) -> None:
+    """``word v1 … vn`` lines of ``(word, vector)`` rows."""
+    values = F.transform("vector", lambda v: v.cast("string"))
+    vectors.select(F.concat_ws(" ", "word", values).alias("value")).write.mode("overwrite").text(path)

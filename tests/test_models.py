@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from papyra.functions import transitions
-from papyra.operators import features, metrics, models, rules, sparse_linear
+from papyra.operators import features, metrics, models, rules, sparse_linear, word_vectors
 from papyra.plans import load_all, modeling
 from tests.oracle import DATA
 
@@ -376,6 +376,22 @@ def test_tabular_fits(spark):
     assert all(0.4 < r.auc <= 1 for r in rows)
 
 
+def test_word_vectors(spark, monkeypatch):
+    """Words of one kind of sentence are closer than others; the vocabulary is a table, and blocks may be small."""
+    random = np.random.default_rng(3)
+    kinds = [["red", "green", "blue", "pink"], ["one", "two", "three", "four"]]
+    rows = [(" ".join(random.choice(kinds[i % 2], 6)),) for i in range(3000)] + [("Rare rare lone",), (None,), ("",)]
+    texts = spark.createDataFrame(rows, "text string").repartition(3)
+    monkeypatch.setattr(word_vectors, "BLOCK_WORDS", 5000)
+    assert models.fit_word_vectors(texts, "text", size=8, min_count=2).filter("word = 'rare'").count() == 1
+    found = models.fit_word_vectors(texts, "text", size=8, iterations=4)
+    assert sorted(r.word for r in found.collect()) == sorted(sum(kinds, []))
+    for kind in kinds:
+        near = [r.word for r in models.synonyms(found, kind[0], 3).collect()]
+        assert sorted(near) == sorted(kind[1:])
+    assert models.synonyms(found, "unknown", 3).count() == 0
+
+
 def test_topics(spark):
     docs = modeling._docs(spark, SMALL)
     model = models.fit_topics(docs, "text", k=3, features=256, iterations=3)
