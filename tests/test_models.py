@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -354,6 +355,28 @@ def test_parser_learns(spark):
     assert row.uas > 0.7 and row.las > 0.7
 
 
+def test_parsing_in_step_is_parsing_one_by_one():
+    """Also with a plus in words, other case, null fields, equal scores and sentences without tokens."""
+    random = np.random.default_rng(5)
+    words = ["a", "B", "+", "a+b", "None", None, "c"]
+    fields = ["id", "word", "lemma", "upos", "pos", "feats", "head", "label", "supertag", "shape"]
+
+    def token(i):
+        one = {f: str(i) if f == "id" else words[random.integers(len(words))] for f in fields}
+        return one | {"word": one["word"] or "d"}
+
+    sentences = [[token(i) for i in range(random.integers(0, 9))] for _ in range(300)]
+    labels = ["SH", "RE", "LA-x", "RA-Y", "RA-x", "LA-b+c"]
+    seen = {f.lower() for sent in sentences if len(sent) > 1 for f in transitions.State(sent).features()}
+    seen |= {f"{t}:{v}" for t in ("ds0", "lcs0", "rcs0") for v in ("y", "x", "a", "a+b", "none")} | {"ws0+wq0:a+b+a+b", "ts0+ts1+tq0:+++++"}
+    ids = {f: i for i, f in enumerate(sorted(seen))}
+    tagger = models.LinearTagger(ids, random.integers(-3, 4, (len(ids), len(labels))) / 4, random.integers(-1, 2, len(labels)) / 1.0, labels)
+    kind = pa.list_(pa.struct([(f, pa.string()) for f in fields]))
+    made = transitions.Lockstep(ids, tagger.weights, tagger.bias, labels).parse(pa.array([[], *sentences][1:], kind).slice(3))
+    want = [[(s[i]["id"], s[h]["id"], label) for i, (h, label) in enumerate(transitions.parse(s, tagger.ranked), 1)] for s in sentences[3:]]
+    assert [[(t["id"], t["head"], t["label"]) for t in s] for s in made.to_pylist()] == want
+
+
 def test_restoration(spark):
     out = load_all()["f15_diacritic_restoration"].run(spark, SMALL).cache()
     assert out.groupBy("id").count().agg(F.max("count")).first()[0] == 2
