@@ -340,6 +340,17 @@ def test_folded_tags_are_those_of_a_loop(spark, reverse):
     assert sorted(((r.id, r.w, r.tags) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_tagger_vocabulary(spark):
+    """The most frequent features by their whole number, in enough rows, equal ones by name; strings are not cached."""
+    rows = spark.createDataFrame([("a b a", "x"), ("A c", "y"), ("d d d d", "x"), ("b c", "y"), ("e f", None)], "features string, label string")
+    tokens = rows.filter("label is not null").select(F.split(F.lower("features"), " ").alias("_tokens"))
+    assert models._frequent(tokens, 9, 2) == ["a", "b", "c"]
+    assert models._frequent(tokens, 3, 1) == ["d", "a", "b"]
+    model = models.fit_tagger(rows, size=2, min_df=2, iterations=3)
+    assert model.stages[2].vocabulary == ["a", "b"] and set(model.stages[0].labels) == {"x", "y"}
+    assert model.transform(rows).select("_prediction").count() == 4
+
+
 def test_backward_tagging(spark):
     rows = modeling._tag_rows(spark, SMALL, reverse=True)
     tagger = models.LinearTagger.of(models.fit_tagger(rows, size=2048, iterations=8))
