@@ -388,6 +388,17 @@ def test_parsing_in_step_is_parsing_one_by_one():
     assert [[(t["id"], t["head"], t["label"]) for t in s] for s in made.to_pylist()] == want
 
 
+def test_scores_of_places_at_once():
+    random = np.random.default_rng(2)
+    ids = {f"f={i}": i for i in range(30)}
+    tagger = models.LinearTagger(ids, random.random((30, 5)), random.random(5), list("abcde"))
+    places = [{"features": " ".join(f"F={j}" for j in random.integers(0, 60, n))} for n in (3, 0, 9, 1, 5, 7, 0)]
+    made = list(models._bases(tagger, places, at_once=3))
+    assert len(made) == len(places) and not list(models._bases(tagger, []))
+    for place, row in zip(places, made):
+        assert row == pytest.approx(tagger.scores(place["features"].split(" ")))
+
+
 def test_restoration(spark):
     out = load_all()["f15_diacritic_restoration"].run(spark, SMALL).cache()
     assert out.groupBy("id").count().agg(F.max("count")).first()[0] == 2
