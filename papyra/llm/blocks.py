@@ -6,6 +6,7 @@ memory stays proportional to ``SLICE_BYTES`` (or to the longest single text).
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from papyra.session import new_path, ship_package
 
 SLICE_BYTES = 1 << 20
+STORES: list = []  # cached functions whose results are large and can be made again
 POWER = np.uint64(0x9E3779B97F4A7C15)
 MIX1 = np.uint64(0xBF58476D1CE4E5B9)
 MIX2 = np.uint64(0x94D049BB133111EB)
 
 
+def forget_stores() -> None:
+    """Give up what tasks of other operators left in a Python worker that Spark uses again."""
+    if any(store.cache_info().currsize for store in STORES):
+        for store in STORES:
+            store.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a text or binary column; nulls count as empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.blocks import array_of, ready
+from papyra.llm.blocks import STORES, array_of, ready
 
 STATES = 100_000
 PIECES = 280_000
@@ -318,6 +318,15 @@ def decoder(path: str) -> StreamDecoder:
     return StreamDecoder(tokens)
 
 
+STORES.extend([encoder, decoder])
+
+
+def texts_of(column: pa.Array, at_once: int = 256) -> Iterator[str]:
+    """The texts of a column, few of them at a time as Python objects."""
+    for lo in range(0, len(column), at_once):
+        yield from column.slice(lo, at_once).to_pylist()
+
+
 def encoding(path: str, pattern: str, payload: int):
     """Batches of ``payload`` columns and a text to the same columns and the ids."""
 
@@ -326,10 +335,10 @@ def encoding(path: str, pattern: str, payload: int):
         for batch in batches:
             rows, lo, total = [], 0, 0
             last = len(batch) - 1
-            for i, text in enumerate(batch.column(payload).to_pylist()):
+            for i, text in enumerate(texts_of(batch.column(payload))):
                 rows.append(encode(text))
                 total += len(rows[-1])
-                if total > 4 * FLUSH_IDS or i == last:
+                if total > FLUSH_IDS or i == last:  # bytes: four an id
                     where = np.cumsum([0, *map(len, rows)]) // 4
                     own = [batch.column(j).slice(lo, i + 1 - lo) for j in range(payload)]
                     yield pa.record_batch([*own, array_of(np.frombuffer(b"".join(rows), np.int32), where, pa.int32())], names=[*batch.schema.names[:payload], "ids"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.blocks import mix, powers, slices, utf8
+from papyra.llm.blocks import SLICE_BYTES, mix, powers, slices, utf8
 
 BLANKS = np.zeros(128, bool)
 BLANKS[[0x20, *range(0x09, 0x0E)]] = True
@@ -103,8 +103,8 @@ def one_task(sample: DataFrame, fit, schema: str) -> list:
     return sample.repartition(1).sortWithinPartitions("id", "text").select("label", "text").mapInArrow(fit, schema).collect()
 
 
-def slices_of(batch_column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices_of(batch_column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Row ranges of a text column with their code points and row offsets."""
     data, offsets = utf8(batch_column)
-    for lo, hi in slices(offsets):
+    for lo, hi in slices(offsets, limit):
         yield lo, hi, *code_points(data, offsets[lo : hi + 1])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.blocks import binaries, ready
+from papyra.llm.blocks import binaries, forget_stores, ready
 from papyra.llm.grams import char_grams, labelled_sample, one_task, prior_shift, row_ends, rows_of, slices_of, usable_labels
 
 LEAST, MOST = 3, 6
@@ -25,6 +25,9 @@ FEATURES = 1 << 15
 SLOTS = 1 << 18
 SLOT_SHIFT = np.uint64(64 - 18)
 COUNT_BITS = 22
+TEXT_BYTES = 1 << 18  # of text that is cut into n-grams at once
+PAIRS = 1 << 18  # pairs of text and feature that a step of the fit looks at at once
+KEYS_HELD = 1 << 21  # counts of n-grams that wait for being added up
 SMOOTHING = 1.0
 RIDGE = 1e-3
 STEPS = 300
@@ -64,33 +67,50 @@ def log_ratio(inside: np.ndarray, outside: np.ndarray, n_in: int, n_out: int) ->
     return np.log((inside + SMOOTHING) / (n_in + 2 * SMOOTHING)) - np.log((outside + SMOOTHING) / (n_out + 2 * SMOOTHING))
 
 
+def counted(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes with the sums of both their counts."""
+    keys, inside, outside = (np.concatenate(x) for x in zip(*parts))
+    keys, column = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(column, inside, len(keys)), np.bincount(column, outside, len(keys))
+
+
 def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys and weights of the table, and the intercept, from ``(label, text)``."""
-    parts, labels = [], []
+    """Keys and weights of the table, and the intercept, from ``(label, text)``.
+
+    Texts are kept as they come and cut again in each pass, so only the n-grams of a slice and those kept at last stand in memory.
+    """
+    forget_stores()
+    held = [(batch.column(0).to_numpy(), batch.column(1)) for batch in batches]
+
+    def cut() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for own, texts in held:
+            for lo, hi, points, edges in slices_of(texts, TEXT_BYTES):
+                yield own[lo:hi], points, edges
+
     counts = np.zeros((2, 1 << COUNT_BITS), np.int32)
-    for batch in batches:
-        own = batch.column(0).to_numpy()
-        for lo, hi, points, edges in slices_of(batch.column(1)):
-            parts.append((points, edges)), labels.append(own[lo:hi])
-            rows = own[lo:hi]
-            row, bucket = buckets(points, edges)
-            for c in (0, 1):
-                counts[c] += np.bincount(bucket[rows[row] == c], minlength=1 << COUNT_BITS).astype(np.int32)
-    y = np.concatenate(labels) if labels else np.empty(0, np.int32)
+    for own, points, edges in cut():
+        row, bucket = buckets(points, edges)
+        for c in (0, 1):
+            np.add.at(counts[c], bucket[own[row] == c], 1)
+    y = np.concatenate([own for own, _ in held]) if held else np.empty(0, np.int32)
     n = [int((y == 0).sum()), int((y == 1).sum())]
-    worth = np.abs(log_ratio(counts[1], counts[0], n[1], n[0])) * (counts.sum(0) > 2)
-    floor = np.sort(worth)[-2 * FEATURES]
+    worth = np.zeros(1 << COUNT_BITS)
+    often = np.flatnonzero(counts.sum(0) > 2)
+    worth[often] = np.abs(log_ratio(counts[1, often], counts[0, often], n[1], n[0]))
+    floor = np.partition(worth, len(worth) - 2 * FEATURES)[-2 * FEATURES]
     some = worth > max(floor, 0.1)
-
-    row, gram, first = [], [], 0
-    for points, edges in parts:
-        a, b = sets(points, edges, some)
-        row.append(a + first), gram.append(b)
-        first += len(edges) - 1
-    row, gram = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (row, gram))
-    keys, column = np.unique(gram, return_inverse=True)
-    inside = np.bincount(column, y[row] == 1, len(keys)) if len(keys) else np.empty(0)
-    outside = np.bincount(column, minlength=len(keys)) - inside
+    del counts, worth
+
+    parts, waiting = [(np.empty(0, np.uint64), np.empty(0), np.empty(0))], 0
+    for own, points, edges in cut():
+        row, gram = sets(points, edges, some)
+        one = own[row] == 1
+        parts.append(counted([(gram, one, ~one)]))
+        waiting += len(parts[-1][0])
+        if waiting > KEYS_HELD:
+            parts, waiting = [counted(parts)], 0
+    keys, inside, outside = counted(parts)
+    del parts, some
     ratio = log_ratio(inside, outside, n[1], n[0])
     # one key for each slot, the most telling one
     order = np.argsort(-np.abs(ratio) * (inside + outside > 2), kind="stable")
@@ -98,10 +118,17 @@ def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept = np.zeros(len(keys), bool)
     kept[order[at[at < FEATURES]]] = True
     kept &= inside + outside > 2
-    number = np.cumsum(kept) - 1
-    use = kept[column] if len(keys) else np.empty(0, bool)
-    row, column, keys, ratio = row[use], number[column[use]], keys[kept], ratio[kept]
-    weights, bias = regress(row, column, ratio, y)
+    keys, ratio = keys[kept], ratio[kept]
+
+    slots = np.zeros(SLOTS, np.uint64)
+    slots[(keys >> SLOT_SHIFT).astype(np.int64)] = keys
+    rows, columns, first = [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
+    for own, points, edges in cut():
+        row, gram = sets(points, edges, slots)
+        use = np.isin(gram, keys)  # an empty slot looks like the hash 0
+        rows.append((row[use] + first).astype(np.int32)), columns.append(np.searchsorted(keys, gram[use]).astype(np.int32))
+        first += len(own)
+    weights, bias = regress(np.concatenate(rows), np.concatenate(columns), ratio, y)
     yield pa.record_batch({"keys": binaries([keys.tobytes()]), "weights": binaries([(weights * ratio).astype(np.float32).tobytes()]), "bias": pa.array([bias], pa.float64())})
 
 
@@ -112,12 +139,20 @@ def regress(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarra
     if not n or not (0 < y.sum() < n):  # one class only: its smoothed share
         share = (y.sum() + SMOOTHING) / (n + 2 * SMOOTHING)
         return w[:-1], float(np.log(share / (1 - share)))
-    value = ratio[column]
+    # rows come in order; a stretch of them at a time, so that the numbers of all pairs never stand in memory at once
+    borders = np.searchsorted(row, np.arange(n + 1))
+    cuts = [0]
+    while cuts[-1] < n:
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(borders, borders[cuts[-1]] + PAIRS, "right")) - 1))
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + 1):
-        margin = np.bincount(row, value * w[column], n) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y) / n
-        grad = np.append(np.bincount(column, value * error[row], size) + RIDGE / n * w[:-1], error.sum())
+        drawn, pull, error = ratio * w[:-1], np.zeros(size), np.zeros(n)
+        for lo, hi in zip(cuts, cuts[1:]):
+            there, of = column[borders[lo] : borders[hi]], row[borders[lo] : borders[hi]] - lo
+            margin = np.bincount(of, drawn[there], hi - lo) + w[-1]
+            error[lo:hi] = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y[lo:hi]) / n
+            np.add.at(pull, there, ratio[there] * error[lo:hi][of])
+        grad = np.append(pull + RIDGE / n * w[:-1], error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -125,13 +160,14 @@ def regress(row: np.ndarray, column: np.ndarray, ratio: np.ndarray, y: np.ndarra
 
 def scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_stores()
         keys, weights, bias = model.value
         slots, table = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.float32)
         where = (keys >> SLOT_SHIFT).astype(np.int64)
         slots[where], table[where] = keys, weights
         for batch in batches:
             names = batch.schema.names
-            for lo, hi, points, edges in slices_of(batch.column(len(names) - 1)):
+            for lo, hi, points, edges in slices_of(batch.column(len(names) - 1), TEXT_BYTES):
                 row, gram = sets(points, edges, slots)
                 margin = np.bincount(row, table[(gram >> SLOT_SHIFT).astype(np.int64)], hi - lo) + bias
                 score = 1 / (1 + np.exp(-np.clip(margin, -30, 30)))

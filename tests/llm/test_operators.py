@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,28 @@ def test_coordinate_ranges_keep_every_close_vector():
             assert set(np.flatnonzero(unit @ q >= t)) <= set(topk.feasible(q, lists, order, t))
 
 
+def test_toxicity_fit_in_small_pieces(monkeypatch):
+    """Neither the size of the pieces nor the pairs of a step change the model, and a task gives up other operators' stores."""
+    random = np.random.default_rng(4)
+    texts = [" ".join(random.choice(["idiot", "word", "text", "é", "loser", "a b"], 12)) for _ in range(200)]
+    batch = pa.record_batch({"label": pa.array([int("idiot" in t) for t in texts], pa.int32()), "text": pa.array(texts)})
+
+    def model():
+        return next(toxicity.fit(iter([batch]))).to_pylist()
+
+    whole = model()
+    for name, size in (("TEXT_BYTES", 300), ("PAIRS", 50), ("KEYS_HELD", 100)):
+        monkeypatch.setattr(toxicity, name, size)
+    bpe.decoder.cache_clear()
+    bpe.decoder(bpe_ranks())
+    assert model() == whole and len(whole[0]["keys"]) > 0
+    assert bpe.decoder.cache_info().currsize == 0
+
+
+def bpe_ranks() -> str:
+    return queries.vocabulary("byte_bpe_multi_50k.tiktoken")
+
+
 def test_toxicity(spark, odd, nothing):
     bad = ["you idiot moron", "such a worthless loser", "idiot and loser you are", "moron, worthless moron"]
     docs = spark.createDataFrame([(i, (bad[i % 4] + " " if i % 5 == 0 else "") + " ".join(f"word{i * j % 23}" for j in range(12))) for i in range(400)], "doc_id long, text string")
