@@ -257,8 +257,8 @@ UNITS_SQL = f"""t as (select doc_id, unnest(a) as t, generate_subscripts(a, 1) a
     f"with {UNITS_SQL} select doc_id, string_agg(u, '|' order by i) as units from t join u using (t) group by doc_id",
 )
 def vowel_sequence(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", F.array_join(tx.vowel_units(F.col("text")), "|").alias("units"))
+    docs = _docs(spark, sf_dir).filter(F.col("text").rlike("[^~]"))  # a text without any unit has no row
+    return docs.select("doc_id", tx.joined_vowel_units(F.col("text"), "|").alias("units"))
 
 
 CANDIDATES = {**tx.SINGLE_UNITS, **tx.PAIR_UNITS, **tx.TRIPLE_UNITS}
