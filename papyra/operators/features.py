@@ -10,6 +10,7 @@ from papyra.functions.rows import unnest, unnest_structs
 from papyra.functions.shapes import full_match, word_shape
 from papyra.functions.shapes import NUMBER, PERCENTAGE, PUNCTUATION
 from papyra.operators import ordered
+from papyra.operators.postings import postings, rows_of, totals
 from papyra.session import materialize
 
 # ---- fixed values -----------------------------------------------------------
@@ -55,18 +56,16 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 
 def vocabulary(
-    df: DataFrame, key: str, tokens: str, min_df: int = 1, size: int | None = None
+    df: DataFrame, key: str, tokens: str, min_df: int = 1, size: int | None = None, unique: bool = False
 ) -> DataFrame:
     """``(term, tf, df, term_id)``: terms in at least ``min_df`` rows, numbered by falling frequency.
 
     All of them, unless the caller asks for the ``size`` most frequent ones.
 
-    Counting is a two-step hash aggregate: per row first (terms of one row never leave
-    their task), then over the corpus.
+    Counting is a two-step aggregate: per batch of rows first, then over the corpus. ``unique`` says
+    that no key is repeated.
     """
-    per_row = term_counts(df, key, tokens)
-    totals = per_row.groupBy("term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("df"))
-    top = totals.filter(F.col("df") >= min_df)
+    top = totals(postings(df, key, tokens, unique)).filter(F.col("df") >= min_df)
     if size is not None:
         top = top.orderBy(F.desc("tf"), "term").limit(size)
     # numbered range by range: the vocabulary does not go through one task
@@ -76,15 +75,15 @@ def vocabulary(
 
 def term_counts(df: DataFrame, key: str, tokens: str, binary: bool = False) -> DataFrame:
     """``(key, term, n)``."""
-    out = unnest(df, [key], tokens, "term").groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    out = rows_of(postings(df, key, tokens), key, ["term"]).select(key, "term", "n")
     return out.withColumn("n", F.lit(1).cast("long")) if binary else out
 
 
 def count_vectorize(df: DataFrame, key: str, tokens: str, vocab: DataFrame, binary: bool = False) -> DataFrame:
     """Sparse counts ``(key, term_id, n)`` over a vocabulary table."""
-    return term_counts(df, key, tokens, binary).join(vocab.select("term", "term_id"), "term").drop("term")
+    found = postings(df, key, tokens).join(vocab.select("term", "term_id"), "term")
+    out = rows_of(found, key, ["term_id"]).select(key, "term_id", "n")
+    return out.withColumn("n", F.lit(1).cast("long")) if binary else out
 
 
 def hash_tf(df: DataFrame, key: str, tokens: str, buckets: int = 1 << 15, binary: bool = False) -> DataFrame:
@@ -97,14 +96,15 @@ def hash_tf(df: DataFrame, key: str, tokens: str, buckets: int = 1 << 15, binary
 def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
     """``(key, term, n, weight)`` with weight ``n * ln((rows + 1) / (df + 1))``.
 
-    Counts and document frequencies are written once. Both sides of the join are then plain
-    shuffles, so Spark can split the rows of a word that is in every document.
+    Terms travel with the keys of their rows behind them, and become rows after the join with the
+    document frequencies only.
     """
-    counts = materialize(term_counts(df, key, tokens), "counts")
-    documents = materialize(counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")), "frequencies")
+    found = postings(df, key, tokens)
+    documents = totals(found).select("term", F.col("df").alias("_df"))
+    counts = rows_of(found.select("term", "keys", "ns").join(documents, "term"), key, ["term", "_df"])
     rows = df.agg(F.count(F.lit(1))).scalar()
     weight = F.col("n") * F.log((rows + 1) / (F.col("_df") + 1))
-    return counts.join(documents, "term").select(key, "term", "n", weight.alias("weight"))
+    return counts.select(key, "term", "n", weight.alias("weight"))
 
 
 def expand_concepts(df: DataFrame, keys: list[str], tokens: str, dictionary: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from papyra.functions import text as tx
+from papyra.operators import features, postings, search
 from papyra.plans import load_all
 from pyspark.sql import functions as F
 from tests import oracle
@@ -53,3 +54,21 @@ def test_a_syllable_is_cut_once():
 def test_vowel_groups_are_counted_before_they_are_rows(spark):
     row = spark.range(1).select(tx.vowel_group_counts(F.lit("đi đi Đi xx")).alias("n")).first()
     assert sorted(map(tuple, row.n)) == [("D", 1), ("d", 2), ("i", 3)]
+
+
+REPEATED = ([*TEXTS, (1, "the la the 12 USA the"), (None, "la the x"), (None, "the 3:30 x"), (9, "la x the")], "doc_id long, text string")
+
+
+@pytest.mark.parametrize("name", ["e4_vocabulary_counts", "e4b_vocabulary", "e6_tfidf", "d11_word_shape", "j1_inverted_index"])
+def test_terms_of_repeated_and_missing_keys(against_sql, name):
+    assert against_sql(name, documents=REPEATED)
+
+
+def test_terms_travel_once_a_batch(spark):
+    """A word of every row is one row of a batch, not one row for each of them."""
+    docs = spark.range(1000).repartition(2).select("id", F.array(F.lit("the"), F.lit("the"), F.concat(F.lit("w"), F.col("id") % 3)).alias("w"))
+    found = postings.postings(docs, "id", "w")
+    assert found.count() <= 2 * 4
+    assert sorted(map(tuple, postings.totals(found).collect())) == [("the", 2000, 1000), ("w0", 334, 334), ("w1", 333, 333), ("w2", 333, 333)]
+    for made in (features.tfidf(docs, "id", "w"), features.term_counts(docs, "id", "w"), search.build_index(docs.withColumn("t", F.array_join("w", " ")), "id", "t")):
+        assert "hashpartitioning(id" not in made._jdf.queryExecution().executedPlan().toString()
