@@ -10,6 +10,7 @@ from papyra.functions import shapes as sh
 from papyra.functions import text as tx
 from papyra.functions.rows import unnest, unnest_structs
 from papyra.operators import features, rules, segment
+from papyra.operators.postings import postings, rows_of
 from papyra.plans.curation import SENTENCES_SQL
 from papyra.plans.registry import query, spread, table
 
@@ -155,12 +156,12 @@ def punct_number_mask(spark, sf_dir):
 )
 def word_shape(spark, sf_dir):
     t = F.col("t")
-    tokens = _tokens(spark, sf_dir).groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("k"))
+    tokens = postings(_doc_words(spark, sf_dir), "doc_id", "w").withColumnRenamed("term", "t")
     shaped = tokens.select(
-        "doc_id", "k", sh.word_shape(t).alias("shape"), sh.dialog_shape(t).alias("dialog"),
+        "keys", "ns", sh.word_shape(t).alias("shape"), sh.dialog_shape(t).alias("dialog"),
         sh.word_shape(t, sh.PARSER_SHAPES).alias("parser"),
     )
-    return shaped.groupBy("doc_id", "shape", "dialog", "parser").agg(F.sum("k").alias("n"))
+    return rows_of(shaped, "doc_id", ["shape", "dialog", "parser"], "k").groupBy("doc_id", "shape", "dialog", "parser").agg(F.sum("k").alias("n"))
 
 
 def _token_totals(spark, sf_dir):
