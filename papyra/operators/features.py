@@ -110,9 +110,10 @@ def tfidf(df: DataFrame, key: str, tokens: str) -> DataFrame:
 def expand_concepts(df: DataFrame, keys: list[str], tokens: str, dictionary: DataFrame) -> DataFrame:
     """Related concepts of every token, in token order, leaving out those that contain it.
 
-    ``dictionary(word, concept)`` stays a table; Spark broadcasts it when its size allows.
+    ``dictionary(word, concept)`` stays a table; Spark broadcasts it when its size allows. Rows go to
+    the place of their key before they grow, so a broadcast join sends no concept anywhere.
     """
-    rows = unnest(df, keys, tokens, "word", "_pos")
+    rows = unnest(df.select(*keys, tokens).repartition(*keys), keys, tokens, "word", "_pos")
     found = rows.join(dictionary, "word").filter(~F.col("concept").contains(F.col("word")))
     listed = F.array_sort(F.collect_list(F.struct("_pos", "concept")))
     return found.groupBy(*keys).agg(F.transform(listed, lambda c: c["concept"]).alias("concepts"))
