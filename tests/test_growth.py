@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 from papyra.functions import text as tx
-from papyra.operators import features, postings, search
+from papyra.functions import shapes
+from papyra.operators import features, metrics, postings, search
 from papyra.plans import load_all
 from pyspark.sql import functions as F
 from tests import oracle
@@ -72,3 +73,30 @@ def test_terms_travel_once_a_batch(spark):
     assert sorted(map(tuple, postings.totals(found).collect())) == [("the", 2000, 1000), ("w0", 334, 334), ("w1", 333, 333), ("w2", 333, 333)]
     for made in (features.tfidf(docs, "id", "w"), features.term_counts(docs, "id", "w"), search.build_index(docs.withColumn("t", F.array_join("w", " ")), "id", "t")):
         assert "hashpartitioning(id" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_concepts_do_not_travel(spark):
+    """Rows reach the place of their key before a broadcast dictionary makes them many."""
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["b"]), (1, ["c", "a"])], "k long, w array<string>")
+    words = spark.createDataFrame([("a", "y"), ("a", "x"), ("b", "z"), ("c", "cc")], "word string, concept string")
+    out = features.expand_concepts(rows, ["k"], "w", F.broadcast(words))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.k, sorted(r.concepts)) for r in out.collect()) == [(1, ["x", "x", "y", "y", "z"]), (2, ["z"])]
+    assert "REPARTITION_BY_COL" in plan and plan.count("hashpartitioning(k") == 1
+
+
+def test_only_wanted_shapes_are_tested(spark):
+    tokens = ["the", "Anna", "USA", "12,5", "a.b.c", "x@y.de", "3:30", "86%", "", None, "Ł_ł", "–"]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string")
+    kept = ["email", "url", "date", "time", "number"]
+    shape = shapes.word_shape(F.col("t"))
+    plain = F.when(shape.isin(kept), F.concat(F.lit("<"), shape, F.lit(">"))).when(shape == "percentage", F.lit("<percent>")).otherwise(F.lower("t"))
+    few = shapes.word_shape(F.col("t"), wanted={"lower", "capitalized"})
+    same = F.when(shape.isin("lower", "capitalized"), shape).otherwise(F.lit(""))
+    assert rows.filter(~shapes.placeholder(F.col("t")).eqNullSafe(plain) | (few != same)).count() == 0
+    assert str(few).count("rlike") < str(shape).count("rlike")
+
+
+def test_letters_are_compared_by_place(spark):
+    rows = spark.createDataFrame([("a😀 é", "a😀 e"), ("ab", "a"), ("", "x"), (None, "x"), ("x", None)], "g string, p string")
+    assert metrics.char_accuracy(rows, "g", "p").first()[0] == 3 / 5
