@@ -78,7 +78,8 @@ def token_classes(
     words = WORD_CLASSES if words is None else words
     exact = EXACT_CLASSES if exact is None else exact
     shapes = SHAPE_CLASSES if shapes is None else shapes
-    return let(word_shape(token), lambda shape: _classes(token, shape, words, exact, shapes))
+    wanted = {name for names in shapes.values() for name in names}
+    return let(word_shape(token, wanted=wanted), lambda shape: _classes(token, shape, words, exact, shapes))
 
 
 def _classes(token: Column, shape: Column, words: dict, exact: dict, shapes: dict) -> Column:
@@ -97,19 +98,37 @@ def match_rules(tokens: Column, classes: Column, rules: dict[str, str] | None =
     longest match and going on to its left and right.
     """
     rules = RULES if rules is None else rules
-    labels = let(classes, lambda bound: _label(tokens, bound, rules))
+    labels = let(_bits(classes, rules), lambda bound: _label(tokens, bound, rules))
     return F.when(F.size(tokens) > 0, labels)
 
 
+def _parts(rules: dict[str, str]) -> dict[str, int]:
+    """The classes that rules ask for, with a number each."""
+    return {part: k for k, part in enumerate(sorted({p for pattern in rules.values() for p in pattern.split()}))}
+
+
+def _bits(classes: Column, rules: dict[str, str]) -> Column:
+    """Per token, the classes that rules ask for as bits of whole numbers: names are compared once a token."""
+    parts = _parts(rules)
+
+    def word(held: Column, names: list[str]) -> Column:
+        bits = [F.when(F.array_contains(held, p), F.lit(1 << parts[p] % 62).cast("long")).otherwise(F.lit(0).cast("long")) for p in names]
+        return sum(bits[1:], bits[0])
+
+    words = [[p for p, k in parts.items() if k // 62 == n] for n in range(len(parts) // 62 + 1)]
+    return F.transform(classes, lambda held: F.array(*[word(held, names) for names in words if names]))
+
+
 def _label(tokens: Column, classes: Column, rules: dict[str, str]) -> Column:
-    per_rule = []
+    per_rule, number = [], _parts(rules)
     for order, (name, pattern) in enumerate(rules.items()):
         parts = pattern.split()
 
         def fits(i: Column, parts=tuple(parts)) -> Column:
             test = F.lit(True)
             for k, part in enumerate(parts):
-                test = test & F.coalesce(F.array_contains(F.get(classes, i + k), part), F.lit(False))
+                bits = F.get(F.get(classes, i + k), F.lit(number[part] // 62))
+                test = test & F.coalesce(bits.bitwiseAND(F.lit(1 << number[part] % 62).cast("long")) != 0, F.lit(False))
             return test
 
         hits = F.filter(F.sequence(F.lit(0), F.size(tokens) - 1), _one(fits))
