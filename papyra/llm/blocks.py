@@ -191,7 +191,7 @@ def map_file(uri: str) -> np.ndarray:
     """The bytes of a file: mapped into memory where the shared folder is mounted, read elsewhere."""
     if is_local(uri):
         path = local_path(uri)
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
+        return np.memmap(path, np.uint8, "r").view(np.ndarray) if os.path.getsize(path) else np.empty(0, np.uint8)  # a plain array is cut faster
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(uri)

@@ -35,9 +35,10 @@ ORDER = 3
 MU = 4.0
 END = np.uint64(0xE3779B97F4A7C159)
 SLICE = 1 << 22
-WAITING = 1_000_000
+WAITING = 1_500_000  # n-grams, repeats included, that wait in a task
 COUNT_STEP = 0.04  # of a quantised natural logarithm of a count
 LEAST_LOG = -20.4  # of a quantised natural logarithm of a probability; 255 steps lead up to 0
+PROBABILITY = np.exp(LEAST_LOG * (1 - np.arange(256) / 255.0))
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,69 +89,112 @@ def summed(first: np.ndarray, second: np.ndarray | None, count: np.ndarray):
     return first[at], None if second is None else second[at], np.add.reduceat(count, at) if len(at) else count
 
 
+def tallied(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in ascending order, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.append(np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]))
+    return keys[at], np.diff(np.append(at, len(keys))).astype(np.uint64)
+
+
+def dealt(where: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their shard, and where each of ``count`` shards begins among them, with an end."""
+    small = where.astype(np.uint16) if count <= 1 << 16 else where  # numpy sorts short numbers by radix
+    return np.argsort(small, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(where, minlength=count))])
+
+
+def narrow(a: np.ndarray) -> bytes:
+    """Numbers as planes of no more bytes than the largest one needs, behind their size."""
+    top = int(a.max(initial=0))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if top <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + planes(a.astype(kind))
+
+
+def widened(data: bytes) -> np.ndarray:
+    return unplanes(data[1:], f"u{data[0]}").astype(np.uint64)
+
+
 COUNTED = "shard int, first binary, second binary, counts binary"
 
 
-def blocks_of(first, second, count, where) -> pa.RecordBatch:
+def blocks_of(first, second, count, where, shards: int) -> pa.RecordBatch:
     """Sorted keys and counts as one row for each shard."""
-    order = np.argsort(where, kind="stable")
-    first, count, where = first[order], count[order], where[order]
+    order, edge = dealt(where, shards)
+    first, count = first[order], count[order]
     second = np.empty(0, np.uint64) if second is None else second[order]
-    shard, at = np.unique(where, return_index=True)
     rows = []
-    for s, a, b in zip(shard, at, np.append(at[1:], len(where)), strict=True):
-        step = np.diff(first[a:b], prepend=np.uint64(0))
-        rows.append((int(s), planes(step), planes(second[a:b]), planes(count[a:b].astype(np.uint64))))
+    for s in np.flatnonzero(np.diff(edge)).tolist():
+        a, b = edge[s : s + 2]
+        rows.append((s, narrow(np.diff(first[a:b], prepend=np.uint64(0))), narrow(second[a:b]), narrow(count[a:b])))
     columns = list(zip(*rows, strict=True)) or [()] * 4
     return pa.record_batch([pa.array(columns[0], pa.int32()), *(binaries(list(c)) for c in columns[1:])], names=["shard", "first", "second", "counts"])
 
 
 def joined(table: pa.Table):
     """All keys and counts of a shard, added up."""
-    first = np.concatenate([np.cumsum(unplanes(x.as_py(), np.uint64), dtype=np.uint64) for x in table["first"]])
-    second = np.concatenate([unplanes(x.as_py(), np.uint64) for x in table["second"]])
-    count = np.concatenate([unplanes(x.as_py(), np.uint64) for x in table["counts"]])
+    first = np.concatenate([np.cumsum(widened(x.as_py()), dtype=np.uint64) for x in table["first"]])
+    second = np.concatenate([widened(x.as_py()) for x in table["second"]])
+    count = np.concatenate([widened(x.as_py()) for x in table["counts"]])
     return summed(first, second if len(second) else None, count)
 
 
 def counter(levels, count: int):
-    """Adds up the n-grams of the next level over one task; the words themselves if there is no level yet."""
+    """Adds up the n-grams of the next level over one task; the words themselves if there is no level yet.
+
+    An n-gram of a node and a word is one number where both fit into 64 bits, which sorts without an order beside it.
+    """
+    width = 0 if levels is None else levels.words.bit_length()
+    whole = levels is None or width + int(levels.bases[levels.order][-1]).bit_length() <= 64
+
+    def keys_of(words: np.ndarray, edge: np.ndarray) -> tuple:
+        if levels is None:
+            return words, None
+        node, word = levels.contexts(words, edge)
+        if whole:
+            node <<= np.uint64(width)
+            node |= word
+            return node, None
+        return node, word
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size = [], 0
+        waiting, known, size = [], None, 0
 
         def added() -> tuple:
-            parts = list(zip(*waiting, strict=True))
-            return summed(np.concatenate(parts[0]), None if parts[1][0] is None else np.concatenate(parts[1]), np.concatenate(parts[2]))
+            first, second = (None if c[0] is None else np.concatenate(c) for c in zip(*waiting, strict=True))
+            if whole:
+                first, n = tallied(first)
+            else:
+                first, second, n = summed(first, second, np.ones(len(first), np.uint64))
+            if known is None:
+                return first, second, n
+            both = zip(known, (first, second, n), strict=True)
+            return summed(*(None if a is None else np.concatenate([a, b]) for a, b in both))
+
+        def block(first, second, n) -> pa.RecordBatch:
+            if whole and width:
+                first, second = first >> np.uint64(width), first & np.uint64((1 << width) - 1)
+            return blocks_of(first, second, n, place(first, second, count), count)
 
         for batch in batches:
             data, offsets = utf8(batch.column(0))
             for lo, hi in slices(offsets, SLICE, 1 << 20):
-                words, edge = tokens(data, offsets[lo : hi + 1])
-                if levels is None:
-                    first, n = np.unique(words, return_counts=True)
-                    waiting.append((first, None, n.astype(np.uint64)))
-                else:
-                    node, word = levels.contexts(words, edge)
-                    waiting.append(summed(node, word, np.ones(len(node), np.uint64)))
+                waiting.append(keys_of(*tokens(data, offsets[lo : hi + 1])))
                 size += len(waiting[-1][0])
                 if size > WAITING:
-                    waiting = [added()]
-                    size = len(waiting[0][0])
-                    if len(waiting[0][0]) > WAITING // 2:  # hardly anything repeats: hand it on
-                        yield blocks_of(*waiting[0], place(waiting[0], count))
-                        waiting, size = [], 0
-        if size:
-            keys = added()
-            yield blocks_of(*keys, place(keys, count))
+                    known, waiting = added(), []
+                    size = len(known[0])
+                    if size > WAITING // 2:  # hardly anything repeats: hand it on
+                        yield block(*known)
+                        known, size = None, 0
+        if waiting:
+            known = added()
+        if known is not None and len(known[0]):
+            yield block(*known)
 
     return run
 
 
-def place(keys, count: int) -> np.ndarray:
-    if keys[1] is None:
-        return shard_of(keys[0], count)
-    return shard_of(spread(keys[0], keys[1]), count)
+def place(first: np.ndarray, second: np.ndarray | None, count: int) -> np.ndarray:
+    return shard_of(first if second is None else spread(first, second), count)
 
 
 def spread(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -226,13 +270,10 @@ class Levels:
         return ef.cached_open(f"{self.folder}/{order}-{shard:06d}")
 
     def by_shard(self, order: int, where: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        if not len(where):
-            return
-        order_of = np.argsort(where, kind="stable")
-        shard, at = np.unique(where[order_of], return_index=True)
-        for s, a, b in zip(shard.tolist(), at, np.append(at[1:], len(where)), strict=True):
+        order_of, edge = dealt(where, self.count)
+        for s in np.flatnonzero(np.diff(edge)).tolist():
             if self.bases[order][s + 1] > self.bases[order][s]:
-                yield s, order_of[a:b]
+                yield s, order_of[edge[s] : edge[s + 1]]
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Numbers of distinct words in the vocabulary, -1 for unknown ones."""
@@ -270,7 +311,7 @@ class Levels:
             found = successors.find(base[back] + word[at] + np.uint64(1))
             good = (found >= 0) & (found < hi[back])
             out[at[good]] = found[good] + self.bases[order][s]
-            p[at[good]] = np.exp(LEAST_LOG * (1 - arrays["probability"][found[good]] / 255.0))
+            p[at[good]] = PROBABILITY[arrays["probability"][found[good]]]
         return out, p
 
     def contexts(self, words: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
