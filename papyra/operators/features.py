@@ -65,7 +65,7 @@ def vocabulary(
     Counting is a two-step aggregate: per batch of rows first, then over the corpus. ``unique`` says
     that no key is repeated.
     """
-    top = totals(postings(df, key, tokens, unique)).filter(F.col("df") >= min_df)
+    top = totals(postings(df, key, tokens, unique, listed=False)).filter(F.col("df") >= min_df)
     if size is not None:
         top = top.orderBy(F.desc("tf"), "term").limit(size)
     return numbered(top)
@@ -132,7 +132,7 @@ def concept_ids(df: DataFrame, key: str, tokens: str, dictionary: DataFrame, len
     have too few there have their other tokens looked up.
     """
     meant = dictionary.filter(~F.col("concept").contains(F.col("word"))).select("word", "concept")
-    words = totals(postings(df, key, tokens, unique=True)).select(F.col("term").alias("word"), "tf")
+    words = totals(postings(df, key, tokens, unique=True, listed=False)).select(F.col("term").alias("word"), "tf")
     met = words.join(meant, "word").groupBy(F.col("concept").alias("term")).agg(F.sum("tf").alias("tf"))
     known = materialize(numbered(met), "concepts")
     meaning = meant.join(known.select(F.col("term").alias("concept"), "term_id"), "concept")

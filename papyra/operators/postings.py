@@ -18,11 +18,12 @@ from pyspark.sql import types as T
 from papyra.functions.rows import unnest_structs
 
 
-def postings(df: DataFrame, key: str, tokens: Column | str, unique: bool = False) -> DataFrame:
+def postings(df: DataFrame, key: str, tokens: Column | str, unique: bool = False, listed: bool = True) -> DataFrame:
     """``(term, tf, df, keys, ns)``: a term, once for each batch that has it, its occurrences, its rows, their keys and counts.
 
     A key lies in one batch only, so ``tf`` and ``df`` add up over batches. Rows of a repeated key are put
-    together first; ``unique`` says that there are none.
+    together first; ``unique`` says that there are none. Where ``listed`` is false, no keys and counts stand
+    behind a term, for those who want totals only.
     """
     rows = df.select(key, (F.col(tokens) if isinstance(tokens, str) else tokens).alias("_tokens"))
     if not unique and df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").limit(1).count():
@@ -34,6 +35,8 @@ def postings(df: DataFrame, key: str, tokens: Column | str, unique: bool = False
             T.StructField("keys", T.ArrayType(kind)), T.StructField("ns", T.ArrayType(T.LongType())),
         ]
     )
+    if not listed:
+        schema = T.StructType(schema.fields[:3])
     return rows.mapInArrow(_gather(schema.names), schema)
 
 
@@ -49,14 +52,13 @@ def _gather(names: list[str]) -> Callable:
             term, row = np.divmod(cells, len(keys))
             first = np.flatnonzero(np.diff(term, prepend=-1))
             ends = pa.array(np.append(first, len(cells)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    terms.dictionary.take(pa.array(term[first])), pa.array(np.add.reduceat(counts, first), pa.int64()),
-                    pa.array(np.diff(np.append(first, len(cells))), pa.int64()),
-                    pa.ListArray.from_arrays(ends, keys.take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())),
-                ],
-                names=names,
-            )
+            out = [
+                terms.dictionary.take(pa.array(term[first])), pa.array(np.add.reduceat(counts, first), pa.int64()),
+                pa.array(np.diff(np.append(first, len(cells))), pa.int64()),
+            ]
+            if len(names) > len(out):
+                out += [pa.ListArray.from_arrays(ends, keys.take(pa.array(row))), pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(out, names=names)
 
     return gather
 

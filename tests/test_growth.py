@@ -100,3 +100,12 @@ def test_only_wanted_shapes_are_tested(spark):
 def test_letters_are_compared_by_place(spark):
     rows = spark.createDataFrame([("a😀 é", "a😀 e"), ("ab", "a"), ("", "x"), (None, "x"), ("x", None)], "g string, p string")
     assert metrics.char_accuracy(rows, "g", "p").first()[0] == 3 / 5
+
+
+def test_totals_leave_a_task_without_keys(spark):
+    """The vocabulary asks for counts only: no list of keys is made and sent for them."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["a", None]), (2, ["c"]), (None, ["b"]), (3, None), (4, [])], "id long, w array<string>")
+    counted = postings.postings(docs, "id", "w", listed=False)
+    assert counted.columns == ["term", "tf", "df"]
+    both = [sorted(map(str, postings.totals(p).collect())) for p in (counted, postings.postings(docs, "id", "w"))]
+    assert both[0] == both[1] and len(both[0]) == 4
