@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import collections
+import random
+import re
 import unicodedata
 
 from hypothesis import given, settings
@@ -10,6 +13,7 @@ from papyra.functions import bricks
 from papyra.functions import text as tx
 from papyra.operators import segment
 from papyra.plans import textual
+from papyra.session import shared_dir
 from tests import plain_segment
 
 
@@ -186,3 +190,59 @@ def test_tokens_stay_where_they_are(spark):
     lexicon = spark.createDataFrame([("a b",), ("b c",)], "term string")
     plan = segment.segment(table, "id", "text", lexicon)._jdf.queryExecution().executedPlan().toString()
     assert "InMemoryTableScan" in plan
+
+
+def test_blocks_travel_packed_and_terms_once(spark, monkeypatch):
+    """Neither texts nor tokens go to the lexicon: blocks are small and ask for a term once, whatever its places."""
+    monkeypatch.setattr(segment, "BLOCK_BYTES", 20_000)
+    plain = [f"the old house of the town {'abcdefg'[i % 7]} Anh of 12 Nam Anh of the house, An of the house" for i in range(3000)]
+    rows = spark.createDataFrame(list(enumerate(plain)), "id int, text string").repartition(3)
+    terms = ["the old", "of the", "anh of", "house of the"]
+    lexicon = spark.createDataFrame([(t,) for t in terms], "term string")
+    found = segment.segment(rows, "id", "text", lexicon)
+    got = {r.id: [(t.shape, t.token) for t in r.tokens] for r in found.collect()}
+    assert got == {i: plain_segment.segment(t, set(terms)) for i, t in enumerate(plain)}
+    packed = [r.n for r in spark.read.parquet(_last(spark, "blocks")).select(F.length("packed").alias("n")).collect()]
+    assert len(packed) > 3 and sum(packed) < sum(map(len, plain)) / 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "packed" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+    # a sieve that lets all through, and what is heard sent to all or met in a join
+    monkeypatch.setattr(segment, "_sieve", lambda terms: [b"\xff" * (segment.SIEVE_PART // 8)])
+    for limit in (segment.DENIED_BYTES, -1):
+        monkeypatch.setattr(segment, "DENIED_BYTES", limit)
+        assert {r.id: [(t.shape, t.token) for t in r.tokens] for r in segment.segment(rows, "id", "text", lexicon).collect()} == got
+
+
+def _last(spark, label):
+    from pathlib import Path
+
+    return str(max(Path(shared_dir(spark).removeprefix("file://")).glob(f"{label}-*"), key=lambda p: p.stat().st_mtime))
+
+
+def test_all_that_a_reading_looks_up_has_been_asked():
+    """The terms that bricks ask for hold all look-ups of both readings and both repairs."""
+    rng = random.Random(7)
+    words = ["a", "b", "c d", "Anh", "Nam", "Bộ Quốc", "12", ",", "e", "QĐ", "a\tb"]
+    terms = {" ".join(rng.choices(["a", "b", "c", "d", "anh", "nam", "quốc", "12", ",", "e"], k=rng.choice([2, 2, 3, 4]))) for _ in range(400)}
+    sizes, most = sorted({len(t.split(" ")) for t in terms}), 4
+    for _ in range(300):
+        text = " ".join(rng.choices(words, k=12))
+        asked: set[str] = set()
+        pieces = bricks.cut(text)
+        bricks.asked(pieces, sizes, most, asked)
+        known = {t: t.lower() in terms for t in asked}
+        for forward in (False, True):
+            assert bricks.read(pieces, lambda t: t.count(" ") < most and known[t], sizes, forward) == plain_segment.segment(text, terms, forward)
+
+
+def test_pairs_are_counted_in_their_task(spark, monkeypatch):
+    monkeypatch.setattr(segment, "PAIRS_HELD", 40)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["a", "b", "The", "ä", "c1d", "đi", "\n", "x"], k=rng.randrange(60))) for _ in range(200)] + ["", None, "a"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    counts = collections.Counter()
+    for t in texts:
+        words = [w for w in re.split(r"[\W\d_]+", t or "") if w and all(c.islower() for c in w)]
+        counts.update(map(" ".join, zip(words, words[1:])))
+    found = segment.frequent_bigrams(rows, "text", 40)
+    assert sorted(r.term for r in found.collect()) == sorted(t for t, n in counts.items() if n >= 40) and 0 < found.count() < len(counts)
