@@ -244,5 +244,5 @@ def test_pairs_are_counted_in_their_task(spark, monkeypatch):
     for t in texts:
         words = [w for w in re.split(r"[\W\d_]+", t or "") if w and all(c.islower() for c in w)]
         counts.update(map(" ".join, zip(words, words[1:])))
-    found = segment.frequent_bigrams(rows, "text", 40)
-    assert sorted(r.term for r in found.collect()) == sorted(t for t, n in counts.items() if n >= 40) and 0 < found.count() < len(counts)
+    found = segment.frequent_bigrams(rows, "text", 110)
+    assert sorted(r.term for r in found.collect()) == sorted(t for t, n in counts.items() if n >= 110) and 0 < found.count() < len(counts)
